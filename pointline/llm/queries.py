@@ -25,6 +25,12 @@ def op1_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_top_k(table(spark, sf_dir, "embeddings"))
 
 
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .linededup import drop_recurring_lines
+
+    return drop_recurring_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op3_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .mixing import mix_sources
 
@@ -38,6 +44,12 @@ def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_documents(table(spark, sf_dir, "documents"), vocabulary())
 
 
+def op5_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .htmltext import extract_text
+
+    return extract_text(table(spark, sf_dir, "pages"))
+
+
 def op6_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .vecdedup import link_vectors
 
@@ -65,14 +77,26 @@ def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", "held_out", "score", F.when(F.col("score") >= 0.3, 1).otherwise(0).alias("predicted"))
 
 
+def op10_token_id_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .batches import new_table
+    from .idcoder import digest_token_ids, write_token_ids
+
+    path = new_table(spark, "token-ids")
+    write_token_ids(table(spark, sf_dir, "documents"), path, vocabulary())
+    return digest_token_ids(spark, path)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_topk": op1_exact_topk,
+    "op2_line_dedup": op2_line_dedup,
     "op3_source_mixing": op3_source_mixing,
     "op4_bpe": op4_bpe,
+    "op5_html_extraction": op5_html_extraction,
     "op6_embedding_near_dedup": op6_embedding_near_dedup,
     "op7_secret_scan": op7_secret_scan,
     "op8_simhash_near_dedup": op8_simhash_near_dedup,
     "op9_quality_classifier": op9_quality_classifier,
+    "op10_token_id_files": op10_token_id_files,
 }
 
 ORACLES: dict[str, str] = {
@@ -87,6 +111,39 @@ p AS (
 SELECT query_id, rank, vec_id, score FROM (
   SELECT query_id, vec_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank FROM p)
 WHERE rank <= 5""",
+    "op2_line_dedup": r"""
+WITH l AS (
+  SELECT doc_id, text, unnest(list_distinct(string_split(text, chr(10)))) AS line FROM documents WHERE text IS NOT NULL),
+t AS (
+  SELECT doc_id, text, line, list_filter(string_split_regex(line, '[\x20\x09-\x0D]+'), lambda t: t <> '') AS tokens FROM l),
+m AS (
+  SELECT doc_id, text, line, tokens, list_transform(tokens, lambda t: CASE WHEN regexp_matches(t, '[0-9]') THEN '<*>' ELSE t END) AS masked FROM t WHERE len(tokens) > 0),
+k AS (
+  SELECT *, len(tokens) || ' ' || array_to_string(masked[1:3], ' ') AS leaf FROM m),
+leaves AS (SELECT leaf FROM k GROUP BY leaf HAVING count(DISTINCT text) >= 5),
+kept AS (
+  SELECT doc_id, text, line, leaf,
+    array_to_string(CASE WHEN len(list_filter(masked, lambda t: t = '<*>')) <= 0.2::DOUBLE * len(masked) THEN masked ELSE tokens END, ' ') AS masked
+  FROM k WHERE leaf IN (SELECT leaf FROM leaves)),
+lines AS (SELECT leaf, masked, count(DISTINCT text) AS texts FROM kept GROUP BY ALL),
+places AS (
+  SELECT leaf, masked, texts, unnest(string_split(masked, ' ')) AS token, generate_subscripts(string_split(masked, ' '), 1) - 1 AS pos FROM lines),
+constant AS (SELECT leaf, pos, token FROM places WHERE pos >= 3 GROUP BY ALL HAVING sum(texts) >= 5),
+general AS (
+  SELECT p.leaf, p.masked, list(CASE WHEN p.pos >= 3 AND c.token IS NULL THEN '<*>' ELSE p.token END ORDER BY p.pos) AS template
+  FROM places p LEFT JOIN constant c ON p.leaf = c.leaf AND p.pos = c.pos AND p.token = c.token WHERE p.texts < 5 GROUP BY ALL),
+named AS (
+  SELECT k.doc_id, k.text, k.line, coalesce(array_to_string(g.template, ' '), k.masked) AS template
+  FROM kept k LEFT JOIN general g ON k.leaf = g.leaf AND k.masked = g.masked AND len(list_filter(g.template, lambda t: t = '<*>')) <= 0.2::DOUBLE * len(g.template)),
+recurring AS (SELECT template, min(doc_id) AS first FROM named GROUP BY template HAVING count(DISTINCT text) >= 5),
+drops AS (
+  SELECT n.doc_id, list(DISTINCT n.line) AS gone FROM named n JOIN recurring r USING (template) WHERE n.doc_id IS DISTINCT FROM r.first GROUP BY n.doc_id)
+SELECT d.doc_id,
+  CASE WHEN d.text IS NULL OR x.gone IS NULL THEN d.text
+    ELSE array_to_string(list_filter(string_split(d.text, chr(10)), lambda l: NOT list_contains(x.gone, l)), chr(10)) END AS text,
+  CASE WHEN d.text <> '' THEN len(string_split(d.text, chr(10))) ELSE 0 END::BIGINT AS n_lines,
+  CASE WHEN d.text <> '' AND x.gone IS NOT NULL THEN len(list_filter(string_split(d.text, chr(10)), lambda l: list_contains(x.gone, l))) ELSE 0 END::BIGINT AS n_dropped
+FROM documents d LEFT JOIN drops x ON d.doc_id IS NOT DISTINCT FROM x.doc_id""",
     "op3_source_mixing": r"""
 WITH d AS (SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size FROM documents),
 s AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
