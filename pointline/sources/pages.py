@@ -20,7 +20,8 @@ def plain_text(html: Column) -> Column:
 
 def cut_blocks(pages: DataFrame, html: str, marker: str, keep: list[str]) -> DataFrame:
     """One row per block that begins with ``marker`` (a pattern), numbered in page order."""
-    return pages.select(*keep, F.posexplode(F.slice(F.split(html, f"(?={marker})"), 2, 1_000_000)).alias("position", "block"))
+    parts = F.split(html, f"(?={marker})")
+    return pages.select(*keep, F.posexplode(parts).alias("position", "block")).where(F.col("block").rlike(f"^{marker}"))
 
 
 def archive_tournaments(pages: DataFrame) -> DataFrame:
