@@ -44,7 +44,7 @@ def read_matches(spark: SparkSession, path: str, exclude: str = "challenger") ->
 
 def to_match_events(raw: DataFrame) -> DataFrame:
     """Raw rows as stored events, winner first; an unknown level raises."""
-    day = F.try_to_date("tourney_date", F.lit("yyyyMMdd"))
+    day = F.try_to_date("tourney_date", "yyyyMMdd")
     level = F.lit(None).cast("string")
     for code, name in LEVELS.items():
         level = F.when(F.col("tourney_level") == code, name).otherwise(level)
@@ -93,7 +93,7 @@ def read_rankings(spark: SparkSession, path: str | Sequence[str], limit: int | N
     rank, points = F.col("rank").try_cast("int"), F.col("points").try_cast("int")
     if limit is not None:
         rows = rows.where(rank.isNull() | (rank <= limit))
-    day = F.when(F.col("ranking_date").rlike("^[0-9]{8}$"), F.try_to_date("ranking_date", F.lit("yyyyMMdd")))
+    day = F.when(F.col("ranking_date").rlike("^[0-9]{8}$"), F.try_to_date("ranking_date", "yyyyMMdd"))
     reason = F.when(day.isNull(), "ranking_date").when(rank.isNull() | (rank < 1) | ~F.col("rank").rlike("^[0-9]+$"), "rank").when(F.col("player").isNull() | ~F.col("player").rlike("^[A-Za-z0-9]+$"), "player").when(F.col("points").isNotNull() & (points.isNull() | (points < 0)), "points")
     return rows.select(day.alias("ranking_date"), rank.cast("short").alias("rank"), F.col("player").alias("player_id"), points.alias("points"), reason.alias("reject_reason"))
 
@@ -102,7 +102,7 @@ def read_profiles(spark: SparkSession, path: str) -> DataFrame:
     """Typed profile rows, the last of each id in file order; 0 and blank measures are missing."""
     rows = read_strings(spark, path, PROFILE_HEADER).select("*", F.col("_metadata.file_path").alias("__file"), F.monotonically_increasing_id().alias("__seq"))
     whole = lambda c, lo, hi: F.when(F.col(c).try_cast("int").between(lo, hi), F.col(c).try_cast("int"))
-    birth = F.when(F.col("birthdate").rlike("^[0-9]{8}$"), F.try_to_date("birthdate", F.lit("yyyyMMdd")))
+    birth = F.when(F.col("birthdate").rlike("^[0-9]{8}$"), F.try_to_date("birthdate", "yyyyMMdd"))
     last = F.row_number().over(Window.partitionBy("id").orderBy(F.desc("__file"), F.desc("__seq")))
     rows = rows.where("id IS NOT NULL").withColumn("__rn", last).where("__rn = 1")
     return rows.select(

@@ -26,9 +26,9 @@ def cut_blocks(pages: DataFrame, html: str, marker: str, keep: list[str]) -> Dat
 
 def archive_tournaments(pages: DataFrame) -> DataFrame:
     """Tournaments of archive pages (html, year): id, slug, name, tier badge, dates."""
-    cards = cut_blocks(pages, "html", '<[a-z]+[^>]*class="[^"]*\\\\btournament\\\\b', ["year"])
+    cards = cut_blocks(pages, "html", r'<[a-z]+[^>]*class="[^"]*\btournament\b', ["year"])
     link = r'href="[^"]*/tournaments/([^/"]+)/([^/"]+)/'
-    cell = lambda c: F.nullif(plain_text(F.regexp_extract("block", f'class="[^"]*\\\\b{c}\\\\b[^"]*"[^>]*>(.*?)</', 1)), F.lit(""))
+    cell = lambda c: F.nullif(plain_text(F.regexp_extract("block", rf'class="[^"]*\b{c}\b[^"]*"[^>]*>(.*?)</', 1)), F.lit(""))
     rows = cards.select("year", "position", F.regexp_extract("block", link, 1).alias("slug"), F.regexp_extract("block", link, 2).alias("tournament_id"), cell("name").alias("name"), F.regexp_extract("block", r"categorystamps_([a-z0-9]+)", 1).alias("tier"), cell("Date").alias("dates"))
     start, end = date_range(F.col("dates"), F.col("year"))
     return rows.where("tournament_id <> ''").select("year", "position", "tournament_id", "slug", "name", "tier", start.alias("start_date"), end.alias("end_date"))
@@ -67,7 +67,7 @@ def overview_profiles(pages: DataFrame) -> DataFrame:
     own = F.upper(get(r'data-player-id="([A-Za-z0-9]+)"'))
     plays = F.lower(fact("Plays"))
     return pages.select(
-        "player_id", get(r'(?s)class="player_name"[^>]*>(.*?)</').alias("display_name"), F.try_to_date(F.regexp_extract(fact("DOB"), r"([0-9]{4}[/.-][0-9]{2}[/.-][0-9]{2})", 1), F.lit("yyyy/MM/dd")).alias("birthdate"),
+        "player_id", get(r'(?s)class="player_name"[^>]*>(.*?)</').alias("display_name"), F.try_to_date(F.regexp_extract(fact("DOB"), r"([0-9]{4}[/.-][0-9]{2}[/.-][0-9]{2})", 1), "yyyy/MM/dd").alias("birthdate"),
         F.regexp_extract(fact("Weight"), r"\(?([0-9]+) ?kg", 1).try_cast("short").alias("weight"), F.regexp_extract(fact("Height"), r"\(?([0-9]+) ?cm", 1).try_cast("short").alias("height"), fact("Turned pro").try_cast("int").alias("turned_pro"),
         F.when(plays.contains("left-handed"), "L").when(plays.contains("right-handed"), "R").alias("handedness"), F.when(plays.contains("two-handed"), "2H").when(plays.contains("one-handed"), "1H").alias("backhand"), fact("Birthplace").alias("birthplace"),
         F.upper(get(r"flags/([a-z]{3})\.svg")).alias("ioc"), F.when(own.isNull(), "no player id").when(own != F.upper("player_id"), "other player").alias("reject_reason"),
