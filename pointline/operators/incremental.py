@@ -20,7 +20,7 @@ def insert_absent(stored: DataFrame, new: DataFrame, key: Sequence[str]) -> Data
 
 def overwrite(stored: DataFrame, new: DataFrame, key: Sequence[str]) -> DataFrame:
     """New rows, and stored ones of other keys."""
-    return stored.join(new.select(*key), list(key), "left_anti").unionByName(new)
+    return stored.join(new.select(*key), list(key), "left_anti").unionByName(new).select(*stored.columns)
 
 
 def upsert_actions(stored: DataFrame, new: DataFrame, key: Sequence[str], values: Sequence[str], force: Column | None = None, skip: Column | None = None) -> DataFrame:
@@ -66,7 +66,7 @@ def rebuild(events: DataFrame, built: DataFrame, entities: DataFrame, build: Cal
     """
     part = events.join(affected_events(events, entities), "match_id", "left_semi")
     fresh = build(part).join(entities, entity, "left_semi")
-    return built.join(entities, entity, "left_anti").unionByName(fresh)
+    return built.join(entities, entity, "left_anti").unionByName(fresh).select(*built.columns)
 
 
 def publish(df: DataFrame, root: str, version: str, checks: Sequence[tuple[str, Callable[[DataFrame], DataFrame]]]) -> str:
