@@ -28,7 +28,10 @@ def masked(tokens: Column) -> Column:
 
 
 def line_templates(docs: DataFrame, id_col: str, text_col: str, min_docs: int, depth: int, wild: float) -> DataFrame:
-    """(id, line, template, text_key): lines of recurring leaves, with their templates."""
+    """(id, text_key, line, template): hashes of the lines of recurring leaves and of their templates.
+
+    Each distinct masked line moves once with its text; all else that is shuffled are hashes.
+    """
     rows = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text")).where("text IS NOT NULL")
     lines = rows.select("id", F.xxhash64("text").alias("text_key"), F.explode(F.array_distinct(F.split("text", "\n"))).alias("line"))
     lines = lines.withColumn("tokens", tokens_of(F.col("line"))).where("size(tokens) > 0")
@@ -39,18 +42,19 @@ def line_templates(docs: DataFrame, id_col: str, text_col: str, min_docs: int, d
     # a line that is mostly fields says nothing once masked, so it stands as it is
     fields = lambda c: F.size(F.filter(c, lambda t: t == FIELD)) / F.size(c)
     kept = kept.withColumn("m", masked(F.col("tokens"))).withColumn("m", F.when(fields(F.col("m")) <= wild, F.col("m")).otherwise(F.col("tokens")))
-    kept = stable(kept.select("id", "text_key", "line", "leaf", F.concat_ws(" ", "m").alias("masked")))
-    distinct = stable(kept.select("leaf", "masked", "text_key").distinct().groupBy("leaf", "masked").agg(F.count("*").alias("texts")))
-    places = distinct.select("leaf", "masked", "texts", F.posexplode(F.split("masked", " ")).alias("pos", "token"))
-    constant = places.where(F.col("pos") >= depth).groupBy("leaf", "pos", "token").agg(F.sum("texts").alias("n")).where(F.col("n") >= min_docs).select("leaf", "pos", "token", F.lit(True).alias("constant"))
+    kept = kept.withColumn("masked", F.concat_ws(" ", "m"))
+    kept = stable(kept.select("id", "text_key", F.xxhash64("line").alias("line"), "leaf", "masked", F.xxhash64("masked").alias("key")))
+    texts = kept.select("leaf", "key", "text_key").distinct().groupBy("leaf", "key").agg(F.count("*").alias("texts"))
+    distinct = stable(kept.groupBy("leaf", "key").agg(F.first("masked").alias("masked")).join(texts, ["leaf", "key"]))
+    token = F.posexplode(F.transform(F.split("masked", " "), lambda t: F.xxhash64(t))).alias("pos", "token")
+    places = distinct.select("leaf", "key", "texts", token).where(F.col("pos") >= depth)
+    constant = places.groupBy("leaf", "pos", "token").agg(F.sum("texts").alias("n")).where(F.col("n") >= min_docs).select("leaf", "pos", "token")
     # lines that recur by themselves need no generalisation
-    rare = places.where(F.col("texts") < min_docs).join(constant, ["leaf", "pos", "token"], "left")
-    field = (F.col("pos") >= depth) & F.col("constant").isNull()
-    general = rare.groupBy("leaf", "masked").agg(
-        F.concat_ws(" ", F.transform(F.array_sort(F.collect_list(F.struct("pos", F.when(field, F.lit(FIELD)).otherwise(F.col("token")).alias("t")))), lambda x: x["t"])).alias("template")
-    )
-    general = general.where(fields(F.split("template", " ")) <= wild).where("template <> masked")
-    return kept.join(general, ["leaf", "masked"], "left").select("id", "text_key", "line", F.coalesce("template", "masked").alias("template"))
+    loose = places.where(F.col("texts") < min_docs).join(constant, ["leaf", "pos", "token"], "left_anti").groupBy("leaf", "key").agg(F.collect_list("pos").alias("loose"))
+    general = distinct.join(loose, ["leaf", "key"]).withColumn("t", F.transform(F.split("masked", " "), lambda t, i: F.when(F.array_contains("loose", i), F.lit(FIELD)).otherwise(t)))
+    general = general.where(fields(F.col("t")) <= wild).select("leaf", "key", F.xxhash64(F.concat_ws(" ", "t")).alias("template"))
+    named = kept.select("id", "text_key", "line", "leaf", "key").join(general, ["leaf", "key"], "left")
+    return named.select("id", "text_key", "line", F.coalesce("template", "key").alias("template"))
 
 
 def drop_recurring_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_docs: int = 5, depth: int = 3, wild: float = 0.2, keep_first: bool = True) -> DataFrame:
@@ -73,7 +77,7 @@ def drop_recurring_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str
     drops = lines.join(recurring, "template")
     if keep_first:
         drops = drops.where(~F.col("id").eqNullSafe(F.col("first")))
-    drops = drops.groupBy(F.col("id").alias("__id")).agg(F.collect_set(F.xxhash64("line")).alias("__drop"))
+    drops = drops.groupBy(F.col("id").alias("__id")).agg(F.collect_set("line").alias("__drop"))
     columns = [c for c in docs.columns if c.lower() not in ("n_lines", "n_dropped")]
     text = F.col(f"`{text_col}`")
     joined = docs.select(*[F.col(f"`{c}`") for c in columns]).join(drops, F.col(f"`{id_col}`").eqNullSafe(F.col("__id")), "left")
