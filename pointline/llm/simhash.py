@@ -120,6 +120,11 @@ def lowest_labels(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return nodes[moved], nodes[label[moved]]
 
 
+def differing(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Number of differing bits; of a negative number numpy would count the bits of its magnitude."""
+    return np.bitwise_count((a ^ b).view(np.uint64))
+
+
 def close_pairs(key: np.ndarray, prints: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
     """Pairs of different fingerprints within ``distance`` that share a key; ``key`` is sorted."""
     first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
@@ -128,7 +133,7 @@ def close_pairs(key: np.ndarray, prints: np.ndarray, distance: int) -> tuple[np.
     at, found = np.flatnonzero(left > 0), []
     step = 1
     while len(at):
-        near = np.bitwise_count(prints[at] ^ prints[at + step]) <= distance
+        near = differing(prints[at], prints[at + step]) <= distance
         if near.any():
             found.append((prints[at[near]], prints[at[near] + step]))
         step += 1
@@ -219,7 +224,7 @@ def near_links(prints: DataFrame, distance: int = 4, run: int = RUN) -> DataFram
             left, right = p[own == x], p if (own == x).all() else p[own != x]
             a, b = [], []
             for at in range(0, len(left), 1024):
-                i, j = np.nonzero(np.bitwise_count(left[at : at + 1024, None] ^ right[None, :]) <= distance)
+                i, j = np.nonzero(differing(left[at : at + 1024, None], right[None, :]) <= distance)
                 a.append(left[at + i])
                 b.append(right[j])
             node, label = lowest_labels(np.concatenate(a), np.concatenate(b)) if a else (left, left)
