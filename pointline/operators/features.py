@@ -71,16 +71,20 @@ def feature_columns(p: str = "p", o: str = "o") -> list[Column]:
 def match_features(events: DataFrame, matches: DataFrame, snapshots: DataFrame, defaults: DataFrame, profiles: DataFrame) -> DataFrame:
     """The feature table: 8 meta columns, 37 features and 10 similarity columns per directional row.
 
-    Each directional row gets the latest strictly earlier snapshot of its player, then meets the
-    other side's row of its event. Head-to-head comes from the events, one list per event that both
+    Each directional row gets the latest strictly earlier snapshot of its player, then is paired with
+    the other side's row of its event. Head-to-head comes from the events, one list per event that both
     orientations read.
     """
     rows = matches.select("match_id", "match_date", "surface", "player_id", "opponent_id", "match_won")
     prior = as_of_join(rows, snapshots, ["player_id"], "match_date", "snapshot_date", PRIOR, tie=["match_id"], prefix="prior_")
     sides = side_values(prior, defaults, profiles)
-    others = sides.select("match_id", F.col("player_id").alias("opponent_id"), F.col("side").alias("o"))
+    # both rows of an event meet in one grouping, so neither side's state is computed twice
+    own = F.struct("match_date", "surface", "player_id", "opponent_id", "match_won", "side")
+    events_ = sides.groupBy("match_id").agg(F.collect_list(own).alias("rows"))
+    other = lambda me: F.get(F.filter("rows", lambda r: r["player_id"] == me["opponent_id"]), F.lit(0))["side"]
+    met = events_.select("match_id", F.explode(F.transform("rows", lambda me: F.struct(me.alias("me"), other(me).alias("o")))).alias("z")).where("z.o IS NOT NULL").select("match_id", "z.me.*", F.col("z.o").alias("o")).withColumnRenamed("side", "p")
     context = last_n_prior(events, "player1_id", "player2_id", "match_date", "match_id", ["winner_id", "surface"]).select("match_id", "tournament", "round", "is_indoor", "best_of", "prior")
-    rows = sides.withColumnRenamed("side", "p").join(others, ["match_id", "opponent_id"]).join(context, "match_id", "left")
+    rows = met.join(context, "match_id", "left")
     rows = rows.withColumn("prior", F.coalesce("prior", F.array()))
     return rows.select(*META_COLS, *feature_columns(), *head_to_head(F.col("prior"), F.col("player_id"), F.col("surface")), *context_features()).select(*META_COLS, *FEATURE_COLS, *SIMILARITY_COLS)
 
