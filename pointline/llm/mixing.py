@@ -7,6 +7,11 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .batches import stable
+
+#: Sources up to which their table is broadcast; beyond it, it is joined by a shuffle.
+BROADCAST_SOURCES = 50_000
+
 #: Fixed pattern of a word.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -64,10 +69,12 @@ def mix_sources(
     keep = [c for c in docs.columns if c.lower() in taken or c.lower() not in made]
     rows = docs.select(*[F.col(f"`{c}`") for c in keep], document_size(F.col(f"`{text_col}`")).alias("__size"))
     sums = docs.groupBy(F.col(f"`{source_col}`").alias("__source")).agg(F.sum(document_size(F.col(f"`{text_col}`"))).alias("__source_size"))
-    targets = source_targets(sums, "__source", "__source_size", weights, share, most)
-    rate = F.when(F.col("__source_size") > 0, F.col("target") / F.col("__source_size")).otherwise(F.lit(0.0))
+    targets = stable(source_targets(sums, "__source", "__source_size", weights, share, most))
+    if targets.count() <= BROADCAST_SOURCES:
+        targets = F.broadcast(targets)
+    rate = F.when(F.col("__source_size") > 0, F.col("target") / F.col("__source_size")).otherwise(F.lit(0.0)).alias("rate")
     copies = F.floor("rate") + F.when(unit_hash(F.col(f"`{id_col}`"), seed) < F.col("rate") - F.floor("rate"), 1).otherwise(0)
-    joined = rows.join(targets.withColumn("rate", rate), F.col(f"`{source_col}`").eqNullSafe(F.col("__source")), "left")
+    joined = rows.join(targets, F.col(f"`{source_col}`").eqNullSafe(F.col("__source")), "left").select(*[F.col(f"`{c}`") for c in keep], "__size", "__source_size", "target", rate)
     out = joined.withColumn("__copies", copies.cast("long"))
     return out.select(*[F.col(f"`{c}`") for c in keep], F.col("__size").alias("size"), F.col("__source_size").alias("source_size"), "target", "rate", F.col("__copies").alias("copies"))
 
