@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
-from ..operators.incremental import affected_events, overwrite, write_buckets
+from ..operators.incremental import affected_events, keep_latest, write_buckets
 
 
 def stream_events(spark: SparkSession, path: str, schema: StructType, stamp: str = "ingested_at", late: str = "7 days", key: str = "match_id", files: int = 8) -> DataFrame:
@@ -18,46 +18,39 @@ def stream_events(spark: SparkSession, path: str, schema: StructType, stamp: str
     return stream.withWatermark(stamp, late).dropDuplicatesWithinWatermark([key, stamp])
 
 
+def current_events(spark: SparkSession, events_path: str, stamp: str = "ingested_at") -> DataFrame:
+    """The newest version of each event in a log of micro-batches; within one, that of the newest stamp."""
+    log = spark.read.parquet(events_path)
+    return keep_latest(log, ["match_id"], [F.desc("epoch"), F.desc(stamp)]).drop("epoch")
+
+
 def maintain(stream: DataFrame, events_path: str, table_path: str, build: Callable[[DataFrame], DataFrame], checkpoint: str, buckets: int = 64) -> StreamingQuery:
-    """Each micro-batch overwrites events by key, then rebuilds the buckets of the players it touches.
+    """Each micro-batch joins the event log, then the buckets of the players it touches are rebuilt.
 
+    The log only grows by the batch, under the batch's number, so a repeated batch replaces itself.
     The rebuild reads the full history of every player of a touched bucket, so arrivals in any order
-    give the table of a full build; a repeated batch writes the same rows again.
+    give the table of a full build; of a corrected event the players of all its versions are touched.
     """
 
     def apply(batch: DataFrame, epoch: int) -> None:
         spark = batch.sparkSession
         if batch.isEmpty():
             return
-        batch = batch.persist()
-        try:
-            stored = spark.read.parquet(events_path) if _exists(spark, events_path) else batch.limit(0)
-            # both the old and the new version's players of a corrected event are touched
-            before = stored.join(batch.select("match_id"), "match_id", "left_semi")
-            sides = before.select("player1_id", "player2_id").union(batch.select("player1_id", "player2_id"))
-            touched = sides.select(F.explode(F.array("player1_id", "player2_id")).alias("player_id")).distinct()
-            touched = touched.select(F.pmod(F.xxhash64("player_id"), F.lit(buckets)).cast("int").alias("bucket")).distinct().persist()
-            # versions of the event table alternate, so a batch never overwrites what it reads
-            merged = overwrite(stored, batch, ["match_id"])
-            merged.write.mode("overwrite").parquet(f"{events_path}.next")
-            merged = spark.read.parquet(f"{events_path}.next")
-            merged.write.mode("overwrite").parquet(events_path)
-            ids = merged.select(F.explode(F.array("player1_id", "player2_id")).alias("player_id")).distinct()
-            players = ids.withColumn("bucket", F.pmod(F.xxhash64("player_id"), F.lit(buckets)).cast("int")).join(F.broadcast(touched), "bucket", "left_semi").select("player_id")
-            part = merged.join(affected_events(merged, players), "match_id", "left_semi")
-            write_buckets(build(part).join(players, "player_id", "left_semi"), table_path, "player_id", buckets)
-            touched.unpersist()
-        finally:
-            batch.unpersist()
+        batch.write.mode("overwrite").parquet(f"{events_path}/epoch={epoch}")
+        log = spark.read.parquet(events_path)
+        keys = log.where(F.col("epoch") == epoch).select("match_id")
+        versions = log.join(keys, "match_id", "left_semi")
+        bucket = F.pmod(F.xxhash64("player_id"), F.lit(buckets)).cast("int").alias("bucket")
+        sides = F.explode(F.array("player1_id", "player2_id")).alias("player_id")
+        touched = F.broadcast(versions.select(sides).select(bucket).distinct())  # at most ``buckets`` rows
+        events = current_events(spark, events_path)
+        players = events.select(sides).distinct().select("player_id", bucket).join(touched, "bucket", "left_semi").select("player_id")
+        part = events.join(affected_events(events, players), "match_id", "left_semi")
+        write_buckets(build(part).join(players, "player_id", "left_semi"), table_path, "player_id", buckets)
 
     return stream.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop)
-
-
 def windowed_counts(stream: DataFrame, stamp: str, key: str, value: str, size: str = "1 hour", slide: str | None = None, late: str = "10 minutes") -> DataFrame:
     """Extension: counts and sums per key and event-time window, with a watermark on a stream."""
     if stream.isStreaming:
