@@ -226,6 +226,13 @@ def test_alignment_is_a_longest_common_subsequence():
         assert len(at) == table[-1][-1] and at == sorted(set(at))
 
 
+def test_zones_follow_names_and_elements():
+    zones = lambda page: dict(htmltext.page_blocks(page))
+    got = zones("<body class='has-sidebar'><div class='page sidebar-wrap'>x<main><header><h1>H</h1></header><p>t<div id='ad-1'>ad</div></main></div><div class='comments'><article>c</article></div><header>top</header>")
+    assert got["H"] == got["t"] == 2 and got["ad"] == got["c"] == got["top"] == 0 and got["x"] < 0
+    assert zones("<body class='no-sidebar'><p>a</p><div class='with-sidebar'>b</div><div hidden>h</div><p role=navigation>n")["b"] == 1
+
+
 def test_very_long_and_broken_pages():
     assert htmltext.page_blocks("<p>" + "x " * 200_000)[0][0].count("x") == 200_000
     assert htmltext.page_blocks('<p class="a>text') and htmltext.page_blocks("<" * 5000) and htmltext.page_blocks("<b>" * 20_000 + "t")[0][0] == "t"
