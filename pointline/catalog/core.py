@@ -81,7 +81,7 @@ def tour_defaults(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Tables(spark, sf_dir).defaults
 
 
-@query(with_tables("SELECT * FROM lp", "lp").replace("SELECT * FROM lp", "SELECT * REPLACE (match_count::BIGINT AS match_count) FROM (SELECT COLUMNS(*) FROM lp)"))
+@query()
 def lifetime_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """D1-D7, C8, F6."""
     return rounded(Tables(spark, sf_dir).lifetime)

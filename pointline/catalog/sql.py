@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable
 
 from .. import standins
@@ -92,7 +93,7 @@ FROM player_profiles b
 LEFT JOIN (SELECT player_id, {_OWN}, {_ratios(OWN_RATIOS)}, {_dominance()} AS dominance, avg(match_won) AS career_win_rate,
     {', '.join(f"count(*) FILTER (WHERE surface = '{s}') AS {s}_matches, avg(match_won) FILTER (WHERE surface = '{s}') AS {s}_win_rate" for s in ('hard', 'clay', 'grass'))}
   FROM pm GROUP BY player_id) a USING (player_id)
-LEFT JOIN (SELECT p.player_id, {_ratios({n: tuple(__import__('re').sub(r'([a-z_]+)', r'o.\1', x) for x in r) for n, r in RETURN_RATIOS.items()})}
+LEFT JOIN (SELECT p.player_id, {_ratios({n: tuple(re.sub(r'([a-z_]+)', r'o.\1', x) for x in r) for n, r in RETURN_RATIOS.items()})}
   FROM pm p JOIN pm o ON o.match_id = p.match_id AND o.player_id = p.opponent_id GROUP BY p.player_id) f USING (player_id)
 LEFT JOIN (SELECT player_id, max(snapshot_date) AS recent_snapshot_date, arg_max(win_rate_10, (snapshot_date, match_id)) AS win_rate_10 FROM rf GROUP BY 1) s USING (player_id)
 LEFT JOIN (SELECT player_id, arg_max(rank, ranking_date) AS official_rank FROM rankings GROUP BY 1) r USING (player_id)""",

@@ -7,7 +7,7 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..schemas import CONTEXT_COLS, DIFF_COLS, DIFF_SOURCES, FEATURE_COLS, FORM_SURFACES, H2H_COLS, META_COLS, PAIRED_COLS, ROUND_LEVEL, SIDE_COLS, SIMILARITY_COLS, SIMILARITY_SIDE, SNAPSHOT_VALUES, TOURNAMENT_LEVEL
+from ..schemas import DIFF_COLS, DIFF_SOURCES, FEATURE_COLS, FORM_SURFACES, META_COLS, ROUND_LEVEL, SIDE_COLS, SIMILARITY_COLS, SIMILARITY_SIDE, SNAPSHOT_VALUES, TOURNAMENT_LEVEL
 from .asof import as_of_join, last_n_prior, last_n_prior_for
 from .profiles import head_to_head
 
@@ -48,9 +48,9 @@ def side_values(rows: DataFrame, defaults: DataFrame, profiles: DataFrame) -> Da
     rest = F.least(F.lit(float(REST_CAP)), F.coalesce(F.datediff("match_date", "prior_snapshot_date").cast("double"), F.col("__d.days_since_default")))
     hand = F.when(F.col("handedness") == "L", 1.0).when(F.col("handedness") == "R", 0.0)
     names = {"latest_player_ranking": "ranking", "latest_player_rank_points": "rank_points", "latest_player_age": "age"}
-    values = [filled(c).alias(names.get(c, c)) for c in SNAPSHOT_VALUES if not c.endswith("win_rate_10") or c == "win_rate_10"]
+    plain = [c for c in SNAPSHOT_VALUES if c != "avg_player_rank_10" and (c == "win_rate_10" or not c.endswith("win_rate_10"))]
     side = F.struct(
-        *[v for v, c in zip(values, [c for c in SNAPSHOT_VALUES if not c.endswith("win_rate_10") or c == "win_rate_10"], strict=True) if c != "avg_player_rank_10"],
+        *[filled(c).alias(names.get(c, c)) for c in plain],
         (filled("avg_player_rank_10") - filled("latest_player_ranking")).alias("rank_trend_10"),
         form.alias("surface_form"),
         F.log1p(rest).alias("log_rest"),
@@ -119,6 +119,3 @@ def swap_violations(features: DataFrame, tolerance: float = 1e-9) -> DataFrame:
     flipped = mirrored(features).select("match_id", "player_id", *[F.col(c).alias(f"__{c}") for c in FEATURE_COLS])
     off = F.array_compact(F.array(*[F.when(~(F.abs(F.col(c) - F.col(f"__{c}")) <= tolerance), F.lit(c)) for c in FEATURE_COLS]))
     return features.join(flipped, ["match_id", "player_id"]).select("match_id", "player_id", F.explode(off).alias("column"))
-
-
-__all__ = ["CONTEXT_COLS", "H2H_COLS", "PAIRED_COLS", "match_features", "request_features", "mirrored", "swap_violations"]

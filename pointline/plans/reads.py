@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalars import benchmark_delta, name_key, rank_label
+from ..functions.scalars import benchmark_delta, rank_label
 from ..operators.asof import as_of_join
 
 #: A lifetime value and the benchmark it is compared with.
@@ -81,6 +81,3 @@ def search_names(profiles: DataFrame, queries: DataFrame, share: float = 0.2) ->
     hits = asks.join(names.select("word").distinct(), close).select("query_id", "ask", "word", F.when(F.col("word").startswith(F.col("ask")), 0).otherwise(edits).alias("edits"))
     found = hits.join(names, "word").groupBy("query_id", "player_id", "display_name", "ask").agg(F.min("edits").alias("edits")).groupBy("query_id", "player_id", "display_name").agg(F.count("*").alias("met"), F.sum("edits").alias("edits"))
     return found.join(need, "query_id").where("met = need").select("query_id", "player_id", "display_name", "edits")
-
-
-__all__ = ["name_key", "player_profiles", "match_history", "pair_page", "directory", "directory_totals", "search_names"]
