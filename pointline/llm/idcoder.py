@@ -12,13 +12,15 @@ from __future__ import annotations
 import struct
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .bpe import Encoder
+from .batches import written
+from .bpe import Encoder, byte_letters
 
 #: Fixed start of a shard: name and version.
 MAGIC = b"IDMX\x01"
@@ -296,8 +298,36 @@ class LibraryEncoder(Encoder):
         super().__init__()
 
     def encode_pieces(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        found = [e.ids for e in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
-        return np.array([i for ids in found for i in ids], dtype=np.int32), np.array([len(ids) for ids in found], dtype=np.int64)
+        """Ids of all pieces in one array, and the number of each piece's.
+
+        Pieces that begin with a space before a word go to the library joined, many at a time: a
+        cut before such a space never changes ids. Each id's bytes then tell where pieces end.
+        """
+        if not hasattr(self, "lengths"):
+            letters, special = byte_letters(), {t.content for t in self.tokenizer.get_added_tokens_decoder().values()}
+            vocab = self.tokenizer.get_vocab(with_added_tokens=True)
+            self.lengths = np.zeros(max(vocab.values()) + 1, dtype=np.int64)
+            for token, i in vocab.items():
+                self.lengths[i] = len(token.encode()) if token in special or not all(c in letters for c in token) else len(token)
+        starts, joined = [], []
+        for k, piece in enumerate(pieces):
+            own = not (piece[0] == " " and piece[1:2].strip()) or len(piece) > 64
+            if own or not starts or self._alone(pieces, starts[-1]) or k - starts[-1] >= 512:
+                starts.append(k)
+        ends = [*starts[1:], len(pieces)]
+        joined = ["".join(pieces[a:b]) for a, b in zip(starts, ends, strict=True)]
+        found = [e.ids for e in self.tokenizer.encode_batch_fast(joined, add_special_tokens=False)]
+        ids = np.fromiter(chain.from_iterable(found), dtype=np.int32)
+        reach = np.cumsum(self.lengths[ids])
+        wanted = np.cumsum(np.fromiter((len(p.encode()) for p in pieces), np.int64, len(pieces)))
+        at = np.searchsorted(reach, wanted, side="left")
+        if not (reach[at] == wanted).all():
+            raise ValueError("ids don't line up with the pieces")
+        return ids, np.diff(np.r_[0, at + 1])
+
+    @staticmethod
+    def _alone(pieces: list[str], k: int) -> bool:
+        return not (pieces[k][0] == " " and pieces[k][1:2].strip()) or len(pieces[k]) > 64
 
 
 _libraries: dict[str, LibraryEncoder] = {}
@@ -373,7 +403,8 @@ def read_token_ids(spark: SparkSession, path: str) -> DataFrame:
     totals = small.groupBy("part").agg(F.sum("n_ids").alias("n"))
     totals = totals.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("offset"))
     starts = small.join(F.broadcast(totals), "part").select("place", (F.col("before") + F.col("offset")).alias("start"))
-    return shards.join(starts, "place").select("start", "data")
+    # of known size once written, so Spark need not shuffle the shards to join it
+    return shards.join(written(starts, "shard-starts"), "place").select("start", "data")
 
 
 def digest_token_ids(spark: SparkSession, path: str) -> DataFrame:
