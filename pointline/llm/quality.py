@@ -18,15 +18,17 @@ from .batches import map_text, without
 
 #: Labelled rows learned from, at most.
 SAMPLE = 4_000
-#: Longer texts aren't learned from, so that the sample that goes to the driver has a bound.
-SAMPLE_CHARS = 100_000
+#: Of longer texts this many characters, in slices spread evenly, are learned from, so that the sample that goes to the driver has a bound.
+SAMPLE_CHARS, SLICES = 100_000, 10
 #: Words of a sampled document that training looks at in one step, at most: the whole text in so many pieces.
 TRAIN_WORDS = 600
-#: Words that a worker remembers before it starts anew.
-MAX_WORDS = 250_000
+#: Words, and their characters, that a worker remembers before it starts anew.
+MAX_WORDS, MAX_CHARS = 250_000, 16_000_000
+#: Pieces of words, and their characters, that are hashed at once.
+STEP_WORDS, STEP_CHARS = 20_000, 400_000
 #: Features that a word which repeats its predecessor counts for; they share bucket 0.
 REPEAT = 8
-#: Only this much of a longer word's ends is hashed; its length enters as a feature.
+#: Longer words are hashed in pieces of this many characters, all of them.
 WORD_CHARS = 48
 
 
@@ -45,12 +47,26 @@ class SubwordModel:
         return len(self.vectors)
 
 
+def pieces_of(words: list[str]) -> tuple[list[str], np.ndarray]:
+    """All pieces of all words, and the place of the word of each."""
+    pieces, owner = [], []
+    for k, w in enumerate(words):
+        if len(w) <= WORD_CHARS:
+            pieces.append(w)
+            owner.append(k)
+        else:
+            cut = [w[at : at + WORD_CHARS] for at in range(0, len(w), WORD_CHARS)]
+            pieces += cut
+            owner += [k] * len(cut)
+    return pieces, np.array(owner, dtype=np.int64)
+
+
 def word_features(words: list[str], buckets: int, shortest: int, longest: int) -> tuple[np.ndarray, np.ndarray]:
-    """Bucket of each feature of all words, and the number of features of each word.
+    """Bucket of each feature of all words (or pieces), and the number of features of each.
 
     A word's features are the whole word and the n-grams of its characters between two marks.
     """
-    marked = ["\x02" + (w if len(w) <= WORD_CHARS else w[: WORD_CHARS // 2] + w[-WORD_CHARS // 2 :]) + "\x03" for w in words]
+    marked = ["\x02" + w + "\x03" for w in words]
     code = np.frombuffer("".join(marked).encode("utf-32-le"), dtype="<u4").astype(np.uint64)
     size = np.fromiter(map(len, marked), np.int64, len(marked))
     word = np.repeat(np.arange(len(words)), size)
@@ -87,7 +103,7 @@ def train(texts: list[str], labels: list[int], dim: int = 16, buckets: int = 1 <
         words = text.split()
         for at in range(0, max(len(words), 1), TRAIN_WORDS):
             own = words[at : at + TRAIN_WORDS]
-            ids, _ = word_features(own, buckets, model.shortest, model.longest)
+            ids, _ = word_features(pieces_of(own)[0], buckets, model.shortest, model.longest)
             ids = np.r_[ids, np.zeros(REPEAT * sum(map(str.__eq__, own[1:], own)), dtype=np.int64)]
             if len(ids):
                 which, times = np.unique(ids, return_counts=True)
@@ -120,10 +136,11 @@ class WordScores:
 
     def clear(self) -> None:
         self.number: dict[str, int] = {}
+        self.chars = 0
         self.sums, self.sizes = np.zeros(0), np.zeros(0)
 
     def score(self, texts: list[str | None]) -> np.ndarray:
-        if len(self.number) > MAX_WORDS:
+        if len(self.number) > MAX_WORDS or self.chars > MAX_CHARS:
             self.clear()
         number, rows, new = self.number, [], []
         for text in texts:
@@ -137,13 +154,20 @@ class WordScores:
                             new.append(w)
                         own[i] = n
             rows.append(np.array(own, dtype=np.int64))
-        for at in range(0, len(new), 20_000):
-            part = new[at : at + 20_000]
-            ids, sizes = word_features(part, len(self.scalar), self.shortest, self.longest)
-            ends = np.r_[0, np.cumsum(sizes)]
-            values = self.scalar[ids]
-            self.sums = np.r_[self.sums, np.add.reduceat(values, ends[:-1])]
-            self.sizes = np.r_[self.sizes, sizes]
+        if new:
+            self.chars += sum(map(len, new))
+            pieces, owner = pieces_of(new)
+            sums, sizes, at = np.zeros(len(new)), np.zeros(len(new)), 0
+            chars = np.cumsum(np.fromiter(map(len, pieces), np.int64, len(pieces)))
+            while at < len(pieces):
+                done = chars[at - 1] if at else 0
+                end = min(at + STEP_WORDS, max(at + 1, int(np.searchsorted(chars, done + STEP_CHARS, side="right"))))
+                ids, size = word_features(pieces[at:end], len(self.scalar), self.shortest, self.longest)
+                starts = np.cumsum(size) - size
+                np.add.at(sums, owner[at:end], np.add.reduceat(self.scalar[ids], starts))
+                np.add.at(sizes, owner[at:end], size)
+                at = end
+            self.sums, self.sizes = np.r_[self.sums, sums], np.r_[self.sizes, sizes]
         odds = np.zeros(len(rows))
         for k, r in enumerate(rows):
             if len(r):
@@ -160,14 +184,17 @@ def fit_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text
 
     Rows whose crc32 of the id as text is divisible by 5 are never learned from. Of the ids labelled
     0 or 1 (ids with both labels are left out) those with the smallest hash are taken, so equal
-    inputs give equal samples; the sample goes to the driver, without texts of over SAMPLE_CHARS. Without rows of both classes
+    inputs give equal samples; the sample goes to the driver, of texts of over SAMPLE_CHARS that many characters in slices. Without rows of both classes
     the model scores everything by the share of label 1, or 0.5 without rows.
     """
     known = labels.select(F.col(f"`{id_col}`").cast("long").alias("__id"), F.col(f"`{label_col}`").alias("__y")).where("__id IS NOT NULL AND __y IN (0, 1)")
     known = known.groupBy("__id").agg(F.min("__y").alias("__y"), F.max("__y").alias("__z")).where("__y = __z")
     known = known.where(F.pmod(F.crc32(F.col("__id").cast("string")), F.lit(5)) != 0).orderBy(F.xxhash64("__id"), "__id").limit(sample)
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("__id"), F.col(f"`{text_col}`").alias("__text")).join(F.broadcast(known.select("__id", "__y")), "__id")
-    rows = rows.groupBy("__id").agg(F.min("__text").alias("__text"), F.min("__y").alias("__y")).where(F.col("__text").isNotNull() & (F.length("__text") <= SAMPLE_CHARS))
+    rows = rows.groupBy("__id").agg(F.min("__text").alias("__text"), F.min("__y").alias("__y")).where(F.col("__text").isNotNull())
+    size, own = F.length("__text"), SAMPLE_CHARS // SLICES
+    slices = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(SLICES - 1)), lambda i: F.substring(F.col("__text"), (F.floor(i * (size - own) / (SLICES - 1)) + 1).cast("int"), F.lit(own))), " ")
+    rows = rows.withColumn("__text", F.when(size <= SAMPLE_CHARS, F.col("__text")).otherwise(slices))
     got = sorted(rows.select("__id", F.col("__y").cast("int"), "__text").toLocalIterator(), key=lambda r: r[0])
     y = [r[1] for r in got]
     if len(set(y)) < 2:
