@@ -137,6 +137,12 @@ def settle_labels(linked: np.ndarray, row_id: np.ndarray, col_id: np.ndarray) ->
     return ids[moved], ids[label[moved]]
 
 
+def bucket_count(counts: DataFrame) -> int:
+    """Buckets of about GROUP rows for all copies that pairs of blocks need: a visitor one for each block of members, a member one for each of visitors."""
+    copies = counts.agg(F.sum(F.col("vb") * F.col("m") + F.col("mb") * F.col("v"))).first()[0]
+    return max(1, math.ceil((copies or 0) / GROUP))
+
+
 def link_vectors(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", cosine: float = 0.95, recall: float = 0.98) -> DataFrame:
     """Near-duplicate classes of vectors.
 
@@ -192,8 +198,8 @@ def link_vectors(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "emb
     visits = stable(visits.withColumn("lives", F.col("cell") == F.col("home")))
     counts = visits.groupBy("dim", "cell").agg(F.count_if("lives").alias("m"), F.count("*").alias("v")).where("m > 0")
     blocks = lambda c: F.ceil(F.col(c) / F.lit(BLOCK)).cast("int")
-    counts = counts.select("dim", "cell", blocks("m").alias("mb"), blocks("v").alias("vb"))
-    dealt = visits.join(counts, ["dim", "cell"])
+    counts = stable(counts.select("dim", "cell", "m", "v", blocks("m").alias("mb"), blocks("v").alias("vb")))
+    dealt = visits.join(counts.select("dim", "cell", "mb", "vb"), ["dim", "cell"])
     own = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
     upto = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
     # a visitor goes to its block with every block of members, a member to its block with every block of visitors
@@ -201,8 +207,7 @@ def link_vectors(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "emb
         F.transform(upto("mb"), lambda x: F.struct(F.lit(False).alias("member"), own("vb").alias("vi"), x.alias("mi"))),
         F.when(F.col("lives"), F.transform(upto("vb"), lambda x: F.struct(F.lit(True).alias("member"), x.alias("vi"), own("mb").alias("mi")))).otherwise(F.array()),
     )
-    total = sum(sizes.values()) * max((i.visits for i in indexes.values()), default=1)
-    groups = max(1, math.ceil(total / GROUP))
+    groups = bucket_count(counts)
     met = dealt.withColumn("r", F.explode(roles)).select("id", "dim", "cell", "home", "reach", "vec", "r.*")
     met = met.withColumn("unit", F.xxhash64("dim", "cell", "vi", "mi")).withColumn("bucket", F.pmod("unit", F.lit(groups)))
 
