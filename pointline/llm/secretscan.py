@@ -33,7 +33,7 @@ LEAST = {"assign": 6, "access": 20}
 
 #: Tokens tested: at least this long.
 LEAST_TOKEN = 20
-TOKEN = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
+TOKEN = re.compile(r"[A-Za-z0-9+/_-]{20,}={0,2}")
 #: Inferred encodings, most special first: name, symbols in order.
 ENCODINGS = (
     ("hex", "0123456789abcdef"),
