@@ -6,7 +6,6 @@ where a reader needs files, and read back by the operator.
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,6 +14,7 @@ from pyspark.sql import functions as F
 from ..functions import scalars as fn
 from ..operators import events as ops
 from ..operators import identity, incremental
+from ..operators.ordered import shared_folder
 from ..plans import models
 from ..schemas import COUNT_STATS, FEATURE_COLS
 from ..sources import files, pages
@@ -38,10 +38,7 @@ def query(sql: str | None = None):
 
 def shared_path(spark: SparkSession, name: str) -> str:
     """A new path in the folder that executors share."""
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-checkpoint-"))
-    return f"{context.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def keyed_events(spark: SparkSession, sf_dir: str) -> DataFrame:
