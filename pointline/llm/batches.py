@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -12,6 +11,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from ..operators.ordered import shared_folder
+
 #: Text that one step of a Python task holds beside the Arrow batch, in characters.
 STEP_CHARS = 4_000_000
 
@@ -19,20 +20,12 @@ STEP_CHARS = 4_000_000
 def stable(df: DataFrame) -> DataFrame:
     """Write ``df`` to ``spark.checkpoint.dir`` and cut its lineage there.
 
-    The folder is the session's own; only where none is set (as in tests) a temporary one is used.
+    The folder is the session's own.
     """
     shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that all executors share."""
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-checkpoint-"))
-    return context.getCheckpointDir()
-
-
 def new_table(spark: SparkSession, name: str) -> str:
     """A path in the shared folder that nothing has been written to."""
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
@@ -64,6 +57,17 @@ def without(df: DataFrame, names: list[str]) -> DataFrame:
     return df.select(*[F.col(f"`{c}`") for c in df.columns if c.lower() not in gone])
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """The names, each with underscores added until no column of ``df`` has it in any case."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def map_text(df: DataFrame, keep: list[str], text: str, make: Callable[[], Callable], fields: list[T.StructField]) -> DataFrame:
     """Append ``fields`` computed from whole texts to the columns ``keep``.
 
@@ -72,7 +76,7 @@ def map_text(df: DataFrame, keep: list[str], text: str, make: Callable[[], Calla
     """
     new = {f.name.lower() for f in fields}
     kept = [c for c in keep if c.lower() not in new]
-    rows = df.select(*[F.col(f"`{c}`") for c in kept], F.col(f"`{text}`").alias("__text"))
+    rows = df.select(*[F.col(f"`{c}`") for c in kept], F.col(f"`{text}`").alias(fresh(df, "__text")[0]))
     schema = T.StructType([rows.schema[c] for c in kept] + fields)
     arrow = to_arrow_schema(T.StructType(fields))
     types = [f.type for f in arrow]

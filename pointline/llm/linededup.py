@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .batches import stable
+from .batches import fresh, stable
 
 #: What stands for a variable field.
 FIELD = "<*>"
@@ -113,15 +113,16 @@ def drop_recurring_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str
     drops = lines.join(recurring, "template")
     if keep_first:
         drops = drops.where(~F.col("id").eqNullSafe(F.col("first"))) if same is None else drops.where("text_key <> first_text")
-    drops = drops.groupBy(F.col("id").alias("__id")).agg(F.collect_set("line").alias("__drop"))
+    key, drop = fresh(docs, "__id", "__drop")
+    drops = drops.groupBy(F.col("id").alias(key)).agg(F.collect_set("line").alias(drop))
     columns = [c for c in docs.columns if c.lower() not in ("n_lines", "n_dropped")]
     text = F.col(f"`{text_col}`")
-    joined = docs.select(*[F.col(f"`{c}`") for c in columns]).join(drops, F.col(f"`{id_col}`").eqNullSafe(F.col("__id")), "left")
+    joined = docs.select(*[F.col(f"`{c}`") for c in columns]).join(drops, F.col(f"`{id_col}`").eqNullSafe(F.col(key)), "left")
     own = F.when(text != "", F.split(text, "\n"))
-    gone = lambda l: F.array_contains("__drop", F.xxhash64(l))
-    left = F.when(F.col("__drop").isNull(), text).otherwise(F.array_join(F.filter(own, lambda l: ~gone(l)), "\n"))
+    gone = lambda l: F.array_contains(drop, F.xxhash64(l))
+    left = F.when(F.col(drop).isNull(), text).otherwise(F.array_join(F.filter(own, lambda l: ~gone(l)), "\n"))
     count = F.coalesce(F.size(F.filter(own, gone)), F.lit(0))
-    made = {text_col: F.when(text.isNull() | (text == ""), text).otherwise(left)}
+    left = F.when(text.isNull() | (text == ""), text).otherwise(left)
     n_lines = F.when(text != "", F.size(F.split(text, "\n"))).otherwise(0)
-    dropped = F.when(F.col("__drop").isNull() | text.isNull() | (text == ""), 0).otherwise(count)
-    return joined.select(*[made[c].alias(c) if c == text_col else F.col(f"`{c}`") for c in columns], n_lines.cast("long").alias("n_lines"), dropped.cast("long").alias("n_dropped"))
+    dropped = F.when(F.col(drop).isNull() | text.isNull() | (text == ""), 0).otherwise(count)
+    return joined.select(*[left.alias(c) if c.lower() == text_col.lower() else F.col(f"`{c}`") for c in columns], n_lines.cast("long").alias("n_lines"), dropped.cast("long").alias("n_dropped"))

@@ -1,12 +1,15 @@
 """Quality classifier from supervised subword embeddings.
 
 Each word and each of its character n-grams has a hashed vector, and so has the word pair "the same
-word twice"; a document is their mean, and a softmax layer on it gives the class. Vectors and layer are learned together by stochastic gradient
-descent in numpy from a bounded sample of labelled rows; scoring is a pass over all texts.
+word twice"; a document is their mean, and a softmax layer on it gives the class. Vectors and layer
+are learned together by stochastic gradient descent in numpy from a bounded number of labelled rows,
+of which tasks send the hashed features of the whole texts; scoring is a pass over all texts.
 """
 
 from __future__ import annotations
 
+import hashlib
+import zlib
 from dataclasses import dataclass
 
 import numpy as np
@@ -18,15 +21,11 @@ from .batches import map_text, without
 
 #: Labelled rows learned from, at most.
 SAMPLE = 4_000
-#: Of longer texts this many characters, in slices spread evenly, are learned from, so that the sample that goes to the driver has a bound.
-SAMPLE_CHARS, SLICES = 100_000, 10
-#: Words of a sampled document that training looks at in one step, at most: the whole text in so many pieces.
-TRAIN_WORDS = 600
 #: Words, and their characters, that a worker remembers before it starts anew.
 MAX_WORDS, MAX_CHARS = 250_000, 16_000_000
 #: Pieces of words, and their characters, that are hashed at once.
 STEP_WORDS, STEP_CHARS = 20_000, 400_000
-#: Features that a word which repeats its predecessor counts for; they share bucket 0.
+#: Features that a word which repeats its predecessor counts for; they share bucket 0. 0 leaves the pair out.
 REPEAT = 8
 #: Longer words are hashed in pieces of this many characters, all of them.
 WORD_CHARS = 48
@@ -41,6 +40,7 @@ class SubwordModel:
     bias: np.ndarray
     shortest: int = 2
     longest: int = 4
+    repeat: int = REPEAT
 
     @property
     def buckets(self) -> int:
@@ -91,33 +91,49 @@ def word_features(words: list[str], buckets: int, shortest: int, longest: int) -
     return (np.uint64(1) + h[order] % np.uint64(buckets - 1)).astype(np.int64), np.bincount(owner, minlength=len(words))
 
 
-def train(texts: list[str], labels: list[int], dim: int = 16, buckets: int = 1 << 17, epochs: int | None = None, rate: float = 0.5, seed: int = 7) -> SubwordModel:
-    """Stochastic gradient descent, one piece of a document at a time, with a falling rate.
+def document_features(text: str, buckets: int, shortest: int, longest: int, repeat: int) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct buckets of a whole text's features, ascending, and how often each comes."""
+    words, counts = text.split(), np.zeros(buckets)
+    pieces, _ = pieces_of(words)
+    chars, at = np.cumsum(np.fromiter(map(len, pieces), np.int64, len(pieces))), 0
+    while at < len(pieces):
+        done = chars[at - 1] if at else 0
+        end = min(at + STEP_WORDS, max(at + 1, int(np.searchsorted(chars, done + STEP_CHARS, side="right"))))
+        counts += np.bincount(word_features(pieces[at:end], buckets, shortest, longest)[0], minlength=buckets)
+        at = end
+    counts[0] += repeat * sum(map(str.__eq__, words[1:], words))
+    ids = np.flatnonzero(counts)
+    return ids.astype(np.int32), counts[ids].astype(np.float32)
+
+
+def pack_features(ids: np.ndarray, counts: np.ndarray) -> bytes:
+    return zlib.compress(np.diff(ids, prepend=np.int32(0)).tobytes() + counts.tobytes(), 1)
+
+
+def unpack_features(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    raw = zlib.decompress(data)
+    return np.cumsum(np.frombuffer(raw, np.int32, len(raw) // 8)), np.frombuffer(raw, np.float32, len(raw) // 8, len(raw) // 2)
+
+
+def train(features: list[bytes], labels: list[int], model: SubwordModel, epochs: int | None = None, rate: float = 0.5, seed: int = 7) -> SubwordModel:
+    """Stochastic gradient descent, one document at a time, with a falling rate; ``model`` is where it starts.
 
     Without ``epochs`` there are about 8,000 steps, in 2 to 12 passes.
     """
     rng = np.random.default_rng(seed)
-    model = SubwordModel(rng.uniform(-1 / dim, 1 / dim, (buckets, dim)), np.zeros((2, dim)), np.zeros(2))
-    pieces = []
-    for text, label in zip(texts, labels, strict=True):
-        words = text.split()
-        for at in range(0, max(len(words), 1), TRAIN_WORDS):
-            own = words[at : at + TRAIN_WORDS]
-            ids, _ = word_features(pieces_of(own)[0], buckets, model.shortest, model.longest)
-            ids = np.r_[ids, np.zeros(REPEAT * sum(map(str.__eq__, own[1:], own)), dtype=np.int64)]
-            if len(ids):
-                which, times = np.unique(ids, return_counts=True)
-                pieces.append((which, times / times.sum(), label))
-    epochs = epochs or max(2, min(12, 8_000 // max(len(pieces), 1)))
-    total, done = epochs * max(len(pieces), 1), 0
+    epochs = epochs or max(2, min(12, 8_000 // max(len(features), 1)))
+    total, done = epochs * max(len(features), 1), 0
     for _ in range(epochs):
-        for k in rng.permutation(len(pieces)):
-            which, weight, label = pieces[k]
+        for k in rng.permutation(len(features)):
+            which, times = unpack_features(features[k])
+            if not len(which):
+                continue
+            weight = times / times.sum()
             mean = weight @ model.vectors[which]
             score = model.layer @ mean + model.bias
             p = np.exp(score - score.max())
             p /= p.sum()
-            p[label] -= 1
+            p[labels[k]] -= 1
             step = rate * (1 - done / total)
             back = model.layer.T @ p
             model.layer[:] -= step * np.outer(p, mean)
@@ -130,8 +146,8 @@ def train(texts: list[str], labels: list[int], dim: int = 16, buckets: int = 1 <
 class WordScores:
     """Log-odds and number of features of words, remembered between batches."""
 
-    def __init__(self, model: tuple[np.ndarray, float, int, int]):
-        self.scalar, self.bias, self.shortest, self.longest = model
+    def __init__(self, model: tuple[np.ndarray, float, int, int, int]):
+        self.scalar, self.bias, self.shortest, self.longest, self.repeat = model
         self.clear()
 
     def clear(self) -> None:
@@ -171,7 +187,7 @@ class WordScores:
         odds = np.zeros(len(rows))
         for k, r in enumerate(rows):
             if len(r):
-                again = REPEAT * np.count_nonzero(r[1:] == r[:-1])
+                again = self.repeat * np.count_nonzero(r[1:] == r[:-1])
                 odds[k] = (self.sums[r].sum() + again * self.scalar[0]) / (self.sizes[r].sum() + again)
         return 1 / (1 + np.exp(-np.clip(odds + self.bias, -700, 700)))
 
@@ -179,28 +195,36 @@ class WordScores:
 _scores: dict[bytes, WordScores] = {}
 
 
-def fit_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample: int = SAMPLE) -> SubwordModel:
+def fit_quality(
+    docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample: int = SAMPLE, dim: int = 16, buckets: int = 1 << 17, repeat: int = REPEAT
+) -> SubwordModel:
     """Learn from at most ``sample`` labelled rows outside the held-out fifth.
 
     Rows whose crc32 of the id as text is divisible by 5 are never learned from. Of the ids labelled
     0 or 1 (ids with both labels are left out) those with the smallest hash are taken, so equal
-    inputs give equal samples; the sample goes to the driver, of texts of over SAMPLE_CHARS that many characters in slices. Without rows of both classes
-    the model scores everything by the share of label 1, or 0.5 without rows.
+    inputs give equal samples; of rows that repeat an id the text with the smallest crc32 counts, and null texts teach nothing.
+    What goes to the driver are ``sample`` rows of at most ``buckets`` counts each, made in tasks from
+    whole texts of any length. Without rows of both classes the model scores everything by the share
+    of label 1, or 0.5 without rows.
     """
     known = labels.select(F.col(f"`{id_col}`").cast("long").alias("__id"), F.col(f"`{label_col}`").alias("__y")).where("__id IS NOT NULL AND __y IN (0, 1)")
     known = known.groupBy("__id").agg(F.min("__y").alias("__y"), F.max("__y").alias("__z")).where("__y = __z")
     known = known.where(F.pmod(F.crc32(F.col("__id").cast("string")), F.lit(5)) != 0).orderBy(F.xxhash64("__id"), "__id").limit(sample)
-    rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("__id"), F.col(f"`{text_col}`").alias("__text")).join(F.broadcast(known.select("__id", "__y")), "__id")
-    rows = rows.groupBy("__id").agg(F.min("__text").alias("__text"), F.min("__y").alias("__y")).where(F.col("__text").isNotNull())
-    size, own = F.length("__text"), SAMPLE_CHARS // SLICES
-    slices = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(SLICES - 1)), lambda i: F.substring(F.col("__text"), (F.floor(i * (size - own) / (SLICES - 1)) + 1).cast("int"), F.lit(own))), " ")
-    rows = rows.withColumn("__text", F.when(size <= SAMPLE_CHARS, F.col("__text")).otherwise(slices))
-    got = sorted(rows.select("__id", F.col("__y").cast("int"), "__text").toLocalIterator(), key=lambda r: r[0])
-    y = [r[1] for r in got]
+    rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("__id"), F.col(f"`{text_col}`").alias("__text")).join(F.broadcast(known.select("__id", F.col("__y").cast("int").alias("__y"))), "__id")
+    start = SubwordModel(np.random.default_rng(7).uniform(-1 / dim, 1 / dim, (buckets, dim)), np.zeros((2, dim)), np.zeros(2), repeat=repeat)
+    settings = (buckets, start.shortest, start.longest, repeat)
+
+    def make():
+        return lambda texts: [[pack_features(*document_features(t, *settings)) for t in texts], [zlib.crc32(t.encode(errors="surrogatepass")) for t in texts]]
+
+    made = map_text(rows.where(F.col("__text").isNotNull()), ["__id", "__y"], "__text", make, [T.StructField("features", T.BinaryType()), T.StructField("crc", T.LongType())])
+    made = made.groupBy("__id").agg(F.min(F.struct("crc", "features", "__y")).alias("best")).select("__id", "best.__y", "best.features")
+    got = {r[0]: (r[1], bytes(r[2])) for r in made.toLocalIterator()}  # at most ``sample`` rows
+    y = [got[k][0] for k in sorted(got)]
     if len(set(y)) < 2:
         share = (sum(y) + 0.5) / (len(y) + 1)
-        return SubwordModel(np.zeros((2, 1)), np.zeros((2, 1)), np.array([0.0, np.log(share / (1 - share))]))
-    return train([r[2] for r in got], y)
+        return SubwordModel(np.zeros((2, 1)), np.zeros((2, 1)), np.array([0.0, np.log(share / (1 - share))]), repeat=repeat)
+    return train([got[k][1] for k in sorted(got)], y, start)
 
 
 def score_quality(docs: DataFrame, model: SubwordModel, text_col: str = "text", score_col: str = "score") -> DataFrame:
@@ -212,11 +236,11 @@ def score_quality(docs: DataFrame, model: SubwordModel, text_col: str = "text",
     # two classes: the log-odds are one number per bucket
     scalar = (model.vectors @ (model.layer[1] - model.layer[0])).astype(np.float32)
     bias = float(model.bias[1] - model.bias[0])
-    share = docs.sparkSession.sparkContext.broadcast((scalar, bias, model.shortest, model.longest))  # buckets * 4 bytes
+    share = docs.sparkSession.sparkContext.broadcast((scalar, bias, model.shortest, model.longest, model.repeat))  # buckets * 4 bytes
 
     def make():
         values = share.value
-        key = values[0].tobytes()[:4096] + np.float64(values[1]).tobytes()
+        key = hashlib.sha256(values[0].tobytes() + repr(values[1:]).encode()).digest()
         if key not in _scores:
             _scores.clear()
             _scores[key] = WordScores(values)
