@@ -1,10 +1,13 @@
 """Token ids in files of compressed blocks: an adaptive context-mixing range coder.
 
+A shard's ids are named by their rank: its head lists them from the most to the least frequent.
 Within a block, tables of its own predict the next id from the last two ids and from the last one.
 Counts seen in the confidence contexts of both predictions are added up: their mix gives the odds of
-"as order 2 says", "as order 1 says" or neither, and a range coder codes which. Otherwise the id's
-size class is coded with adaptive order-0 counts, then the rest of its bits. Blocks are reset and
-checksummed one by one, so numpy codes many of them side by side, one id of each in every step.
+"as order 2 says", "as order 1 says" or neither, and a range coder codes which. Otherwise the order-0
+prediction holds: the octave of the id's rank is coded with the block's adaptive counts, which follow
+how often common and rare ids come, then its place among the ids of that octave, which are about
+equally frequent. Blocks are reset and checksummed one by one, so numpy codes many of them side by
+side, one id of each in every step.
 """
 
 from __future__ import annotations
@@ -23,11 +26,11 @@ from .batches import written
 from .bpe import Encoder, byte_letters
 
 #: Fixed start of a shard: name and version.
-MAGIC = b"IDMX\x01"
+MAGIC = b"IDMX\x02"
 #: Ids of a block, and ids after which a shard is closed at the end of a document.
 BLOCK, SHARD = 2_048, 1 << 20
-#: Entries of a prediction table, size classes of ids below 2^24.
-TABLE, CLASSES = 1_024, 25
+#: Entries of a prediction table, octaves of ranks below 2^24 - 1.
+TABLE, CLASSES = 1_024, 24
 #: Counts are halved beyond these sums.
 EVENT_SUM, CLASS_SUM = 1 << 10, 1 << 11
 #: Blocks coded side by side, at most.
@@ -76,9 +79,9 @@ class Model:
             self.sizes[full] = (self.sizes[full] + 1) >> 1
 
 
-def size_class(ids: np.ndarray) -> np.ndarray:
-    """Bits of id + 1 after its first."""
-    return np.frexp((ids + 1).astype(np.float64))[1] - 1
+def size_class(ranks: np.ndarray) -> np.ndarray:
+    """Bits of rank + 1 after its first."""
+    return np.frexp((ranks + 1).astype(np.float32))[1].astype(np.int64) - 1
 
 
 def u64(x: np.ndarray) -> np.ndarray:
@@ -86,7 +89,7 @@ def u64(x: np.ndarray) -> np.ndarray:
 
 
 def encode_blocks(blocks: list[np.ndarray]) -> list[bytes]:
-    """Code the blocks; each is an array of ids from 0 to 2^24 - 2."""
+    """Code the blocks; each is an array of ranks from 0 to 2^24 - 2."""
     out: list[bytes] = [b""] * len(blocks)
     order = sorted(range(len(blocks)), key=lambda k: -len(blocks[k]))
     for at in range(0, len(order), LANES):
@@ -226,26 +229,38 @@ def decode_blocks(packed: list[bytes], lengths: list[int]) -> list[np.ndarray]:
     return out
 
 
+def ranks_of(stream: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(ids by falling frequency, then by number; the rank of each id of the stream)."""
+    found, inverse, counts = np.unique(stream, return_inverse=True, return_counts=True)
+    order = np.lexsort((found, -counts))
+    rank = np.empty(len(order), np.int32)
+    rank[order] = np.arange(len(order), dtype=np.int32)
+    return found[order], rank[inverse]
+
+
 def pack_shards(shards: list[tuple[list, list[np.ndarray]]]) -> list[bytes]:
     """One byte string for each shard: (document ids, their arrays of token ids).
 
-    Layout, little-endian: MAGIC; counts of documents, ids and blocks (u64 each); for each document
-    its id (i64), whether it has one (u8) and its number of ids (u64); for each block its numbers of
-    ids and bytes (u32 each) and the crc32 of its ids as u32 (u32); crc32 of all that (u32); blocks.
+    Layout, little-endian: MAGIC; counts of documents, ids, blocks and different ids (u64 each); for
+    each document its id (i64), whether it has one (u8) and its number of ids (u64); the different ids
+    by rank (u32 each); for each block its numbers of ids and bytes (u32 each) and the crc32 of its ids
+    as u32 (u32); crc32 of all that (u32); blocks.
     """
     cut: list[np.ndarray] = []
-    of: list[int] = []
+    of: list[tuple[np.ndarray, np.ndarray]] = []
     for _, arrays in shards:
         stream = np.concatenate(arrays) if arrays else np.zeros(0, np.int32)
-        own = [stream[a : a + BLOCK] for a in range(0, len(stream), BLOCK)]
-        of.append(len(own))
-        cut += own
+        table, ranks = ranks_of(stream)
+        cut += [ranks[a : a + BLOCK] for a in range(0, len(stream), BLOCK)]
+        of.append((table, stream))
     coded, out, at = encode_blocks(cut), [], 0
-    for (docs, arrays), n in zip(shards, of, strict=True):
-        own, bodies = cut[at : at + n], coded[at : at + n]
-        at += n
-        head = MAGIC + struct.pack("<QQQ", len(docs), sum(map(len, arrays)), n)
+    for (docs, arrays), (table, stream) in zip(shards, of, strict=True):
+        own = [stream[a : a + BLOCK] for a in range(0, len(stream), BLOCK)]
+        bodies = coded[at : at + len(own)]
+        at += len(own)
+        head = MAGIC + struct.pack("<QQQQ", len(docs), len(stream), len(own), len(table))
         head += np.array([d or 0 for d in docs], dtype="<i8").tobytes() + bytes(d is not None for d in docs) + np.array([len(a) for a in arrays], dtype="<u8").tobytes()
+        head += table.astype("<u4").tobytes()
         head += np.array([(len(b), len(c), zlib.crc32(b.astype("<u4").tobytes())) for b, c in zip(own, bodies, strict=True)], dtype="<u4").tobytes()
         out.append(head + struct.pack("<I", zlib.crc32(head)) + b"".join(bodies))
     return out
@@ -257,28 +272,31 @@ def unpack_shards(shards: list[bytes]) -> list[tuple[list, list[np.ndarray]]]:
     for data in shards:
         if data[: len(MAGIC)] != MAGIC:
             raise ValueError("not a shard of token ids")
-        docs, total, n = struct.unpack_from("<QQQ", data, len(MAGIC))
-        at = len(MAGIC) + 24
+        docs, _, n, different = struct.unpack_from("<QQQQ", data, len(MAGIC))
+        at = len(MAGIC) + 32
+        end = at + 17 * docs + 4 * different + 12 * n
+        if len(data) < end + 4 or zlib.crc32(data[:end]) != struct.unpack_from("<I", data, end)[0]:
+            raise ValueError("a shard's head is damaged")
         names = np.frombuffer(data, "<i8", docs, at)
         there = np.frombuffer(data, "u1", docs, at + 8 * docs)
         lengths = np.frombuffer(data, "<u8", docs, at + 9 * docs).astype(np.int64)
-        table = np.frombuffer(data, "<u4", 3 * n, at + 17 * docs).reshape(n, 3).astype(np.int64)
-        at += 17 * docs + 12 * n
-        if zlib.crc32(data[:at]) != struct.unpack_from("<I", data, at)[0]:
-            raise ValueError("a shard's head is damaged")
-        ends = at + 4 + np.cumsum(table[:, 1])
+        ranked = np.frombuffer(data, "<u4", different, at + 17 * docs).astype(np.int32)
+        table = np.frombuffer(data, "<u4", 3 * n, at + 17 * docs + 4 * different).reshape(n, 3).astype(np.int64)
+        ends = end + 4 + np.cumsum(table[:, 1])
         bodies += [data[e - s : e] for e, s in zip(ends.tolist(), table[:, 1].tolist(), strict=True)]
         sizes += table[:, 0].tolist()
         sums += table[:, 2].tolist()
-        heads.append(([int(x) if t else None for x, t in zip(names, there, strict=True)], lengths, n, total))
-    blocks = decode_blocks(bodies, sizes)
-    for b, c in zip(blocks, sums, strict=True):
-        if zlib.crc32(b.astype("<u4").tobytes()) != c:
-            raise ValueError("a block is damaged")
-    out, at = [], 0
-    for names, lengths, n, _ in heads:
-        stream = np.concatenate(blocks[at : at + n]) if n else np.zeros(0, np.int32)
+        heads.append(([int(x) if t else None for x, t in zip(names, there, strict=True)], lengths, n, ranked))
+    blocks, out, at = decode_blocks(bodies, sizes), [], 0
+    for names, lengths, n, ranked in heads:
+        own = []
+        for b, c in zip(blocks[at : at + n], sums[at : at + n], strict=True):
+            ids = ranked[b] if not len(b) or int(b.max()) < len(ranked) else None
+            if ids is None or zlib.crc32(ids.astype("<u4").tobytes()) != c:
+                raise ValueError("a block is damaged")
+            own.append(ids)
         at += n
+        stream = np.concatenate(own) if own else np.zeros(0, np.int32)
         out.append((names, np.split(stream, np.cumsum(lengths)[:-1]) if len(names) else []))
     return out
 
