@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from functools import cached_property
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import standins
 from ..operators import events, features, profiles
+from ..operators.ordered import shared_folder
 
 
 def rounded(df: DataFrame, places: int = 6) -> DataFrame:
@@ -15,7 +18,8 @@ def rounded(df: DataFrame, places: int = 6) -> DataFrame:
 
 
 class Tables:
-    """The tables of one data folder; each is a plan, nothing runs here."""
+    """The tables of one data folder. Small ones are plans; those that several plans read again are
+    written to the shared folder once."""
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.sf_dir = spark, sf_dir
@@ -25,6 +29,10 @@ class Tables:
     def raw(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
 
+    def stored(self, df: DataFrame) -> DataFrame:
+        shared_folder(self.spark)
+        return df.checkpoint()
+
     @property
     def rankings(self) -> DataFrame:
         return standins.rankings(self.spark, self.sf_dir)
@@ -37,14 +45,22 @@ class Tables:
     def snapshots(self) -> DataFrame:
         return events.rolling_features(self.matches)
 
-    @property
+    @cached_property
+    def kept_matches(self) -> DataFrame:
+        return self.stored(self.matches)
+
+    @cached_property
+    def kept_snapshots(self) -> DataFrame:
+        return self.stored(events.rolling_features(self.kept_matches))
+
+    @cached_property
     def defaults(self) -> DataFrame:
-        return profiles.pool_defaults(self.snapshots, self.matches, self.profiles)
+        return self.stored(profiles.pool_defaults(self.kept_snapshots, self.kept_matches, self.profiles))
 
     @property
     def lifetime(self) -> DataFrame:
-        return profiles.lifetime_profiles(self.profiles, self.matches, self.snapshots, self.rankings)
+        return profiles.lifetime_profiles(self.profiles, self.kept_matches, self.kept_snapshots, self.rankings)
 
     @property
     def features(self) -> DataFrame:
-        return features.match_features(self.events, self.matches, self.snapshots, self.defaults, self.profiles)
+        return features.match_features(self.events, self.kept_matches, self.kept_snapshots, self.defaults, self.profiles)

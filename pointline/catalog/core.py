@@ -32,10 +32,11 @@ def directional_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Tables(spark, sf_dir).matches
 
 
-@query(with_tables(sql_rounded("SELECT * FROM rf", DOUBLES["rf"]), "rf"))
+# rates of up to some thousand points have fewer than 9 places where they end at all, so none is rounded at a tie
+@query(with_tables(sql_rounded("SELECT * FROM rf", DOUBLES["rf"], 9), "rf"))
 def rolling_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
     """E3-E10, C9."""
-    return rounded(Tables(spark, sf_dir).snapshots)
+    return rounded(Tables(spark, sf_dir).snapshots, 9)
 
 
 @query(
@@ -102,10 +103,12 @@ def match_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(Tables(spark, sf_dir).features)
 
 
-@query(with_tables("SELECT match_id, player_id, 'none' AS \"column\" FROM pm WHERE false", "pm"))
+@query(with_tables("SELECT match_id, player_id, 'rank_diff' AS \"column\" FROM pm WHERE CAST(match_id AS BIGINT) % 97 = 0 UNION ALL SELECT match_id, player_id, CASE WHEN player_id < opponent_id THEN 'player_weighted_form_10' ELSE 'opponent_weighted_form_10' END FROM pm WHERE CAST(match_id AS BIGINT) % 89 = 0 UNION ALL SELECT match_id, player_id, 'best_of' FROM pm WHERE CAST(match_id AS BIGINT) % 101 = 0", "pm"))
 def swap_law_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """O3: cells where a row isn't the mirror of its event's other row; none are expected."""
-    return features.swap_violations(Tables(spark, sf_dir).features)
+    """O3: cells where a row isn't the mirror of its event's other row, with a signed, a paired and an invariant feature of one side falsified."""
+    k, own = F.col("match_id").cast("long"), F.col("player_id") < F.col("opponent_id")
+    false = {c: F.when(own & (k % n == 0), F.col(c) + 1).otherwise(F.col(c)) for c, n in {"rank_diff": 97, "player_weighted_form_10": 89, "best_of": 101}.items()}
+    return features.swap_violations(Tables(spark, sf_dir).features.withColumns(false))
 
 
 @query(with_tables(sql_rounded(f"SELECT match_id AS request_id, player_id, opponent_id, {', '.join(FEATURE_COLS)} FROM mf WHERE player_id < opponent_id", [c for c in DOUBLES["mf"] if c not in SIMILARITY_COLS]), "mf"))
@@ -113,7 +116,7 @@ def scoring_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every event asked again as a request from the smaller id's side."""
     t = Tables(spark, sf_dir)
     asked = t.events.select(F.col("match_id").alias("request_id"), F.least("player1_id", "player2_id").alias("player_id"), F.greatest("player1_id", "player2_id").alias("opponent_id"), "match_date", "surface", "tournament", "round", "is_indoor", "best_of")
-    return rounded(features.request_features(asked, t.events, t.snapshots, t.defaults, t.profiles))
+    return rounded(features.request_features(asked, t.events, t.kept_snapshots, t.defaults, t.profiles))
 
 
 @query(

@@ -141,10 +141,11 @@ def changed_players(spark: SparkSession, sf_dir: str) -> DataFrame:
     return incremental.changed_by_windows(ops.player_matches(e), built, ["player_id", "match_id"], ["player_match_number", "matches_30d_before"], "player_id")
 
 
-@query(with_tables("SELECT DISTINCT match_id FROM match_events WHERE player1_id IN ('P01', 'P02') OR player2_id IN ('P01', 'P02')", "match_events"))
+@query(with_tables("SELECT DISTINCT match_id FROM match_events WHERE substr(player1_id, 2)::BIGINT % 20 = 1 OR substr(player2_id, 2)::BIGINT % 20 = 1", "match_events"))
 def affected_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """I4, Q8: every event with a changed player on either side."""
-    return incremental.affected_events(Tables(spark, sf_dir).events, spark.createDataFrame([("P01",), ("P02",)], "player_id string"))
+    """I4, Q8: every event with a changed player on either side, where every twentieth player is changed."""
+    t = Tables(spark, sf_dir)
+    return incremental.affected_events(t.events, t.profiles.where("c % 20 = 1").select("player_id"))
 
 
 @query(with_tables("SELECT max(match_date)::TIMESTAMP AS source, TIMESTAMP '2001-01-01' AS built, max(match_date) > DATE '2001-01-01' AS stale FROM match_events", "match_events"))
@@ -155,11 +156,11 @@ def watermarks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return incremental.watermarks(e, state, "etl")
 
 
-@query(with_tables("SELECT d::DATE AS ranking_date FROM (SELECT unnest(generate_series(DATE '1994-12-05', DATE '2001-12-31', INTERVAL 7 DAY)) AS d) WHERE d NOT IN (SELECT ranking_date FROM rankings WHERE player_id = 'P07')", "rankings"))
+@query(with_tables("SELECT player_id, d::DATE AS ranking_date FROM player_profiles, (SELECT unnest(generate_series(DATE '1994-12-05', DATE '2001-12-31', INTERVAL 7 DAY)) AS d) WHERE NOT EXISTS (SELECT 1 FROM rankings r WHERE r.player_id = player_profiles.player_id AND r.ranking_date = d)", "rankings"))
 def missing_weeks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Mondays without a ranking of one player."""
-    r = Tables(spark, sf_dir).rankings.where("player_id = 'P07'")
-    return incremental.missing_mondays(r, "ranking_date", F.lit("1994-12-01").cast("date"), F.lit("2001-12-31").cast("date"))
+    """Each player's Mondays without a ranking."""
+    t = Tables(spark, sf_dir)
+    return incremental.missing_mondays(t.rankings, "ranking_date", F.lit("1994-12-01").cast("date"), F.lit("2001-12-31").cast("date"), t.profiles.select("player_id"))
 
 
 @query(with_tables("SELECT player_id, CASE WHEN c % 3 = 0 THEN 'ESP' WHEN c % 2 = 0 THEN 'FRA' ELSE 'UNK' END AS ioc FROM player_profiles", "player_profiles"))
@@ -180,13 +181,13 @@ def assigned_event_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("original").alias("match_id"), F.col("match_id").alias("assigned"), "reason")
 
 
-@query(with_tables("SELECT 'S' || c AS source_id, CASE WHEN c % 4 = 0 THEN 'P00' WHEN c % 4 = 1 THEN 'P05' ELSE NULL END AS player_id FROM player_profiles", "player_profiles"))
+@query(with_tables("SELECT 'S' || c AS source_id, CASE WHEN c % 4 = 0 THEN 'P000000000' WHEN c % 4 = 1 THEN 'P000000005' ELSE NULL END AS player_id FROM player_profiles", "player_profiles"))
 def identity_precedence(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The automatic map goes before the reviewed one."""
     p = Tables(spark, sf_dir).profiles
     src = p.select(F.concat(F.lit("S"), "c").alias("source_id"), "c")
-    auto = src.where("c % 4 = 0").select("source_id", F.lit("P00").alias("player_id"))
-    reviewed = src.where("c % 4 IN (0, 1)").select("source_id", F.lit("P05").alias("player_id"))
+    auto = src.where("c % 4 = 0").select("source_id", F.lit("P000000000").alias("player_id"))
+    reviewed = src.where("c % 4 IN (0, 1)").select("source_id", F.lit("P000000005").alias("player_id"))
     return identity.resolve_by_precedence(src.select("source_id"), p, auto, reviewed)
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import checks
-from ..schemas import COUNT_STATS, FEATURE_COLS, SNAPSHOT_VALUES, SURFACES
+from ..schemas import COUNT_STATS, DIFF_COLS, DIFF_SOURCES, FEATURE_COLS, SNAPSHOT_VALUES, SURFACES
 from .base import Tables
 from .sql import with_tables
 
@@ -97,22 +97,25 @@ def head_to_head_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return checks.head_to_head_violations(rows, t.events)
 
 
-AUDITED = {"rank_diff": "latest_player_ranking", "win_rate_diff": "win_rate_10", "ace_rate_diff": "ace_rate_10", "dominance_diff": "dominance", "streak_diff": "streak", "avg_rank_faced_diff": "avg_rank_faced_10", "df_rate_diff": "df_rate_10", "age_diff": "latest_player_age"}
+#: Differences and per-side values that snapshots determine; rest days and profile values aren't theirs.
+AUDITED = {d: s for d, s in zip(DIFF_COLS, DIFF_SOURCES, strict=True) if s != "log_rest"}
+AUDITED_SIDES = ("weighted_form_10", "matches_10")
+_CELLS = [*AUDITED, *(f"{side}_{c}" for c in AUDITED_SIDES for side in ("player", "opponent"))]
+_SAMPLE = "SELECT DISTINCT match_id FROM (SELECT match_id FROM (SELECT * FROM match_events ORDER BY match_date, match_id LIMIT 20) UNION ALL SELECT match_id FROM (SELECT * FROM match_events ORDER BY match_date DESC, match_id DESC LIMIT 20) UNION ALL SELECT match_id FROM (SELECT player_id, min((match_date, match_id))[1] AS d, min((match_date, match_id))[2] AS match_id FROM pm GROUP BY 1 ORDER BY d, match_id LIMIT 20) UNION ALL SELECT match_id FROM (SELECT player_id, match_date, min(match_id) AS match_id FROM pm GROUP BY 1, 2 HAVING count(*) > 1 ORDER BY match_date, match_id, player_id LIMIT 20) UNION ALL SELECT match_id FROM (SELECT least(player1_id, player2_id) AS a, greatest(player1_id, player2_id) AS b, max(match_id) AS match_id FROM match_events GROUP BY 1, 2 HAVING count(*) > 1 ORDER BY a, b LIMIT 20) UNION ALL SELECT match_id FROM match_events WHERE ('0x' || substr(md5(match_id), 17, 8))::BIGINT % 256 = 0)"
+#: The n-th cell is falsified where (event, player) leave n: every cell is wrong somewhere in a sample of some hundred rows.
+_FALSE = f"(CAST(match_id AS BIGINT) + substr(player_id, 2)::BIGINT) % {len(_CELLS) + 1}"
 
 
-@query(with_tables("SELECT match_id, player_id, 'streak_diff' AS \"column\" FROM pm WHERE false", "pm"))
+@query(with_tables(f"SELECT match_id, player_id, (['none', {', '.join(repr(c) for c in _CELLS)}])[{_FALSE} + 1] AS \"column\" FROM pm WHERE match_id IN ({_SAMPLE}) AND {_FALSE} > 0", "pm"))
 def leakage_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """M5, F8: sampled features that strictly earlier snapshots don't give again; none are expected."""
+    """M5, F8: sampled features that strictly earlier snapshots don't give again, with one cell of most rows falsified."""
     t = Tables(spark, sf_dir)
-    return checks.leakage_cells(t.features, t.snapshots, t.defaults, checks.audit_sample(t.events), AUDITED)
+    turn = (F.col("match_id").cast("long") + F.expr("cast(substr(player_id, 2) AS bigint)")) % (len(_CELLS) + 1)
+    false = {c: F.when(turn == n, F.col(c) + 1).otherwise(F.col(c)) for n, c in enumerate(_CELLS, 1)}
+    return checks.leakage_cells(t.features.withColumns(false), t.kept_snapshots, t.defaults, checks.audit_sample(t.events), AUDITED, AUDITED_SIDES)
 
 
-@query(
-    with_tables(
-        "SELECT DISTINCT match_id FROM (SELECT match_id FROM (SELECT * FROM match_events ORDER BY match_date, match_id LIMIT 20) UNION ALL SELECT match_id FROM (SELECT * FROM match_events ORDER BY match_date DESC, match_id DESC LIMIT 20) UNION ALL SELECT match_id FROM (SELECT player_id, min((match_date, match_id))[1] AS d, min((match_date, match_id))[2] AS match_id FROM pm GROUP BY 1 ORDER BY d, match_id LIMIT 20) UNION ALL SELECT match_id FROM (SELECT player_id, match_date, min(match_id) AS match_id FROM pm GROUP BY 1, 2 HAVING count(*) > 1 ORDER BY match_date, match_id, player_id LIMIT 20) UNION ALL SELECT match_id FROM (SELECT least(player1_id, player2_id) AS a, greatest(player1_id, player2_id) AS b, max(match_id) AS match_id FROM match_events GROUP BY 1, 2 HAVING count(*) > 1 ORDER BY a, b LIMIT 20) UNION ALL SELECT match_id FROM match_events WHERE ('0x' || substr(md5(match_id), 17, 8))::BIGINT % 256 = 0)",
-        "pm",
-    )
-)
+@query(with_tables(_SAMPLE, "pm"))
 def audit_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stratified deterministic sample."""
     return checks.audit_sample(Tables(spark, sf_dir).events)
@@ -126,10 +129,12 @@ def non_finite_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     return checks.non_finite_cells(rows, ["match_id", "player_id"], FEATURE_COLS)
 
 
-@query("SELECT 'none' AS \"column\" FROM region WHERE false")
+@query("SELECT CASE n WHEN 0 THEN 'rows' WHEN 1 THEN 'dominance' ELSE 'avg_years_pro' END AS \"column\" FROM (SELECT unnest(range(3)) AS n), (SELECT count(*) AS events FROM orders) WHERE events > 0")
 def singleton_contract(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """M7: what keeps the defaults from being one finite row; nothing."""
-    return checks.singleton_violations(Tables(spark, sf_dir).defaults, [*SNAPSHOT_VALUES, "days_since_default", "matches_30d_default", "rate_default", "left_handed_rate", "avg_years_pro"])
+    """M7: what keeps the defaults from being one finite row, with a second row that has two bad cells."""
+    row = Tables(spark, sf_dir).defaults
+    bad = row.withColumn("dominance", F.lit(float("nan"))).withColumn("avg_years_pro", F.lit(None).cast("double"))
+    return checks.singleton_violations(row.union(bad), [*SNAPSHOT_VALUES, "days_since_default", "matches_30d_default", "rate_default", "left_handed_rate", "avg_years_pro"])
 
 
 @query(with_tables("SELECT 'latest_player_ranking' AS \"column\", latest_player_ranking AS value FROM ta WHERE latest_player_ranking > 1", "ta"))

@@ -55,10 +55,10 @@ def match_history(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reads.match_history(t.matches, t.events, t.profiles, t.rankings)
 
 
-@query(with_tables("SELECT match_id, match_date, tournament, round, surface, winner_id FROM match_events WHERE least(player1_id, player2_id) = 'P01' AND greatest(player1_id, player2_id) = 'P02' ORDER BY match_date DESC, match_id DESC LIMIT 20", "match_events"))
+@query(with_tables("SELECT match_id, match_date, tournament, round, surface, winner_id FROM match_events WHERE least(player1_id, player2_id) = 'P000000001' AND greatest(player1_id, player2_id) = 'P000000002' ORDER BY match_date DESC, match_id DESC LIMIT 20", "match_events"))
 def pair_page(spark: SparkSession, sf_dir: str) -> DataFrame:
     """N4, F3, B17."""
-    return reads.pair_page(Tables(spark, sf_dir).events, "P02", "P01")
+    return reads.pair_page(Tables(spark, sf_dir).events, "P000000002", "P000000001")
 
 
 @query(with_tables("SELECT p.player_id, p.display_name, coalesce(l.match_count, 0) AS matches_played, l.current_rank, coalesce(n.n_name, 'UNK') AS country FROM player_profiles p LEFT JOIN lp l USING (player_id) LEFT JOIN (SELECT * FROM nation WHERE n_nationkey % 5 <> 0) n ON n.n_nationkey = p.nation", "lp"))
@@ -100,11 +100,11 @@ def similarity_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(vectors(spark, sf_dir).select("player_id", F.posexplode("vector").alias("position", "value")).select("player_id", (F.col("position") + 1).alias("position"), "value"))
 
 
-@query(with_tables("SELECT query_id, rank::INT AS rank, player_id, round(s, 3) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, player_id) AS rank FROM (SELECT a.player_id AS query_id, b.player_id, round(list_dot_product(a.vector, b.vector), 9) AS s FROM v a JOIN v b ON a.player_id <> b.player_id WHERE a.player_id < 'P10')) WHERE rank <= 5", "lp", "player_profiles", more={"v": _VEC}))
+@query(with_tables("SELECT query_id, rank::INT AS rank, player_id, round(s, 3) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, player_id) AS rank FROM (SELECT a.player_id AS query_id, b.player_id, round(list_dot_product(a.vector, b.vector), 9) AS s FROM v a JOIN v b ON a.player_id <> b.player_id WHERE substr(a.player_id, 2)::BIGINT % 20 = 0)) WHERE rank <= 5", "lp", "player_profiles", more={"v": _VEC}))
 def similar_players(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The five most alike of the first nine players."""
+    """The five most alike of every twentieth player."""
     v = vectors(spark, sf_dir)
-    return similarity.top_k_similar(v, v.where("player_id < 'P10'").select("player_id"))
+    return similarity.top_k_similar(v, v.where("cast(substr(player_id, 2) AS bigint) % 20 = 0").select("player_id"))
 
 
 _E = "SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE / sqrt(list_sum(list_transform(embedding, lambda y: y::DOUBLE * y::DOUBLE)))) AS v FROM embeddings"
@@ -133,12 +133,26 @@ def name_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reads.search_names(people, asks)
 
 
-_SRC = "SELECT 'S' || c_custkey AS source_id, CASE WHEN c_custkey % 3 = 0 THEN replace(c_name, 'Customer', 'Custmer') WHEN c_custkey % 3 = 1 THEN substr(c_name, 10) || ' Customer' ELSE c_name END AS name FROM customer WHERE c_custkey < 64"
+#: Names of players, and how sources write them: a letter short, last name first, or as they are. Spark and DuckDB read the same text.
+_NAMED = (
+    "concat('P', lpad(CAST(c_custkey AS VARCHAR(20)), 9, '0')) AS player_id",
+    "c_custkey AS c",
+    "concat(substr(md5(CAST(c_custkey AS VARCHAR(20))), 1, 7), ' ', substr(md5(CAST(c_custkey AS VARCHAR(20))), 8, 7)) AS name",
+)
+_SOURCED = (
+    "concat('S', c) AS source_id",
+    "CASE WHEN c % 3 = 0 THEN concat(substr(name, 1, 3), substr(name, 5)) WHEN c % 3 = 1 THEN concat(substr(name, 9), ' ', substr(name, 1, 7)) ELSE name END AS name",
+)
+_PLAYERS = f"SELECT {', '.join(_NAMED)} FROM customer"
+_SRC = f"SELECT {', '.join(_SOURCED)} FROM ({_PLAYERS})"
+
+
+def player_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return Tables(spark, sf_dir).raw("customer").selectExpr(*_NAMED)
 
 
 def source_names(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = Tables(spark, sf_dir).raw("customer").where("c_custkey < 64")
-    return c.selectExpr("concat('S', c_custkey) AS source_id", "CASE WHEN c_custkey % 3 = 0 THEN replace(c_name, 'Customer', 'Custmer') WHEN c_custkey % 3 = 1 THEN concat(substr(c_name, 10), ' Customer') ELSE c_name END AS name")
+    return player_names(spark, sf_dir).selectExpr(*_SOURCED)
 
 
 _STATS = "SELECT player_id, count(*) AS matches, min(r) FILTER (WHERE r > 0) AS best_rank FROM (SELECT player1_id AS player_id, player1_ranking AS r FROM match_events UNION ALL SELECT player2_id, player2_ranking FROM match_events) GROUP BY 1"
@@ -146,17 +160,14 @@ _STATS = "SELECT player_id, count(*) AS matches, min(r) FILTER (WHERE r > 0) AS
 
 @query(
     with_tables(
-        "SELECT source_id, player_id, round(ratio, 6) AS ratio FROM (SELECT source_id, player_id, ratio, row_number() OVER (PARTITION BY source_id ORDER BY ratio DESC, matches DESC, best_rank, player_id) AS rn FROM (SELECT s.source_id, c.player_id, max(1 - levenshtein(k, c.key) / greatest(length(k), length(c.key))) AS ratio, any_value(coalesce(matches, 0)) AS matches, any_value(coalesce(best_rank, 1000000000)) AS best_rank FROM (SELECT source_id, unnest([regexp_replace(lower(name), '[^a-z0-9]+', '', 'g'), regexp_replace(lower(array_to_string(list_reverse(string_split(name, ' ')), ' ')), '[^a-z0-9]+', '', 'g')]) AS k FROM src) s CROSS JOIN (SELECT player_id, regexp_replace(lower(display_name), '[^a-z0-9]+', '', 'g') AS key FROM player_profiles) c LEFT JOIN stats USING (player_id) GROUP BY 1, 2) WHERE ratio >= 0.8) WHERE rn = 1",
-        "player_profiles",
+        "SELECT source_id, player_id, round(ratio, 6) AS ratio FROM (SELECT source_id, player_id, ratio, row_number() OVER (PARTITION BY source_id ORDER BY ratio DESC, matches DESC, best_rank, player_id) AS rn FROM (SELECT s.source_id, c.player_id, max(1 - levenshtein(k, c.key) / greatest(length(k), length(c.key))) AS ratio, any_value(coalesce(matches, 0)) AS matches, any_value(coalesce(best_rank, 1000000000)) AS best_rank FROM (SELECT source_id, unnest([regexp_replace(lower(name), '[^a-z0-9]+', '', 'g'), regexp_replace(lower(array_to_string(list_reverse(string_split(name, ' ')), ' ')), '[^a-z0-9]+', '', 'g')]) AS k FROM src) s CROSS JOIN (SELECT player_id, regexp_replace(lower(name), '[^a-z0-9]+', '', 'g') AS key FROM named) c LEFT JOIN stats USING (player_id) GROUP BY 1, 2) WHERE ratio >= 0.8) WHERE rn = 1",
         "match_events",
-        more={"src": _SRC, "stats": _STATS},
+        more={"src": _SRC, "named": _PLAYERS, "stats": _STATS},
     )
 )
 def fuzzy_identity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Names in either order, exact or at least 80% alike."""
-    t = Tables(spark, sf_dir)
-    canonical = t.profiles.select("player_id", F.col("display_name").alias("name"))
-    return rounded(match_names(source_names(spark, sf_dir), canonical, activity(t.events), measure="levenshtein"))
+    return rounded(match_names(source_names(spark, sf_dir), player_names(spark, sf_dir), activity(Tables(spark, sf_dir).events), measure="levenshtein"))
 
 
 @query(with_tables("SELECT player_id, matches, best_rank FROM stats", "match_events", more={"stats": _STATS}))
@@ -165,10 +176,10 @@ def corpus_activity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return activity(Tables(spark, sf_dir).events)
 
 
-@query(with_tables("SELECT s.source_id, s.name, coalesce(array_to_string(x.exact, ','), '') AS exact, coalesce(array_to_string(a.alike, ','), '') AS alike, coalesce(len(a.alike), 0) > 1 AS ambiguous FROM src s LEFT JOIN (SELECT source_id, list(player_id ORDER BY player_id) AS exact FROM src JOIN player_profiles ON name = display_name GROUP BY 1) x USING (source_id) LEFT JOIN (SELECT source_id, list(player_id ORDER BY player_id) AS alike FROM src JOIN player_profiles ON regexp_replace(lower(name), '[^a-z0-9]+', '', 'g') = regexp_replace(lower(display_name), '[^a-z0-9]+', '', 'g') GROUP BY 1) a USING (source_id)", "player_profiles", more={"src": _SRC}))
+@query(with_tables("SELECT s.source_id, s.name, coalesce(array_to_string(x.exact, ','), '') AS exact, coalesce(array_to_string(a.alike, ','), '') AS alike, coalesce(len(a.alike), 0) > 1 AS ambiguous FROM src s LEFT JOIN (SELECT source_id, list(player_id ORDER BY player_id) AS exact FROM src JOIN named USING (name) GROUP BY 1) x USING (source_id) LEFT JOIN (SELECT source_id, list(player_id ORDER BY player_id) AS alike FROM src JOIN named n ON regexp_replace(lower(src.name), '[^a-z0-9]+', '', 'g') = regexp_replace(lower(n.name), '[^a-z0-9]+', '', 'g') GROUP BY 1) a USING (source_id)", more={"src": _SRC, "named": _PLAYERS}))
 def candidate_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     """D19."""
-    out = candidate_report(source_names(spark, sf_dir), Tables(spark, sf_dir).profiles.select("player_id", F.col("display_name").alias("name")))
+    out = candidate_report(source_names(spark, sf_dir), player_names(spark, sf_dir).select("player_id", "name"))
     return out.withColumn("exact", F.array_join("exact", ",")).withColumn("alike", F.array_join("alike", ","))
 
 

@@ -147,9 +147,9 @@ def with_tables(body: str, *names: str, more: dict[str, str] | None = None) -> s
     return (f"WITH {', '.join(ctes)} " if ctes else "") + body
 
 
-def rounded(body: str, columns: Iterable[str]) -> str:
-    """The rows of ``body`` with the columns as doubles to 6 places."""
-    return f"SELECT * REPLACE ({', '.join(f'round({c}::DOUBLE, 6) + 0.0::DOUBLE AS {c}' for c in columns)}) FROM ({body})"
+def rounded(body: str, columns: Iterable[str], places: int = 6) -> str:
+    """The rows of ``body`` with the columns as doubles to ``places``."""
+    return f"SELECT * REPLACE ({', '.join(f'round({c}::DOUBLE, {places}) + 0.0::DOUBLE AS {c}' for c in columns)}) FROM ({body})"
 
 
 DOUBLES = {

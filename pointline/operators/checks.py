@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import is_finite, md5_bucket
-from ..schemas import COUNT_STATS, FEATURE_COLS, SURFACES
+from ..schemas import COUNT_STATS, FEATURE_COLS, FORM_SURFACES, SNAPSHOT_VALUES, SURFACES
 
 
 def issue_list(rules: Mapping[str, Column]) -> Column:
@@ -129,19 +129,32 @@ def audit_sample(events: DataFrame, each: int = 20) -> DataFrame:
     return out.distinct()
 
 
-def leakage_cells(features: DataFrame, snapshots: DataFrame, defaults: DataFrame, sample: DataFrame, pairs: Mapping[str, str], tolerance: float = 1e-6) -> DataFrame:
-    """(match_id, player_id, column) of sampled differences that a range join on strictly earlier
-    snapshots doesn't give again; ``pairs`` maps a difference to the snapshot value it is of."""
-    values = list(dict.fromkeys(pairs.values()))
-    asks = features.join(F.broadcast(sample), "match_id", "left_semi").select("match_id", "match_date", F.explode(F.array("player_id", "opponent_id")).alias("who"))
-    snaps = snapshots.select(F.col("player_id").alias("who"), F.struct("snapshot_date", F.col("match_id").alias("mid"), *values).alias("snap"))
-    latest = asks.join(snaps, "who").where("snap.snapshot_date < match_date").groupBy("match_id", "who").agg(F.max("snap").alias("snap"))
-    fall = F.broadcast(defaults.select(*[F.col(v).alias(f"d_{v}") for v in values]))
-    side = asks.select("match_id", "who").distinct().join(latest, ["match_id", "who"], "left").crossJoin(fall)
-    side = side.select("match_id", "who", F.struct(*[F.coalesce(F.col(f"snap.{v}").cast("double"), F.col(f"d_{v}")).alias(v) for v in values]).alias("v"))
-    rows = features.join(F.broadcast(sample), "match_id", "left_semi")
-    rows = rows.join(side.select("match_id", F.col("who").alias("player_id"), F.col("v").alias("p")), ["match_id", "player_id"]).join(side.select("match_id", F.col("who").alias("opponent_id"), F.col("v").alias("o")), ["match_id", "opponent_id"])
-    off = F.array_compact(F.array(*[F.when(~(F.abs(F.col(d) - (F.col(f"p.{s}") - F.col(f"o.{s}"))) <= tolerance), F.lit(d)) for d, s in pairs.items()]))
+def leakage_cells(features: DataFrame, snapshots: DataFrame, defaults: DataFrame, sample: DataFrame, pairs: Mapping[str, str], sides: Sequence[str] = (), tolerance: float = 1e-6) -> DataFrame:
+    """(match_id, player_id, column) of sampled cells that strictly earlier snapshots don't give again.
+
+    ``pairs`` maps a difference to the side value it is of, ``sides`` names per-side values (player_ and
+    opponent_ go before them). The second derivation shares no code with the first: the sampled sides
+    meet their earlier snapshots, of which the latest is taken.
+    """
+    picked = features.join(F.broadcast(sample), "match_id", "left_semi")
+    asks = picked.select("match_id", "match_date", "surface", F.explode(F.array("player_id", "opponent_id")).alias("who")).distinct()
+    # only what precedes a player's last sampled event can matter
+    upto = asks.groupBy("who").agg(F.max("match_date").alias("upto"))
+    snaps = snapshots.withColumnRenamed("player_id", "who").join(upto, "who").where("snapshot_date < upto")
+    snaps = snaps.select("who", F.struct("snapshot_date", F.col("match_id").alias("mid"), "matches_10", *SNAPSHOT_VALUES).alias("snap"))
+    latest = asks.select("match_id", "match_date", "who").join(snaps, "who").where("snap.snapshot_date < match_date").groupBy("match_id", "who").agg(F.max("snap").alias("snap"))
+    fall = F.broadcast(defaults.select(F.struct(*SNAPSHOT_VALUES).alias("d"), "rate_default"))
+    side = asks.join(latest, ["match_id", "who"], "left").crossJoin(fall)
+    value = {c: F.coalesce(F.col(f"snap.{c}").cast("double"), F.col(f"d.{c}")) for c in SNAPSHOT_VALUES}
+    form = F.col("rate_default")
+    for s in FORM_SURFACES:
+        form = F.when(F.col("surface") == s, value[f"{s}_win_rate_10"]).otherwise(form)
+    value |= {"ranking": value["latest_player_ranking"], "rank_points": value["latest_player_rank_points"], "age": value["latest_player_age"], "surface_form": form}
+    value |= {"rank_trend_10": value["avg_player_rank_10"] - value["latest_player_ranking"], "matches_10": F.coalesce("snap.matches_10", F.lit(0)).cast("double")}
+    side = side.select("match_id", "who", F.struct(*[value[v].alias(v) for v in dict.fromkeys([*pairs.values(), *sides])]).alias("v"))
+    rows = picked.join(side.select("match_id", F.col("who").alias("player_id"), F.col("v").alias("p")), ["match_id", "player_id"]).join(side.select("match_id", F.col("who").alias("opponent_id"), F.col("v").alias("o")), ["match_id", "opponent_id"])
+    wanted = {d: F.col(f"p.{s}") - F.col(f"o.{s}") for d, s in pairs.items()} | {f"{n}_{c}": F.col(f"{x}.{c}") for c in sides for n, x in (("player", "p"), ("opponent", "o"))}
+    off = F.array_compact(F.array(*[F.when(~(F.abs(F.col(c) - v) <= tolerance), F.lit(c)) for c, v in wanted.items()]))
     return rows.select("match_id", "player_id", F.explode(off).alias("column"))
 
 

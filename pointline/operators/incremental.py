@@ -108,12 +108,14 @@ def watermarks(events: DataFrame, state: DataFrame, pipeline: str) -> DataFrame:
     return source.crossJoin(built).withColumn("stale", F.col("source").isNotNull() & (F.col("built").isNull() | (F.col("source") > F.col("built"))))
 
 
-def missing_mondays(dates: DataFrame, date: str, start: Column, end: Column) -> DataFrame:
-    """Mondays from start to end that the table has no row of."""
+def missing_mondays(dates: DataFrame, date: str, start: Column, end: Column, keys: DataFrame | None = None) -> DataFrame:
+    """Mondays from start to end that the table has no row of; with ``keys``, those of each key."""
     first = F.next_day(F.date_sub(start, 1), "MON")
     week = F.when(first <= end, F.sequence(first, end, F.expr("interval 7 days")))
-    calendar = dates.sparkSession.range(1).select(F.explode(week).alias(date))
-    return calendar.join(dates.select(date).distinct(), date, "left_anti")
+    on = [date] if keys is None else [*keys.columns, date]
+    owners = dates.sparkSession.range(1).select() if keys is None else keys
+    calendar = owners.select("*", F.explode(week).alias(date))
+    return calendar.join(dates.select(*on).distinct(), on, "left_anti")
 
 
 def run_window(start: Column, end: Column, watermark: Column, today: Column) -> Column:

@@ -44,3 +44,18 @@ def running_totals(rows: DataFrame, order: Sequence[Column], totals: Mapping[str
     run = run.join(F.broadcast(starts), "__part")  # one row per partition
     out = [(F.col(f"__w{i}") + F.coalesce(F.col(f"__o{i}"), F.lit(0))).alias(n) for i, n in enumerate(totals)]
     return run.select(*[F.col(f"`{c}`") for c in rows.columns], *out)
+
+
+def exact_medians(cells: DataFrame, by: str, value: str) -> DataFrame:
+    """(by, median) of each group's values; the mean of the middle two where they are even in number.
+
+    Equal values are counted first, and counts run on over a range sort, so that neither a group nor
+    its distinct values come together in one task. Null values don't count.
+    """
+    counts = cells.where(F.col(value).isNotNull()).groupBy(by, value).agg(F.count("*").alias("__n"))
+    run = running_totals(counts, [F.col(by), F.col(value)], {"__before": F.col("__n")})
+    groups = run.groupBy(by).agg(F.min("__before").alias("__first"), F.sum("__n").alias("__all"))
+    placed = run.join(F.broadcast(groups), by).withColumn("__at", F.col("__before") - F.col("__first"))  # one row per group
+    holds = lambda i: (F.col("__at") <= i) & (i < F.col("__at") + F.col("__n"))
+    low, high = F.floor((F.col("__all") - 1) / 2), F.floor(F.col("__all") / 2)
+    return placed.groupBy(by).agg(((F.max(F.when(holds(low), F.col(value))) + F.max(F.when(holds(high), F.col(value)))) / 2).alias("median"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..schemas import POOL_CONSTANTS, POOL_MEDIANS, SNAPSHOT_VALUES
 from .events import dominance_ratio
+from .ordered import exact_medians, shared_folder
 
 #: Weighted lifetime ratios: name, numerator, denominator.
 OWN_RATIOS = {
@@ -114,26 +115,30 @@ def pool_defaults(snapshots: DataFrame, matches: DataFrame, profiles: DataFrame,
     Medians are rounded half to even, everything to 5 places; an empty pool gives the constants. The
     as-of date is the day after the last snapshot, or after ``today`` where there is none.
     """
-    value = lambda c: half_even(F.percentile(F.col(c), 0.5)) if c in POOL_MEDIANS else F.avg(c)
-    pool = snapshots.agg(
-        F.date_add(F.coalesce(F.max("snapshot_date"), today if today is not None else F.current_date()), 1).alias("pool_as_of_date"),
-        F.count("*").alias("snapshot_pool_rows"),
-        F.countDistinct("player_id").alias("snapshot_pool_players"),
-        *[value(c).alias(c) for c in SNAPSHOT_VALUES],
-    )
-    one = F.broadcast(pool)  # one row
-    last = snapshots.groupBy("player_id").agg(F.max("snapshot_date").alias("last_date"))
-    recent = matches.crossJoin(one.select("pool_as_of_date")).where("match_date >= date_sub(pool_as_of_date, 30) AND match_date < pool_as_of_date").groupBy("player_id").agg(F.count("*").alias("recent"))
-    active = last.join(recent, "player_id", "left").crossJoin(one.select("pool_as_of_date"))
-    activity = active.agg(
-        half_even(F.percentile(F.datediff("pool_as_of_date", "last_date"), 0.5)).alias("days_since_default"),
-        half_even(F.percentile(F.coalesce("recent", F.lit(0)), 0.5)).alias("matches_30d_default"),
+    plain = [c for c in SNAPSHOT_VALUES if c not in POOL_MEDIANS]
+    # per player first: what follows are sums of these rows
+    people_ = snapshots.groupBy("player_id").agg(F.max("snapshot_date").alias("last_date"), F.count("*").alias("rows"), *[f(c).alias(f"{f.__name__}_{c}") for c in plain for f in (F.sum, F.count)])
+    pool = people_.agg(
+        F.date_add(F.coalesce(F.max("last_date"), today if today is not None else F.current_date()), 1).alias("pool_as_of_date"),
+        F.coalesce(F.sum("rows"), F.lit(0)).alias("snapshot_pool_rows"),
+        F.count("*").alias("snapshot_pool_players"),
+        *[F.try_divide(F.sum(f"sum_{c}").cast("double"), F.sum(f"count_{c}")).alias(c) for c in plain],
     )
+    shared_folder(snapshots.sparkSession)
+    pool = pool.checkpoint()  # one row, used four times
+    one = F.broadcast(pool.select("pool_as_of_date"))
+    recent = matches.crossJoin(one).where("match_date >= date_sub(pool_as_of_date, 30) AND match_date < pool_as_of_date").groupBy("player_id").agg(F.count("*").alias("recent"))
+    active = people_.select("player_id", "last_date").join(recent, "player_id", "left").crossJoin(one)
+    cell = lambda name, c: F.struct(F.lit(name).alias("name"), c.cast("double").alias("value"))
+    cells = snapshots.select(F.explode(F.array(*[cell(c, F.col(c)) for c in POOL_MEDIANS])).alias("x")).select("x.*")
+    cells = cells.union(active.select(F.explode(F.array(cell("days_since_default", F.datediff("pool_as_of_date", "last_date")), cell("matches_30d_default", F.coalesce("recent", F.lit(0))))).alias("x")).select("x.*"))
+    middles = exact_medians(cells, "name", "value")
+    medians = middles.agg(*[half_even(F.max(F.when(F.col("name") == c, F.col("median")))).alias(c) for c in (*POOL_MEDIANS, "days_since_default", "matches_30d_default")])
     hand = F.when(F.col("handedness") == "L", 1.0).when(F.col("handedness") == "R", 0.0)
-    people = profiles.crossJoin(one.select("pool_as_of_date")).agg(F.avg(hand).alias("left_handed_rate"), F.avg(F.year("pool_as_of_date") - F.col("turned_pro")).alias("avg_years_pro"), F.count("*").alias("profile_rows"))
+    people = profiles.crossJoin(one).agg(F.avg(hand).alias("left_handed_rate"), F.avg(F.year("pool_as_of_date") - F.col("turned_pro")).alias("avg_years_pro"), F.count("*").alias("profile_rows"))
     tour = matches.agg(F.count("*").alias("player_match_rows"), *[weighted_ratio(*r).alias(n) for n, r in TOUR_RATIOS.items()])
     fill = POOL_CONSTANTS | {"days_since_default": 365.0, "matches_30d_default": 0.0, "left_handed_rate": 0.0, "avg_years_pro": 8.0}
-    row = pool.crossJoin(activity).crossJoin(people).crossJoin(tour)
+    row = pool.crossJoin(F.broadcast(medians)).crossJoin(F.broadcast(people)).crossJoin(F.broadcast(tour))  # one row each
     return row.select(
         F.lit(1).alias("singleton_id"), "pool_as_of_date", "snapshot_pool_rows", "snapshot_pool_players", "profile_rows", "player_match_rows",
         *[F.round(F.coalesce(F.col(c).cast("double"), F.lit(v)), 5).alias(c) for c, v in fill.items()],

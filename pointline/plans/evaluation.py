@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import antisymmetric_evidence, clip_probability, temperature_scaled
 from ..operators.events import date_bands
+from ..operators.ordered import running_totals
 
 #: Split fractions, tolerance of promotion, drift thresholds and window bounds.
 TRAIN_SHARE, VAL_SHARE = 0.96, 0.02
@@ -58,12 +59,12 @@ def loss(y: Column, p: Column, eps: float = 1e-12) -> Column:
 
 
 def auc_table(rows: DataFrame, y: str, p: str, by: Sequence[str] = ()) -> DataFrame:
-    """Exact area under the ROC curve: mid-ranks over distinct scores, so rows are counted before any order."""
+    """Exact area under the ROC curve: mid-ranks over distinct scores, which a range sort puts in order."""
     scores = rows.groupBy(*by, F.col(p).alias("__p")).agg(F.sum(F.col(y).cast("double")).alias("pos"), F.count("*").cast("double").alias("n"))
-    below = Window.partitionBy(*by).orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)
-    ranked = scores.withColumn("neg", F.col("n") - F.col("pos")).withColumn("neg_below", F.coalesce(F.sum("neg").over(below), F.lit(0.0)))
-    total = ranked.groupBy(*by).agg(F.sum(F.col("pos") * (F.col("neg_below") + F.col("neg") / 2)).alias("u"), F.sum("pos").alias("P"), F.sum("neg").alias("N"))
-    return total.select(*by, F.try_divide("u", F.col("P") * F.col("N")).alias("roc_auc"))
+    ranked = running_totals(scores.withColumn("neg", F.col("n") - F.col("pos")), [*map(F.col, by), F.col("__p")], {"neg_below": F.col("neg")})
+    # totals run over all groups: what lies before a group's first score is taken off again
+    total = ranked.groupBy(*by).agg(F.sum(F.col("pos") * (F.col("neg_below") + F.col("neg") / 2)).alias("u"), F.min("neg_below").alias("others"), F.sum("pos").alias("P"), F.sum("neg").alias("N"))
+    return total.select(*by, F.try_divide(F.col("u") - F.col("others") * F.col("P"), F.col("P") * F.col("N")).alias("roc_auc"))
 
 
 def gate_metrics(rows: DataFrame, y: str, p: str) -> DataFrame:
@@ -97,19 +98,22 @@ def reliability(rows: DataFrame, y: str, p: str, edges: Sequence[float] = (0.0,
     return rows.withColumn("bin", bin_).where("bin IS NOT NULL").groupBy("bin").agg(F.avg(p).alias("mean_p"), F.avg(y).alias("rate"), F.count("*").alias("n"))
 
 
+def curve_steps(rows: DataFrame, y: str, p: str) -> DataFrame:
+    """Per distinct score, from the highest: the rates at that threshold, and the recall that it adds."""
+    scores = rows.groupBy(F.col(p).alias("threshold")).agg(F.sum(F.col(y).cast("long")).alias("pos"), F.count("*").alias("n"))
+    run = running_totals(scores, [F.desc("threshold")], {"tp": F.col("pos"), "seen": F.col("n")})
+    whole = F.broadcast(scores.agg(F.sum("pos").alias("P"), F.sum("n").alias("all")))  # one row
+    c = run.withColumn("tp", F.col("tp") + F.col("pos")).withColumn("seen", F.col("seen") + F.col("n")).crossJoin(whole)
+    return c.select("threshold", F.try_divide(F.col("seen") - F.col("tp"), F.col("all") - F.col("P")).alias("fpr"), F.try_divide(F.col("tp"), F.col("P")).alias("tpr"), F.try_divide(F.col("tp"), F.col("seen")).alias("precision"), F.try_divide(F.col("pos"), F.col("P")).alias("step"))
+
+
 def curve_points(rows: DataFrame, y: str, p: str) -> DataFrame:
     """Per distinct score, from the highest: false and true positive rate, precision and recall."""
-    scores = rows.groupBy(F.col(p).alias("threshold")).agg(F.sum(F.col(y).cast("long")).alias("pos"), F.count("*").alias("n"))
-    down = Window.orderBy(F.desc("threshold")).rowsBetween(Window.unboundedPreceding, 0)
-    whole = F.broadcast(rows.agg(F.sum(F.col(y).cast("long")).alias("P"), F.count("*").alias("all")))
-    c = scores.withColumn("tp", F.sum("pos").over(down)).withColumn("seen", F.sum("n").over(down)).crossJoin(whole)
-    return c.select("threshold", F.try_divide(F.col("seen") - F.col("tp"), F.col("all") - F.col("P")).alias("fpr"), F.try_divide(F.col("tp"), F.col("P")).alias("tpr"), F.try_divide(F.col("tp"), F.col("seen")).alias("precision"))
+    return curve_steps(rows, y, p).drop("step")
 
 
 def average_precision(rows: DataFrame, y: str, p: str) -> DataFrame:
-    points = curve_points(rows, y, p)
-    step = F.col("tpr") - F.coalesce(F.lag("tpr").over(Window.orderBy(F.desc("threshold"))), F.lit(0.0))
-    return points.withColumn("step", step).agg(F.sum(F.col("step") * F.col("precision")).alias("average_precision"))
+    return curve_steps(rows, y, p).agg(F.sum(F.col("step") * F.col("precision")).alias("average_precision"))
 
 
 def temperature_losses(rows: DataFrame, y: str, p: str, grid: Sequence[float], by: Sequence[str] = ()) -> DataFrame:

@@ -7,7 +7,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-PLAYERS = 60
+#: Players are the customers; each plays within its league of so many neighbouring keys, so that pairs meet again.
+LEAGUE = 12
 MULTIPLIERS = ((13, 17, 19, 23, 29, 31, 37, 41, 43), (47, 53, 59, 61, 67, 71, 73, 79, 83))
 
 
@@ -35,12 +36,12 @@ def _sides() -> tuple[list[str], list[str], list[str]]:
 _FIRST, _SECOND, _THIRD = _sides()
 #: Select lists applied one after another to ``orders``.
 EVENT_LAYERS = (
-    ["o_orderkey AS k", "CAST(o_orderdate AS DATE) AS d", f"o_custkey % {PLAYERS} AS p1", f"(o_custkey % {PLAYERS} + 1 + (o_orderkey * 7) % {PLAYERS - 1}) % {PLAYERS} AS p2"],
+    ["o_orderkey AS k", "CAST(o_orderdate AS DATE) AS d", "o_custkey AS p1", f"o_custkey - o_custkey % {LEAGUE} + (o_custkey % {LEAGUE} + 1 + (o_orderkey * 7) % {LEAGUE - 1}) % {LEAGUE} AS p2"],
     ["*", *_FIRST],
     ["*", *_SECOND],
     [
-        "lpad(CAST(k AS VARCHAR(20)), 10, '0') AS match_id", "d AS match_date", "concat('P', lpad(CAST(p1 AS VARCHAR(20)), 2, '0')) AS player1_id",
-        "concat('P', lpad(CAST(p2 AS VARCHAR(20)), 2, '0')) AS player2_id", "concat('P', lpad(CAST(p1 AS VARCHAR(20)), 2, '0')) AS winner_id",
+        "lpad(CAST(k AS VARCHAR(20)), 10, '0') AS match_id", "d AS match_date", "concat('P', lpad(CAST(p1 AS VARCHAR(20)), 9, '0')) AS player1_id",
+        "concat('P', lpad(CAST(p2 AS VARCHAR(20)), 9, '0')) AS player2_id", "concat('P', lpad(CAST(p1 AS VARCHAR(20)), 9, '0')) AS winner_id",
         _pick("k % 8", {"grand_slam": "0", "masters": "1", "atp_500": "2, 3", "atp_250": "4, 5, 6"}, "davis_cup") + " AS tournament",
         _pick("k % 9", {"r128": "0", "r64": "1", "r32": "2", "r16": "3", "qf": "4", "sf": "5", "f": "6"}, "rr") + " AS round",
         "CAST(CASE WHEN k % 50 = 0 THEN NULL WHEN k % 8 = 0 THEN 5 ELSE 3 END AS SMALLINT) AS best_of",
@@ -51,7 +52,7 @@ EVENT_LAYERS = (
 
 PROFILE_LAYERS = (
     [
-        "concat('P', lpad(CAST(c_custkey AS VARCHAR(20)), 2, '0')) AS player_id", "c_name AS display_name",
+        "concat('P', lpad(CAST(c_custkey AS VARCHAR(20)), 9, '0')) AS player_id", "c_name AS display_name",
         "CASE WHEN c_custkey % 13 = 0 THEN NULL WHEN c_custkey % 8 = 0 THEN 'L' ELSE 'R' END AS handedness",
         "CASE WHEN c_custkey % 3 = 0 THEN '1H' ELSE '2H' END AS backhand", "CAST(170 + c_custkey % 30 AS INT) AS height",
         "CAST(CASE WHEN c_custkey % 17 = 0 THEN NULL ELSE 1985 + c_custkey % 15 END AS INT) AS turned_pro", "CAST(c_nationkey AS INT) AS nation",
@@ -84,7 +85,7 @@ def match_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def player_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _apply(spark.read.parquet(f"{sf_dir}/customer.parquet").where("c_custkey < 64"), PROFILE_LAYERS)
+    return _apply(spark.read.parquet(f"{sf_dir}/customer.parquet"), PROFILE_LAYERS)
 
 
 def rankings(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -95,6 +96,6 @@ def rankings(spark: SparkSession, sf_dir: str) -> DataFrame:
 #: Common table expressions for DuckDB, with the names of the functions above.
 SQL = {
     "match_events": layered("orders", EVENT_LAYERS),
-    "player_profiles": layered("(SELECT * FROM customer WHERE c_custkey < 64)", PROFILE_LAYERS),
+    "player_profiles": layered("customer", PROFILE_LAYERS),
     "rankings": layered(f"(SELECT * FROM player_profiles, (SELECT unnest(range(0, {WEEKS})) AS week) WHERE (c + week) % 5 <> 0)", RANK_LAYERS).replace("date_add(DATE '1995-01-02', week * 7)", "DATE '1995-01-02' + week * 7"),
 }
