@@ -311,7 +311,7 @@ def user_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("user_id", F.col("session_window.start").alias("start"), "n")
 
 
-@query(with_tables("SELECT * EXCLUDE (matches_30d_before) FROM pm", "pm"))
+@query(with_tables("SELECT * FROM pm", "pm"))
 def streamed_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Event files arriving as a stream keep the directional table equal to a full build."""
     root = shared_path(spark, "stream")
@@ -319,22 +319,21 @@ def streamed_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     e.repartition(2, "batch").write.parquet(f"{root}/in")
     stream = streaming.stream_events(spark, f"{root}/in", e.schema, files=1)
     streaming.maintain(stream, f"{root}/events", f"{root}/table", ops.player_matches, f"{root}/checkpoint", buckets=8).awaitTermination()
-    return spark.read.parquet(f"{root}/table").drop("bucket", "matches_30d_before")
+    return spark.read.parquet(f"{root}/table").drop("bucket")
 
 
-@query(with_tables("SELECT count(*) AS n FROM mf WHERE player_id < opponent_id AND match_date > DATE '2001-01-01'", "mf"))
+@query(with_tables("SELECT match_id, player_id, opponent_id, true AS in_range, true AS consistent FROM pm WHERE player_id < opponent_id AND match_date > DATE '2001-01-01'", "pm"))
 def trained_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two linear families fitted on early events score the later ones; the
-    probabilities are complementary by construction. Returns how many events were scored."""
-    rows = Tables(spark, sf_dir).features.persist()
-    try:
-        train = rows.where("match_date <= '2001-01-01'")
-        fits = {"linear": models.linear({"maxIter": 10}).fit(train), "bayes": models.linear({"family": "bayes"}).fit(train)}
-        late = rows.where("match_date > '2001-01-01'").select("match_id", "player_id", "opponent_id", *FEATURE_COLS)
-        scored = models.score(late.limit(0), late, fits, [0.7, 0.3])
-        n = scored.where("p_win BETWEEN 0 AND 1").count()
-    finally:
-        rows.unpersist()
-    return spark.range(1).select(F.lit(n).alias("n"))
+    """Two linear families fitted on early events score the later ones. Every
+    later event has one row at its smaller id, a probability, and the winner that it implies."""
+    t = Tables(spark, sf_dir)
+    rows = t.stored(t.features)
+    train = rows.where("match_date <= '2001-01-01'")
+    fits = {"linear": models.linear({"maxIter": 10}).fit(train), "bayes": models.linear({"family": "bayes"}).fit(train)}
+    late = rows.where("match_date > '2001-01-01'").select("match_id", "player_id", "opponent_id", *FEATURE_COLS)
+    scored = models.score(late.limit(0), late, fits, [0.7, 0.3])
+    implied = F.when(F.col("p_win") >= 0.5, F.col("player_id")).otherwise(F.col("opponent_id"))
+    in_range = F.coalesce(F.col("p_win").between(0, 1), F.lit(False))
+    return scored.select("match_id", "player_id", "opponent_id", in_range.alias("in_range"), F.coalesce(F.col("predicted_winner") == implied, F.lit(False)).alias("consistent"))
 
 
