@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-PARTS = ("core", "evaluate", "quality", "serve", "ingest", "more")
+PARTS = ("core", "evaluate", "quality", "serve", "ingest", "more", "train")
 
 
 def queries() -> dict:

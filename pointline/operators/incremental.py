@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -85,6 +85,38 @@ def publish(df: DataFrame, root: str, version: str, checks: Sequence[tuple[str,
     return path
 
 
+def publish_set(tables: Mapping[str, DataFrame], root: str, version: str, checks: Sequence[tuple[str, Callable[[Mapping[str, DataFrame]], DataFrame]]]) -> str:
+    """Write several tables of one view as a version, check what was written, then point to all at once.
+
+    A check gives faulty rows from the written tables by name. A failed check raises and leaves the
+    pointer, which is one row in a folder per version, as it was.
+    """
+    spark: SparkSession = next(iter(tables.values())).sparkSession
+    for name, df in tables.items():
+        df.write.mode("errorifexists").parquet(f"{root}/version={version}/{name}")
+    stored = {name: spark.read.parquet(f"{root}/version={version}/{name}") for name in tables}
+    failed = [name for name, check in checks if check(stored).limit(1).count()]
+    if failed:
+        raise ValueError(f"not published: {', '.join(failed)}")
+    # appending one file is atomic: readers see the newest pointer that is whole
+    spark.createDataFrame([(version,)], "version string").withColumn("published_at", F.current_timestamp()).coalesce(1).write.mode("append").parquet(f"{root}/pointers")
+    return f"{root}/version={version}"
+
+
+def read_set(spark: SparkSession, root: str, names: Sequence[str]) -> dict[str, DataFrame]:
+    """The tables of the version published last."""
+    version = spark.read.parquet(f"{root}/pointers").agg(F.max_by("version", F.struct("published_at", "version"))).first()[0]
+    return {name: spark.read.parquet(f"{root}/version={version}/{name}") for name in names}
+
+
+def advance_watermark(events: DataFrame, path: str, pipeline: str, build: Callable[[], None]) -> None:
+    """Run ``build``, then append the watermark of the events that it saw; a failed build appends nothing."""
+    seen = events.agg(F.max("ingested_at").alias("watermark")).first()[0]
+    build()
+    if seen is not None:
+        events.sparkSession.createDataFrame([(pipeline, seen)], "pipeline string, watermark timestamp").coalesce(1).write.mode("append").parquet(path)
+
+
 def read_current(spark: SparkSession, root: str) -> DataFrame:
     return spark.read.parquet(f"{root}/version={spark.read.parquet(f'{root}/current').first()[0]}")
 
@@ -118,10 +150,20 @@ def missing_mondays(dates: DataFrame, date: str, start: Column, end: Column, key
     return calendar.join(dates.select(*on).distinct(), on, "left_anti")
 
 
+def later_meetings(events: DataFrame, new: DataFrame) -> DataFrame:
+    """Events of a pair that come after the pair's first new event; both sides in either order.
+
+    The first day of each pair is enough, so that no pair's history meets itself.
+    """
+    pair = [F.least("player1_id", "player2_id").alias("__lo"), F.greatest("player1_id", "player2_id").alias("__hi")]
+    first = new.groupBy(*pair).agg(F.min("match_date").alias("__first"))
+    return events.select("*", *pair).join(first, ["__lo", "__hi"]).where("match_date > __first").drop("__lo", "__hi", "__first")
+
+
 def run_window(start: Column, end: Column, watermark: Column, today: Column) -> Column:
-    """(first, last) of a run: as given, an open end is today, an open start follows the watermark;
+    """(first, last) of a run: as given, an open end is today, an open start is the watermark's day;
     null where there is nothing to do."""
-    first = F.coalesce(start, F.date_add(watermark, 1))
+    first = F.coalesce(start, watermark)
     last = F.coalesce(end, today)
     return F.when(first.isNotNull() & (first <= last), F.struct(first.alias("first"), last.alias("last")))
 

@@ -43,6 +43,38 @@ def fold_differences(stored: DataFrame, fresh: DataFrame) -> DataFrame:
     return stored.exceptAll(fresh).withColumn("side", F.lit("stored")).union(fresh.exceptAll(stored).withColumn("side", F.lit("fresh")))
 
 
+def alignment_issues(left: DataFrame, right: DataFrame, keys: Sequence[str], same: Sequence[str] = ()) -> DataFrame:
+    """(keys, issue) of each key that breaks a one-to-one match of two tables: repeated on either side,
+    missing from ``left``, unexpected there, or with another value in a column of ``same``.
+
+    Both sides meet in one grouping; null keys are keys like others.
+    """
+    side = lambda df, i: df.select(*keys, *same, F.lit(i).alias("__side"))
+    both = side(left, 0).unionByName(side(right, 1))
+    of = lambda c, i: F.max(F.when(F.col("__side") == i, F.col(c)))
+    g = both.groupBy(*keys).agg(F.count_if(F.col("__side") == 0).alias("__l"), F.count_if(F.col("__side") == 1).alias("__r"), *[of(c, i).alias(f"__{i}{c}") for c in same for i in (0, 1)])
+    differs = F.lit(False)
+    for c in same:
+        differs = differs | ~F.col(f"__0{c}").eqNullSafe(F.col(f"__1{c}"))
+    issue = F.when((F.col("__l") > 1) | (F.col("__r") > 1), "repeated").when(F.col("__l") == 0, "missing").when(F.col("__r") == 0, "unexpected").when(differs, "differs")
+    return g.withColumn("issue", issue).where("issue IS NOT NULL").select(*keys, "issue")
+
+
+def aligned(left: DataFrame, right: DataFrame, keys: Sequence[str], same: Sequence[str] = ()) -> DataFrame:
+    """Rows of both tables joined one to one; raises where they don't match so."""
+    found = [f"{r['count']} {r['issue']}" for r in alignment_issues(left, right, keys, same).groupBy("issue").count().orderBy("issue").collect()]  # at most 4 rows
+    if found:
+        raise ValueError(f"not aligned one to one: {', '.join(found)}")
+    return left.join(right.drop(*same), list(keys))
+
+
+def label_issues(events: DataFrame) -> DataFrame:
+    """(match_id, issue): events whose sides are incomplete or whose winner isn't exactly one of them."""
+    a, b, w = F.col("player1_id"), F.col("player2_id"), F.col("winner_id")
+    issue = F.when(a.isNull() | b.isNull(), "missing side").when(w.isNull(), "missing winner").when((w == a) & (w == b), "won by both").when((w != a) & (w != b), "won by neither")
+    return events.select("match_id", issue.alias("issue")).where("issue IS NOT NULL")
+
+
 def evidence_pairs(preds: DataFrame, models: Sequence[str]) -> DataFrame:
     """One row per event at the smaller id: each model's probability both ways and their evidence."""
     lower = F.col("player_id") <= F.col("opponent_id")
@@ -98,6 +130,11 @@ def reliability(rows: DataFrame, y: str, p: str, edges: Sequence[float] = (0.0,
     return rows.withColumn("bin", bin_).where("bin IS NOT NULL").groupBy("bin").agg(F.avg(p).alias("mean_p"), F.avg(y).alias("rate"), F.count("*").alias("n"))
 
 
+def calibration_points(rows: DataFrame, y: str, p: str, bins: int = 10) -> DataFrame:
+    """Mean probability and outcome rate of the equal bins that hold rows; the last bin holds 1."""
+    return rows.groupBy(F.least(F.floor(F.col(p) * bins), F.lit(bins - 1)).alias("bin")).agg(F.avg(p).alias("mean_p"), F.avg(y).alias("rate"), F.count("*").alias("n"))
+
+
 def curve_steps(rows: DataFrame, y: str, p: str) -> DataFrame:
     """Per distinct score, from the highest: the rates at that threshold, and the recall that it adds."""
     scores = rows.groupBy(F.col(p).alias("threshold")).agg(F.sum(F.col(y).cast("long")).alias("pos"), F.count("*").alias("n"))
@@ -143,24 +180,45 @@ def fit_temperature(rows: DataFrame, y: str, p: str, bounds: tuple[float, float]
     return best
 
 
-def select_temperature(rows: DataFrame, y: str, p: str, fold: str, guard: float = 1e-3) -> Mapping[str, float | bool]:
-    """Walk-forward: each fold scaled by the fit on earlier ones; accepted if the pooled log loss
-    improves and the Brier score holds within ``guard``. Band 0 has no predictions and is left out."""
-    rows = rows.where(F.col(fold) > 0)
-    folds = sorted(r[0] for r in rows.select(fold).distinct().collect())  # one row per fold
-    if len(folds) < 2:
+def walk_forward(rows: DataFrame, y: str, p: str, fold: str, **fit) -> DataFrame:
+    """(fold, temperature, y, raw, scaled): each fold but the first scaled by the fit on earlier ones.
+
+    Band 0 has no predictions and is left out. Raises on fold numbers that aren't whole, on folds
+    with one class only, and on fewer than two folds. ``fit`` goes to fit_temperature.
+    """
+    rows = rows.where(F.col(fold).isNull() | (F.col(fold) > 0))
+    seen = rows.groupBy(fold).agg(F.countDistinct(y).alias("classes")).collect()  # one row per fold
+    if any(r[0] is None or r[0] != int(r[0]) for r in seen):
+        raise ValueError("folds must be whole numbers")
+    if len(seen) < 2:
         raise ValueError("walk-forward calibration requires at least two folds")
-    pooled = None
-    for k, f in enumerate(folds[1:], 1):
-        t = fit_temperature(rows.where(F.col(fold).isin(folds[:k])), y, p)
-        part = rows.where(F.col(fold) == f).select(F.col(y).alias("y"), F.col(p).alias("raw"), temperature_scaled(F.col(p), F.lit(t)).alias("scaled"))
+    if any(r.classes < 2 for r in seen):
+        raise ValueError("each fold must hold both classes")
+    folds, pooled = sorted(r[0] for r in seen), None
+    for f in folds[1:]:
+        t = fit_temperature(rows.where(F.col(fold) < f), y, p, **fit)
+        part = rows.where(F.col(fold) == f).select(F.col(fold).alias("fold"), F.lit(float(t)).alias("temperature"), F.col(y).alias("y"), F.col(p).alias("raw"), temperature_scaled(F.col(p), F.lit(float(t))).alias("scaled"))
         pooled = part if pooled is None else pooled.union(part)
+    return pooled
+
+
+def select_temperature(rows: DataFrame, y: str, p: str, fold: str, guard: float = 1e-3, **fit) -> Mapping[str, float | bool]:
+    """The temperature of a fit on all folds, if walking forward the pooled log loss improves and the
+    Brier score holds within ``guard``; else 1."""
+    pooled = walk_forward(rows, y, p, fold, **fit)
     m = pooled.agg(*[F.avg(loss(F.col("y"), F.col(c))).alias(f"{c}_log_loss") for c in ("raw", "scaled")], *[F.avg(F.pow(F.col("y") - F.col(c), 2)).alias(f"{c}_brier") for c in ("raw", "scaled")]).first()
     accepted = m.scaled_log_loss < m.raw_log_loss and m.scaled_brier < m.raw_brier + guard
-    fitted = fit_temperature(rows, y, p)
+    fitted = fit_temperature(rows.where(F.col(fold) > 0), y, p, **fit)
     return {"temperature": fitted if accepted else 1.0, "fitted_temperature": fitted, "accepted": accepted, **m.asDict()}
 
 
+def improves(candidate_loss, candidate_auc, production_loss, production_auc):
+    """One metric better and the other within the tolerance; of numbers or of columns."""
+    loss_holds = candidate_loss <= production_loss + PROMOTION_TOLERANCE
+    auc_holds = candidate_auc >= production_auc - PROMOTION_TOLERANCE
+    return ((candidate_loss < production_loss) & auc_holds) | ((candidate_auc > production_auc) & loss_holds)
+
+
 def decide_promotion(candidate: Mapping[str, float], production: Mapping[str, float] | None, *, champion_run: str | None, candidate_run: str, champion_hash: str | None, candidate_hash: str, force: bool = False) -> bool:
     """Whether a candidate replaces the champion."""
     if force or champion_hash is None or champion_hash != candidate_hash:
@@ -169,10 +227,7 @@ def decide_promotion(candidate: Mapping[str, float], production: Mapping[str, fl
         return False
     if production is None:
         return True
-    better_loss, better_auc = candidate["log_loss"] < production["log_loss"], candidate["roc_auc"] > production["roc_auc"]
-    loss_holds = candidate["log_loss"] <= production["log_loss"] + PROMOTION_TOLERANCE
-    auc_holds = candidate["roc_auc"] >= production["roc_auc"] - PROMOTION_TOLERANCE
-    return (better_loss and auc_holds) or (better_auc and loss_holds)
+    return improves(candidate["log_loss"], candidate["roc_auc"], production["log_loss"], production["roc_auc"])
 
 
 def drift_rates(events: DataFrame) -> DataFrame:
@@ -233,6 +288,11 @@ def scored_violations(scored: DataFrame) -> DataFrame:
     return pair.withColumn("issue", issue).where("issue IS NOT NULL").select("match_id", "issue").union(flat)
 
 
+def scored_rows(scored: DataFrame) -> DataFrame:
+    """Each scored row with the prediction that its probability implies, for a log."""
+    return scored.select("match_id", "player_id", "opponent_id", "match_won", "p_win", (F.col("p_win") >= 0.5).cast("int").alias("pred"))
+
+
 def recency_weights(rows: DataFrame, date: str, cutoff: Column, half_life_days: int = 1461) -> DataFrame:
     """Extension: weights that halve every ``half_life_days``, with mean 1."""
     raw = F.pow(F.lit(0.5), F.datediff(cutoff, F.col(date)) / half_life_days)

@@ -73,6 +73,15 @@ def to_raw_rows(events: DataFrame) -> DataFrame:
     return rows.select(*RAW_REQUIRED)
 
 
+#: Tournament levels that are taken in.
+ELIGIBLE = ("grand_slam", "masters", "atp_500", "atp_250")
+
+
+def eligible(events: DataFrame) -> DataFrame:
+    """Events of the levels that are taken in; an unknown level isn't one."""
+    return events.where(F.col("tournament").isin(*ELIGIBLE))
+
+
 def append_new(path: str, rows: DataFrame, stored: DataFrame | None, key: Sequence[str], partition: Column, order: Sequence[str]) -> int:
     """Append rows of keys that ``stored`` lacks, once each, under a partition column; how many."""
     once = rows.dropDuplicates(list(key))

@@ -7,6 +7,7 @@ import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
+from pointline.catalog.base import Tables
 from pointline.functions import scalars as fn
 from pointline.operators import identity, incremental
 from pointline.plans import evaluation as ev
@@ -156,3 +157,51 @@ def test_out_of_fold_skips_the_first_band(spark, sf):
     assert {r[0] for r in preds.select("fold").distinct().collect()} == {1, 2}
     evidence = ev.evidence_pairs(preds, ["linear"]).join(folds.select("match_id", "fold"), "match_id")
     assert 0.0 <= models.cross_fitted(evidence, ["linear"]).agg(F.avg("p_win")).first()[0] <= 1.0
+
+
+def test_walk_forward_rejects_bad_folds(spark):
+    rows = spark.range(40).select((F.col("id") % 2).cast("int").alias("y"), F.lit(0.4).alias("p"), (F.col("id") % 3).cast("double").alias("fold"))
+    ev.walk_forward(rows.withColumn("fold", F.col("fold") + 1), "y", "p", "fold", rounds=1)
+    for bad in (F.col("fold") + 0.5, F.lit(1.0), F.when(F.col("y") == 1, 1.0).otherwise(2.0), F.when(F.col("fold") > 0, F.col("fold"))):
+        with pytest.raises(ValueError):
+            ev.walk_forward(rows.withColumn("fold", bad), "y", "p", "fold", rounds=1)
+
+
+def test_alignment_is_one_to_one(spark):
+    labels = spark.createDataFrame([(1, 0), (2, 1), (None, 1)], "id int, y int")
+    preds = labels.select("id", "y", F.lit(0.5).alias("p"))
+    assert ev.alignment_issues(preds, labels, ["id"], ["y"]).count() == 0
+    assert ev.aligned(preds.where("id > 0"), labels.where("id > 0"), ["id"], ["y"]).count() == 2
+    wrong = preds.where("id = 1").union(preds.where("id = 1")).union(spark.createDataFrame([(3, 1, 0.5), (2, 0, 0.5)], preds.schema))
+    assert {r.id: r.issue for r in ev.alignment_issues(wrong, labels, ["id"], ["y"]).collect()} == {1: "repeated", 2: "differs", 3: "unexpected", None: "missing"}
+    with pytest.raises(ValueError, match="1 differs, 1 missing, 1 repeated, 1 unexpected"):
+        ev.aligned(wrong, labels, ["id"], ["y"])
+    assert ev.alignment_issues(preds.limit(0), labels.limit(0), ["id"], ["y"]).count() == 0
+
+
+def test_a_set_is_published_whole_or_not_at_all(spark, tmp_path):
+    a, b = spark.range(3), spark.range(4)
+    equal = ("equal", lambda s: s["a"].join(s["b"], "id", "left_anti"))
+    incremental.publish_set({"a": a, "b": b}, str(tmp_path), "1", [equal])
+    with pytest.raises(ValueError, match="equal"):
+        incremental.publish_set({"a": b, "b": a}, str(tmp_path), "2", [equal])
+    assert [t.count() for t in incremental.read_set(spark, str(tmp_path), ["a", "b"]).values()] == [3, 4]
+    incremental.publish_set({"a": b, "b": b}, str(tmp_path), "3", [equal])
+    assert incremental.read_set(spark, str(tmp_path), ["a"])["a"].count() == 4
+
+
+def test_watermark_stays_where_a_build_fails(spark, tmp_path):
+    events = spark.sql("SELECT timestamp'2020-01-01' AS ingested_at")
+    path = str(tmp_path / "state")
+    with pytest.raises(RuntimeError):
+        incremental.advance_watermark(events, path, "silver", lambda: (_ for _ in ()).throw(RuntimeError("no")))
+    assert not (tmp_path / "state").exists()
+    incremental.advance_watermark(events, path, "silver", lambda: None)
+    assert not incremental.watermarks(events, spark.read.parquet(path), "silver").first().stale
+
+
+def test_search_tries_each_setting_once(spark, sf):
+    rows = Tables(spark, sf).features.limit(400).cache()
+    got = models.trials("linear", {"regParam": [0.01, 1.0], "maxIter": [2]}, 8, rows, rows)
+    assert sorted(p["regParam"] for p, _ in got) == [0.01, 1.0]
+    assert models.search("linear", {"regParam": [0.01, 1.0], "maxIter": [2]}, 8, rows, rows)[1] == min(m["log_loss"] for _, m in got)

@@ -13,7 +13,7 @@ import pytest
 from pointline import catalog
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-SLOW = {"streamed_table", "leakage_audit", "trained_scores"}
+SLOW = {"streamed_table", "leakage_audit", "trained_scores", "family_scores", "search_trials", "out_of_fold_scores"}
 
 
 def plain(v):
