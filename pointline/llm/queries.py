@@ -86,6 +86,49 @@ def op10_token_id_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest_token_ids(spark, path)
 
 
+def op11_mixture_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .packing import pack_mixture
+
+    return pack_mixture(table(spark, sf_dir, "documents"), vocabulary())
+
+
+def damaged_conversations(rows: DataFrame) -> DataFrame:
+    """The rows with planted faults, by the checksum of conversation and turn; nulls count as one space."""
+    told = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(" "))
+    fault = F.crc32(F.concat_ws(":", told("conv_id"), told("turn"))) % 20
+    text = F.when(fault == 1, F.lit("")).when(fault == 2, F.regexp_replace(told("text"), "[.!?]", "")).otherwise(told("text"))
+    role = F.when(fault == 4, F.lit("user")).otherwise(told("role"))
+    times = F.when(fault == 0, 0).when(fault == 3, 2).otherwise(1)
+    return rows.select("conv_id", "turn", role.alias("role"), text.alias("text"), F.explode(F.array_repeat(F.lit(0), times)).alias("again")).drop("again")
+
+
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .conversations import repair_conversations
+
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    return repair_conversations(damaged_conversations(rows), every=rows)
+
+
+def with_repeated_tails(docs: DataFrame) -> DataFrame:
+    """doc_id and text, where a tenth of the documents, by their id's checksum, go on periodically from some word on."""
+    h = F.crc32(F.col("doc_id").cast("string"))
+    words = F.regexp_extract_all("text", F.lit(r"([^\x20\x09-\x0D]+)"), 1)
+    # an array of their own, or each use would take the text apart again
+    split = docs.select("doc_id", "text", F.floor(h / 10).alias("g"), F.when(h % 10 == 0, words).alias("words"))
+    g, n = F.col("g"), F.size("words")
+    a = (g % n).cast("int")
+    p = (1 + F.floor((n - a) / (3 + g % 8))).cast("int")
+    tail = F.slice(F.flatten(F.array_repeat(F.slice("words", a + 1, p), F.ceil((n - a) / p).cast("int"))), F.lit(1), n - a)
+    changed = F.array_join(F.concat(F.slice("words", F.lit(1), a), tail), " ")
+    return split.select("doc_id", F.when(n > 0, changed).otherwise(F.col("text")).alias("text"))
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .periodic import detect_runs
+
+    return detect_runs(with_repeated_tails(table(spark, sf_dir, "documents")), with_text=False)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_topk": op1_exact_topk,
     "op2_line_dedup": op2_line_dedup,
@@ -97,6 +140,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_simhash_near_dedup": op8_simhash_near_dedup,
     "op9_quality_classifier": op9_quality_classifier,
     "op10_token_id_files": op10_token_id_files,
+    "op11_mixture_packing": op11_mixture_packing,
+    "op12_conversation_repair": op12_conversation_repair,
+    "op13_periodic_runs": op13_periodic_runs,
 }
 
 ORACLES: dict[str, str] = {
