@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator, Mapping
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -21,7 +22,7 @@ from pyspark.sql import functions as F
 
 from ..operators.ordered import running_totals
 from .batches import stable, steps, written
-from .idcoder import library_encoder
+from .idcoder import LibraryEncoder
 
 #: Bits of a token's fraction in a deficit. Token counts stay exact up to 2 ** (62 - FRACTION) of one source.
 FRACTION = 16
@@ -29,6 +30,8 @@ FRACTION = 16
 LEAST = 16
 #: Ids that one step of a task places.
 STEP_IDS = 500_000
+#: Pieces of text that a worker remembers the ids of before it forgets those it met only once.
+REMEMBERED = 800_000
 
 
 class Rounds:
@@ -136,6 +139,58 @@ class Sequences:
         return doc[at], start[at], ends - low[at], number[at], low[at] - self.start(number[at])
 
 
+class FrequentEncoder(LibraryEncoder):
+    """Ids from the tokenizers library; where it has met too many pieces, it forgets the rare ones."""
+
+    def __init__(self, file: str):
+        self.kept = None
+        super().__init__(file)
+        self.limit = REMEMBERED
+
+    def encode_pieces(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        return super().encode_pieces(pieces) if self.kept is None else self.kept
+
+    def clear(self) -> None:
+        super().clear()
+        self.uses = np.zeros(0, np.int64)
+
+    def room(self) -> None:
+        if len(self.pieces) <= self.limit:
+            return
+        uses = self.uses[: self.count]
+        least = max(2, int(np.partition(uses, -self.limit // 2)[-self.limit // 2]) + 1)
+        stay = np.flatnonzero(uses >= least)
+        names, self.kept = list(self.pieces), (self.ids(stay), self.size[stay])
+        self.clear()
+        for i in stay.tolist():
+            self.pieces[names[i]]
+        self.settle()
+        self.kept = None
+
+    def encode_texts(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts in one array, and the number of each text's."""
+        self.room()
+        parts = [self.parts(t) if t else [] for t in texts]
+        counts = np.fromiter(map(len, parts), np.int64, len(parts))
+        numbers = np.fromiter(map(self.pieces.__getitem__, chain.from_iterable(parts)), np.int32, int(counts.sum()))
+        self.settle()
+        met = np.bincount(numbers, minlength=self.count)
+        met[: len(self.uses)] += self.uses
+        self.uses = met
+        ends = np.r_[0, np.cumsum(self.size[numbers], dtype=np.int64)][np.cumsum(counts)]
+        return self.ids(numbers), np.diff(np.r_[0, ends])
+
+
+_encoders: dict[str, FrequentEncoder] = {}
+
+
+def worker_encoder(file: str) -> FrequentEncoder:
+    """One encoder per Python worker and vocabulary file, so tasks share what they have met."""
+    if file not in _encoders:
+        _encoders[file] = FrequentEncoder(file)
+    return _encoders[file]
+
+
 def store_tokens(docs: DataFrame, vocabulary: str, end_id: int, id_col: str, text_col: str, source_col: str) -> DataFrame:
     """A written table of all documents' ids: part (the writing task), source, n, before (tokens of the source earlier in the part), ids."""
     rows = docs.select(
@@ -143,22 +198,23 @@ def store_tokens(docs: DataFrame, vocabulary: str, end_id: int, id_col: str, tex
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, before = library_encoder(vocabulary), {}
+        encoder, before = worker_encoder(vocabulary), {}
         for batch in batches:
-            for at in range(0, batch.num_rows, 1_024):
-                texts = batch.column(2).slice(at, 1_024).to_pylist()
+            for at in range(0, batch.num_rows, 2_048):
+                texts = batch.column(2).slice(at, 2_048).to_pylist()
                 for a, b in steps(texts):
-                    encoder.room()
-                    numbers = [encoder.number(t or "") for t in texts[a:b]]
-                    encoder.settle()
-                    ids = [np.append(encoder.ids(n), np.int32(end_id)) for n in numbers]
+                    ids, n = encoder.encode_texts(texts[a:b])
+                    flat = np.full(len(ids) + b - a, end_id, "<u4")
+                    flat[np.arange(len(ids)) + np.repeat(np.arange(b - a), n)] = ids
+                    n += 1
                     so_far = []
-                    for source, own in zip(batch.column(1).slice(at + a, b - a).to_pylist(), ids, strict=True):
+                    for source, k in zip(batch.column(1).slice(at + a, b - a).to_pylist(), n.tolist(), strict=True):
                         so_far.append(before.get(source, 0))
-                        before[source] = so_far[-1] + len(own)
+                        before[source] = so_far[-1] + k
+                    data = flat if flat.max() >> 16 else flat.astype("<u2")
+                    stored = pa.Array.from_buffers(pa.binary(), b - a, [None, pa.py_buffer((np.r_[0, np.cumsum(n)] * data.itemsize).astype(np.int32)), pa.py_buffer(data.tobytes())])
                     keep = [batch.column(c).slice(at + a, b - a) for c in (0, 1, 3)]
-                    made = [pa.array(list(map(len, ids)), pa.int64()), pa.array(so_far, pa.int64()), pa.array([x.astype("<u4" if x.max() >> 16 else "<u2").tobytes() for x in ids], pa.binary())]
-                    yield pa.RecordBatch.from_arrays(keep + made, names=["doc_id", "source", "part", "n", "before", "ids"])
+                    yield pa.RecordBatch.from_arrays([*keep, pa.array(n), pa.array(so_far, pa.int64()), stored], names=["doc_id", "source", "part", "n", "before", "ids"])
 
     kind = rows.schema["doc_id"].dataType.simpleString()
     return written(rows.mapInArrow(run, f"doc_id {kind}, source string, part int, n long, before long, ids binary"), "tokens")
@@ -202,7 +258,7 @@ def pack_mixture(
     whole = sums.agg(F.sum("n")).first()[0] or 0
     totals = sums.groupBy("source").agg(F.sum("n").alias("n"))
     if weights is None:
-        own = [(r.source, r.n, float(r.n)) for r in totals.where(F.col("n") * window >= F.lit(whole) * least).collect()]
+        own = [(r.source, r.n, float(r.n)) for r in totals.where(F.col("n") >= F.lit(-(-whole * least // window)).cast("long")).collect()]
         rest_weight = float(whole - sum(n for _, n, _ in own))
     else:
         all_weights = sum(weights.values())
