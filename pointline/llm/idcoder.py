@@ -327,26 +327,23 @@ class LibraryEncoder(Encoder):
             self.lengths = np.zeros(max(vocab.values()) + 1, dtype=np.int64)
             for token, i in vocab.items():
                 self.lengths[i] = len(token.encode()) if token in special or not all(c in letters for c in token) else len(token)
-        starts, joined = [], []
+        starts, alone = [], True
         for k, piece in enumerate(pieces):
-            own = not (piece[0] == " " and piece[1:2].strip()) or len(piece) > 64
-            if own or not starts or self._alone(pieces, starts[-1]) or k - starts[-1] >= 512:
+            own = len(piece) > 64 or piece[0] != " " or not piece[1:2].strip()
+            if own or alone or k - starts[-1] >= 512:
                 starts.append(k)
+                alone = own
         ends = [*starts[1:], len(pieces)]
         joined = ["".join(pieces[a:b]) for a, b in zip(starts, ends, strict=True)]
         found = [e.ids for e in self.tokenizer.encode_batch_fast(joined, add_special_tokens=False)]
         ids = np.fromiter(chain.from_iterable(found), dtype=np.int32)
         reach = np.cumsum(self.lengths[ids])
-        wanted = np.cumsum(np.fromiter((len(p.encode()) for p in pieces), np.int64, len(pieces)))
+        wanted = np.cumsum(np.fromiter((len(p) if p.isascii() else len(p.encode()) for p in pieces), np.int64, len(pieces)))
         at = np.searchsorted(reach, wanted, side="left")
         if not (reach[at] == wanted).all():
             raise ValueError("ids don't line up with the pieces")
         return ids, np.diff(np.r_[0, at + 1])
 
-    @staticmethod
-    def _alone(pieces: list[str], k: int) -> bool:
-        return not (pieces[k][0] == " " and pieces[k][1:2].strip()) or len(pieces[k]) > 64
-
 
 _libraries: dict[str, LibraryEncoder] = {}
 

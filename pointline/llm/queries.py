@@ -129,6 +129,58 @@ def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return detect_runs(with_repeated_tails(table(spark, sf_dir, "documents")), with_text=False)
 
 
+def repair_sql() -> str:
+    """The repair as a recursion over each conversation's rows that carries the best script to each of the four states."""
+    step = lambda cell, cost, letter, line: f"{{'c': {cell}.c + {cost}, 'a': {cell}.a || '{letter}', 't': {cell}.t || {line}}}"
+    least = lambda *cells: f"list_min([{', '.join(cells)}])"
+    never = "{'c': 1000000000, 'a': '', 't': ''}"
+
+    def edited(cell: str, role: str) -> str:
+        """A row kept, or with another role, after the state ``cell``."""
+        new = {"s": None, "u": "user", "a": "assistant"}[role]
+        kept = step(cell, "k.more", "K", "k.line")
+        other = never if new is None else step(cell, "2 + k.more", "R", f"chr(10) || '{new}:' || k.text")
+        return f"CASE WHEN k.fault IN (1, 2) THEN {never} WHEN k.initial = '{role}' THEN {kept} ELSE {other} END"
+
+    deleted = lambda cell: step(cell, 3, "D", "''")
+    inserted = lambda cell, role: step(cell, 2, "I", f"chr(10) || '{role}:'")
+    white = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+    told = "coalesce({}::VARCHAR, ' ')"
+    return f"""
+WITH RECURSIVE h AS (
+  SELECT conv_id, turn, {told.format("role")} AS role, {told.format("text")} AS text, xor(list_reduce(
+    list_prepend(4294967295::UBIGINT, list_transform(string_split({told.format("conv_id")} || ':' || {told.format("turn")}, ''), lambda x: ascii(x)::UBIGINT)),
+    lambda c, b: list_reduce(list_prepend(xor(c, b), [0, 0, 0, 0, 0, 0, 0, 0]::UBIGINT[]), lambda x, z: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384::UBIGINT) ELSE x >> 1 END)
+  ), 4294967295::UBIGINT) % 20 AS f FROM conversations),
+d AS (
+  SELECT conv_id, turn, CASE WHEN f = 4 THEN 'user' ELSE role END AS role,
+    CASE f WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text
+  FROM h, range(2) r(again) WHERE f <> 0 AND (again = 0 OR f = 3)),
+p AS (SELECT *, left(role, 1) AS initial, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i, rtrim(text, {white}) AS bare FROM d),
+n AS (SELECT *, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) AS nth FROM p),
+k AS (
+  SELECT *, CASE WHEN bare = '' THEN 1 WHEN nth > 1 THEN 2 WHEN right(bare, 1) NOT IN ('.', '!', '?') THEN 3 ELSE 0 END AS fault,
+    CASE WHEN right(bare, 1) NOT IN ('.', '!', '?') THEN 1 ELSE 0 END AS more, chr(10) || role || ':' || text AS line,
+    lag(initial) OVER (PARTITION BY conv_id ORDER BY i) || initial AS pair FROM n),
+walk(conv_id, i, o, s, u, a) AS (
+  SELECT conv_id, 0::BIGINT, {{'c': 0, 'a': '', 't': ''}}, {never}, {{'c': 2, 'a': 'I', 't': chr(10) || 'user:'}}, {{'c': 4, 'a': 'II', 't': chr(10) || 'user:' || chr(10) || 'assistant:'}}
+  FROM (SELECT DISTINCT conv_id FROM conversations)
+  UNION ALL
+  SELECT conv_id, i, o, s, u, {least("x", inserted("u", "assistant"))} FROM (
+    SELECT conv_id, i, o, s, x, {least("y", inserted("o", "user"), inserted("s", "user"), inserted("x", "user"))} AS u FROM (
+      SELECT w.conv_id, k.i, {deleted("w.o")} AS o, {least(deleted("w.s"), edited("w.o", "s"))} AS s,
+        {least(deleted("w.a"), edited("w.u", "a"))} AS x,
+        {least(deleted("w.u"), edited("w.o", "u"), edited("w.s", "u"), edited("w.a", "u"))} AS y
+      FROM walk w JOIN k ON k.conv_id IS NOT DISTINCT FROM w.conv_id AND k.i = w.i + 1))),
+done AS (SELECT conv_id, {least("o", "a")} AS best FROM walk QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY i DESC) = 1),
+counts AS (
+  SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 1) AS blank, count(*) FILTER (fault = 2) AS duplicate,
+    count(*) FILTER (fault = 3) AS truncated, count(*) FILTER (pair NOT IN ('su', 'ua', 'au')) AS illegal FROM k GROUP BY conv_id)
+SELECT done.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT AS blank, coalesce(duplicate, 0)::BIGINT AS duplicate, coalesce(truncated, 0)::BIGINT AS truncated,
+  coalesce(illegal, 0)::BIGINT AS illegal, best.c::BIGINT AS cost, best.a AS audit, sha256(substr(best.t, 2)) AS repaired_sha256
+FROM done LEFT JOIN counts ON done.conv_id IS NOT DISTINCT FROM counts.conv_id"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_topk": op1_exact_topk,
     "op2_line_dedup": op2_line_dedup,
@@ -203,4 +255,5 @@ m AS (SELECT d.doc_id, d.size, t.source_size, t.target, CASE WHEN t.source_size
     ('0x' || substr(md5(coalesce(d.doc_id::VARCHAR, 'null') || ':42'), 1, 12))::BIGINT::DOUBLE / 281474976710656 AS u
   FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
 SELECT doc_id, size, source_size, target, (size * (floor(rate) + CASE WHEN u < rate - floor(rate) THEN 1 ELSE 0 END))::BIGINT AS taken FROM m""",
+    "op12_conversation_repair": repair_sql(),
 }
