@@ -322,6 +322,25 @@ def streamed_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{root}/table").drop("bucket")
 
 
+@query(with_tables("SELECT * FROM pm", "pm"))
+def streamed_corrections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Batches that arrive out of order, the first with a false player in every seventh event
+    and false counts in others, corrected by the last, leave the table of a full build."""
+    root = shared_path(spark, "stream")
+    k = F.col("match_id").cast("long")
+    e = Tables(spark, sf_dir).events
+    false = e.where("match_date > '1996-06-30'").withColumn("player1_id", F.when(k % 7 == 0, F.concat(F.lit("P9"), F.substring("player1_id", 3, 20))).otherwise(F.col("player1_id")))
+    false = false.withColumn("player2_aces", F.when(k % 5 == 0, 0).otherwise(F.col("player2_aces")))
+    parts = [(false, "2002-01-03"), (e.where("match_date <= '1996-06-30'"), "2002-01-01"), (e.where((F.col("match_date") > "1996-06-30") & ((k % 7 == 0) | (k % 5 == 0))), "2002-01-04")]
+    for n, (part, stamp) in enumerate(parts):
+        part.withColumn("ingested_at", F.lit(stamp).cast("timestamp")).write.parquet(f"{root}/in/part={n}")
+    schema = e.withColumn("ingested_at", F.lit(None).cast("timestamp")).schema
+    for n in range(len(parts)):  # one arrival after another
+        stream = streaming.stream_events(spark, f"{root}/in/part={n}", schema, files=1_000)
+        streaming.maintain(stream, f"{root}/events", f"{root}/table", ops.player_matches, f"{root}/checkpoint{n}", buckets=16, first_epoch=n * 1_000_000).awaitTermination()
+    return spark.read.parquet(f"{root}/table").drop("bucket")
+
+
 @query(with_tables("SELECT match_id, player_id, opponent_id, true AS in_range, true AS consistent FROM pm WHERE player_id < opponent_id AND match_date > DATE '2001-01-01'", "pm"))
 def trained_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two linear families fitted on early events score the later ones. Every

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.identity import activity, candidate_report, match_names, newest_by_token, unknown_entities
-from ..plans import reads, similarity
+from ..plans import reads, search, similarity
 from .base import Tables, rounded
 from .sql import rounded as sql_rounded
 from .sql import with_tables
@@ -107,6 +107,24 @@ def similar_players(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similarity.top_k_similar(v, v.where("cast(substr(player_id, 2) AS bigint) % 20 = 0").select("player_id"))
 
 
+_ASKED = ("CAST(c AS INT) AS ask_id", "CASE c / 20 % 4 WHEN 0 THEN player_id WHEN 1 THEN upper(display_name) WHEN 2 THEN lower(display_name) ELSE concat('nobody ', player_id) END AS query")
+
+
+@query(
+    with_tables(
+        "SELECT ask_id, rank::INT AS rank, player_id, display_name, round(s, 3) AS score FROM (SELECT *, row_number() OVER (PARTITION BY ask_id ORDER BY s DESC, player_id) AS rank FROM (SELECT ask_id, b.player_id, round(list_dot_product(a.vector, b.vector), 9) AS s FROM asked JOIN player_profiles p ON p.player_id = asked.query OR lower(p.display_name) = lower(asked.query) JOIN v a ON a.player_id = p.player_id JOIN v b ON a.player_id <> b.player_id)) JOIN player_profiles USING (player_id) WHERE rank <= 3",
+        "lp",
+        "player_profiles",
+        more={"v": _VEC, "asked": f"SELECT {', '.join(_ASKED).replace('c / 20', 'c // 20')} FROM player_profiles WHERE c % 20 = 0"},
+    )
+)
+def similar_by_name(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The three players most alike of those that are asked for by id or by name in any case; unknown names give nothing."""
+    p = Tables(spark, sf_dir).profiles
+    asks = p.where("c % 20 = 0").selectExpr(*[x.replace("c / 20", "c div 20") for x in _ASKED])
+    return similarity.similar_to_names(vectors(spark, sf_dir), p, asks)
+
+
 _E = "SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE / sqrt(list_sum(list_transform(embedding, lambda y: y::DOUBLE * y::DOUBLE)))) AS v FROM embeddings"
 
 
@@ -130,7 +148,7 @@ def name_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Prefix and edit-distance search of three names."""
     people = Tables(spark, sf_dir).raw("customer").select(F.col("c_custkey").cast("string").alias("player_id"), F.col("c_name").alias("display_name"))
     asks = spark.createDataFrame([(1, "customer 000000012"), (2, "custmer 000000034"), (3, "cust 0000000")], "query_id int, query string")
-    return reads.search_names(people, asks)
+    return search.search_names(*search.name_index(people), asks)
 
 
 #: Names of players, and how sources write them: a letter short, last name first, or as they are. Spark and DuckDB read the same text.
@@ -155,6 +173,28 @@ def source_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     return player_names(spark, sf_dir).selectExpr(*_SOURCED)
 
 
+#: What is typed for every twentieth player: first words short of a letter, a beginning, or the words the other way round with a wrong letter.
+_TYPED = (
+    "player_id AS query_id",
+    "CASE c / 20 % 3 WHEN 0 THEN concat(substr(name, 1, 2), substr(name, 4)) WHEN 1 THEN substr(name, 1, 3) ELSE concat(substr(name, 9), ' x', substr(name, 2, 6)) END AS query",
+)
+
+
+@query(
+    with_tables(
+        "SELECT query_id, player_id, name, sum(e)::BIGINT AS edits FROM (SELECT query_id, player_id, name, ask, min(CASE WHEN starts_with(word, ask) THEN 0 ELSE levenshtein(ask, word) END) AS e FROM (SELECT query_id, unnest(list_distinct(string_split(query, ' '))) AS ask FROM typed) a JOIN (SELECT player_id, name, unnest(list_distinct(string_split(name, ' '))) AS word FROM named) n ON starts_with(word, ask) OR levenshtein(ask, word) <= round(length(ask) * 0.2) GROUP BY ALL) JOIN (SELECT query_id, len(list_distinct(string_split(query, ' '))) AS need FROM typed) USING (query_id) GROUP BY query_id, player_id, name, need HAVING count(*) = need",
+        more={"named": _PLAYERS, "typed": f"SELECT {', '.join(_TYPED).replace('c / 20', 'c // 20')} FROM ({_PLAYERS}) WHERE c % 20 = 0"},
+    )
+)
+def typed_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is typed for every twentieth player finds names through the stored index of all players' words."""
+    t = Tables(spark, sf_dir)
+    players = player_names(spark, sf_dir)
+    entries, postings = search.name_index(players.select("player_id", "name"), name="name")
+    asks = players.where("c % 20 = 0").selectExpr(*[x.replace("c / 20", "c div 20") for x in _TYPED])
+    return search.search_names(t.stored(entries), t.stored(postings), asks)
+
+
 _STATS = "SELECT player_id, count(*) AS matches, min(r) FILTER (WHERE r > 0) AS best_rank FROM (SELECT player1_id AS player_id, player1_ranking AS r FROM match_events UNION ALL SELECT player2_id, player2_ranking FROM match_events) GROUP BY 1"
 
 

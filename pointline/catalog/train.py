@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import scalars as fn
-from ..operators import identity, incremental
+from ..operators import identity, incremental, intervals
 from ..plans import evaluation as ev
 from ..plans import models
 from ..sources import files
@@ -272,6 +272,22 @@ def ranges_in_window(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identity.overlapping(rows, "first_day", "last_day", day("1997-01-01"), day("1997-03-31"))
 
 
+#: Windows of each supplier: up to four months; some without a date, some that end before they begin.
+_WINDOWS = (
+    "s_suppkey",
+    "CASE WHEN s_suppkey % 17 = 0 THEN NULL ELSE DATE '1995-01-01' + CAST(s_suppkey * 631 % 2400 AS INT) END AS opens",
+    "CASE WHEN s_suppkey % 19 = 0 THEN NULL ELSE DATE '1995-01-01' + CAST(s_suppkey * 631 % 2400 + s_suppkey * 7 % 125 - 3 AS INT) END AS closes",
+)
+_OPEN = ("o_orderkey", "CAST(o_orderdate AS DATE) AS first_day", "CASE WHEN o_orderkey % 23 = 0 THEN NULL ELSE CAST(o_orderdate AS DATE) + CAST(o_orderkey % 30 AS INT) END AS last_day")
+
+
+@query(f"SELECT * FROM (SELECT {', '.join(_OPEN)} FROM orders) JOIN (SELECT {', '.join(_WINDOWS)} FROM supplier) ON first_day <= closes AND last_day >= opens")
+def ranges_in_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """C17: orders that were open in each supplier's window; ranges without a date are in none."""
+    t = Tables(spark, sf_dir)
+    return intervals.overlap_join(t.raw("orders").selectExpr(*_OPEN), t.raw("supplier").selectExpr(*_WINDOWS), ("first_day", "last_day"), ("opens", "closes"))
+
+
 @query(with_tables("SELECT year(match_date) AS part, match_id, match_date, winner_id FROM match_events", "match_events"))
 def appended_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two overlapping, repeating batches appended to an archive by year hold each event once."""

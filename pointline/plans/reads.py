@@ -64,20 +64,3 @@ def directory(profiles: DataFrame, lifetime: DataFrame, countries: DataFrame) ->
 
 def directory_totals(profiles: DataFrame, events: DataFrame) -> DataFrame:
     return profiles.agg(F.count("*").alias("players")).crossJoin(events.agg(F.count("*").alias("matches"), F.max("match_date").alias("latest_match_date")))
-
-
-def search_names(profiles: DataFrame, queries: DataFrame, share: float = 0.2) -> DataFrame:
-    """Players whose name has, for every word of a query, a word that begins with it or lies within
-    a fifth of its length in edits; fewer edits first.
-
-    Queries are a stated set; their words meet the distinct words of names, not the names.
-    """
-    word = lambda c: F.explode(F.array_distinct(F.filter(F.split(F.regexp_replace(F.lower(c), "[^a-z0-9]+", " "), " "), lambda w: w != "")))
-    names = profiles.select("player_id", "display_name", word(F.col("display_name")).alias("word"))
-    asks = queries.select("query_id", word(F.col("query")).alias("ask"))
-    need = asks.groupBy("query_id").agg(F.count("*").alias("need"))
-    edits = F.levenshtein("ask", "word")
-    close = F.col("word").startswith(F.col("ask")) | (edits <= F.round(F.length("ask") * share))
-    hits = asks.join(names.select("word").distinct(), close).select("query_id", "ask", "word", F.when(F.col("word").startswith(F.col("ask")), 0).otherwise(edits).alias("edits"))
-    found = hits.join(names, "word").groupBy("query_id", "player_id", "display_name", "ask").agg(F.min("edits").alias("edits")).groupBy("query_id", "player_id", "display_name").agg(F.count("*").alias("met"), F.sum("edits").alias("edits"))
-    return found.join(need, "query_id").where("met = need").select("query_id", "player_id", "display_name", "edits")

@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
-from ..operators.incremental import affected_events, keep_latest, write_buckets
+from ..operators.incremental import keep_latest, replace_buckets
+from ..operators.ordered import shared_folder
 
 
 def stream_events(spark: SparkSession, path: str, schema: StructType, stamp: str = "ingested_at", late: str = "7 days", key: str = "match_id", files: int = 8) -> DataFrame:
@@ -18,35 +20,70 @@ def stream_events(spark: SparkSession, path: str, schema: StructType, stamp: str
     return stream.withWatermark(stamp, late).dropDuplicatesWithinWatermark([key, stamp])
 
 
-def current_events(spark: SparkSession, events_path: str, stamp: str = "ingested_at") -> DataFrame:
-    """The newest version of each event in a log of micro-batches; within one, that of the newest stamp."""
-    log = spark.read.parquet(events_path)
-    return keep_latest(log, ["match_id"], [F.desc("epoch"), F.desc(stamp)]).drop("epoch")
+def bucket_of(key: Column | str, buckets: int) -> Column:
+    return F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")
 
 
-def maintain(stream: DataFrame, events_path: str, table_path: str, build: Callable[[DataFrame], DataFrame], checkpoint: str, buckets: int = 64) -> StreamingQuery:
+def folders(spark: SparkSession, path: str, by: str, numbers: Sequence[int]) -> DataFrame | None:
+    """The table at ``path`` in the given buckets; no other folder is even listed. None where there is none of them yet."""
+    try:
+        return spark.read.option("basePath", path).parquet(f"{path}/{by}={{{','.join(map(str, numbers))}}}")
+    except AnalysisException:
+        return None
+
+
+def one_batch(df: DataFrame, path: str, by: str) -> None:
+    """Write the batch's part of a log, replacing what an earlier attempt at the same batch wrote there."""
+    df.repartition(by).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(by, "epoch").parquet(path)
+
+
+def earlier_players(spark: SparkSession, batch: DataFrame, path: str, epoch: int, buckets: int) -> DataFrame:
+    """(match_id, player_id) of the versions of a batch's events that earlier batches brought.
+
+    The log of versions is narrow and lies in buckets of the event's id; only the batch's are read.
+    """
+    own = [r[0] for r in batch.select(bucket_of("match_id", buckets)).distinct().collect()]  # at most ``buckets`` numbers
+    log = folders(spark, path, "match_bucket", own)
+    if log is None:
+        return batch.select("match_id", F.lit(None).cast("string").alias("player_id")).limit(0)
+    old = log.where(F.col("epoch") < epoch)
+    return old.join(batch.select("match_id").distinct(), "match_id", "left_semi").select("match_id", "player_id")
+
+
+def touched_events(spark: SparkSession, path: str, touched: Sequence[int], stamp: str = "ingested_at") -> DataFrame:
+    """The newest version of each event in the buckets ``touched`` of the event log; no other folder is read.
+
+    The newest is that of the last batch, and within one that of the newest stamp.
+    """
+    return keep_latest(folders(spark, path, "bucket", touched).drop("bucket"), ["match_id"], [F.desc("epoch"), F.desc(stamp)]).drop("epoch")
+
+
+def maintain(stream: DataFrame, events_path: str, table_path: str, build: Callable[[DataFrame], DataFrame], checkpoint: str, buckets: int = 64, first_epoch: int = 0) -> StreamingQuery:
     """Each micro-batch joins the event log, then the buckets of the players it touches are rebuilt.
 
-    The log only grows by the batch, under the batch's number, so a repeated batch replaces itself.
-    The rebuild reads the full history of every player of a touched bucket, so arrivals in any order
-    give the table of a full build; of a corrected event the players of all its versions are touched.
+    The log holds each event in the buckets of both its players, and a new version of an event also
+    in those of the players of its earlier versions, who thereby learn that it isn't theirs any more.
+    So a bucket holds all that its players' rows follow from: a batch reads the buckets that it
+    touches and no others, however long the log is. Arrivals in any order give the table of a full
+    build. A repeated batch replaces itself, in the log and in the table. A stream with a checkpoint
+    of its own that goes on with the same log counts its batches from a higher ``first_epoch``.
     """
+    versions, log = f"{events_path}/versions", f"{events_path}/log"
 
-    def apply(batch: DataFrame, epoch: int) -> None:
-        spark = batch.sparkSession
+    def apply(batch: DataFrame, number: int) -> None:
+        spark, epoch = batch.sparkSession, first_epoch + number
+        shared_folder(spark)
+        batch = batch.withColumn("epoch", F.lit(epoch)).checkpoint()
         if batch.isEmpty():
             return
-        batch.write.mode("overwrite").parquet(f"{events_path}/epoch={epoch}")
-        log = spark.read.parquet(events_path)
-        keys = log.where(F.col("epoch") == epoch).select("match_id")
-        versions = log.join(keys, "match_id", "left_semi")
-        bucket = F.pmod(F.xxhash64("player_id"), F.lit(buckets)).cast("int").alias("bucket")
-        sides = F.explode(F.array("player1_id", "player2_id")).alias("player_id")
-        touched = F.broadcast(versions.select(sides).select(bucket).distinct())  # at most ``buckets`` rows
-        events = current_events(spark, events_path)
-        players = events.select(sides).distinct().select("player_id", bucket).join(touched, "bucket", "left_semi").select("player_id")
-        part = events.join(affected_events(events, players), "match_id", "left_semi")
-        write_buckets(build(part).join(players, "player_id", "left_semi"), table_path, "player_id", buckets)
+        sides = batch.select("match_id", F.explode(F.array("player1_id", "player2_id")).alias("player_id"))
+        known = sides.union(earlier_players(spark, batch, versions, epoch, buckets)).distinct()
+        filed = known.select("match_id", bucket_of("player_id", buckets).alias("bucket")).distinct().checkpoint()
+        touched = sorted(r[0] for r in filed.select("bucket").distinct().collect())  # at most ``buckets`` numbers
+        one_batch(batch.join(filed, "match_id"), log, "bucket")
+        one_batch(sides.distinct().withColumn("match_bucket", bucket_of("match_id", buckets)).withColumn("epoch", F.lit(epoch)), versions, "match_bucket")
+        rows = build(touched_events(spark, log, touched)).where(bucket_of("player_id", buckets).isin(touched))
+        replace_buckets(rows, table_path, "player_id", buckets, touched)
 
     return stream.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
