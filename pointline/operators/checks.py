@@ -97,13 +97,26 @@ def reciprocity_violations(rows: DataFrame) -> DataFrame:
     return rows.select("match_id", "player_id", "opponent_id").join(other, ["match_id", "player_id"], "left").where(~F.col("opponent_id").eqNullSafe(F.col("__back"))).select("match_id", "player_id")
 
 
+def positions_before(asks: DataFrame, rows: DataFrame, key: Sequence[str], ask_day: str, row_day: str) -> DataFrame:
+    """``asks`` with ``before``: how many of the key's rows lie on strictly earlier days. One sort merges both tables."""
+    both = asks.withColumn("__day", F.col(ask_day)).withColumn("__row", F.lit(0)).unionByName(rows.select(*key, F.col(row_day).alias("__day"), F.lit(1).alias("__row")), allowMissingColumns=True)
+    upto = Window.partitionBy(*key).orderBy("__day", "__row").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return both.withColumn("before", F.sum("__row").over(upto)).where("__row = 0").drop("__day", "__row")
+
+
 def head_to_head_violations(features: DataFrame, events: DataFrame, tolerance: float = 1e-6) -> DataFrame:
-    """Rows whose head-to-head features differ from a second derivation: a ranked range join on pairs."""
+    """Rows whose head-to-head features differ from a second derivation.
+
+    It numbers a pair's meetings, finds how many come before each row, and joins the last five of
+    them by number: work in proportion to a pair's meetings, not to their square.
+    """
     pair = lambda a, b: [F.least(a, b).alias("lo"), F.greatest(a, b).alias("hi")]
     asks = features.select("match_id", "player_id", "opponent_id", "match_date", "surface", *pair("player_id", "opponent_id"))
     meets = events.select(*pair("player1_id", "player2_id"), F.col("match_date").alias("d"), F.col("match_id").alias("m"), F.col("winner_id").alias("w"), F.col("surface").alias("s"))
-    newest = Window.partitionBy("match_id", "player_id").orderBy(F.desc("d"), F.desc("m"))
-    met = asks.join(meets, ["lo", "hi"]).where("d < match_date").withColumn("rn", F.row_number().over(newest)).where("rn <= 5")
+    numbered = meets.withColumn("number", F.row_number().over(Window.partitionBy("lo", "hi").orderBy("d", "m")))
+    placed = positions_before(asks, meets, ["lo", "hi"], "match_date", "d").where("before > 0")
+    wanted = placed.withColumn("number", F.explode(F.sequence(F.greatest(F.lit(1), F.col("before") - 4).cast("int"), F.col("before").cast("int"))))
+    met = wanted.join(numbered, ["lo", "hi", "number"])
     again = met.groupBy("match_id", "player_id").agg(F.count("*").alias("n"), F.count_if(F.col("w") == F.col("player_id")).alias("won"), F.count_if(F.col("s") == F.col("surface")).alias("sn"), F.count_if((F.col("s") == F.col("surface")) & (F.col("w") == F.col("player_id"))).alias("sw"))
     both = features.join(again, ["match_id", "player_id"], "left").na.fill(0, ["n", "won", "sn", "sw"])
     edge = lambda w, n: (F.col(w) + 1.0) / (F.col(n) + 2.0) - 0.5
@@ -133,16 +146,15 @@ def leakage_cells(features: DataFrame, snapshots: DataFrame, defaults: DataFrame
     """(match_id, player_id, column) of sampled cells that strictly earlier snapshots don't give again.
 
     ``pairs`` maps a difference to the side value it is of, ``sides`` names per-side values (player_ and
-    opponent_ go before them). The second derivation shares no code with the first: the sampled sides
-    meet their earlier snapshots, of which the latest is taken.
+    opponent_ go before them). The second derivation shares no code with the first: a sampled side's
+    snapshots are numbered, those before the event counted, and the one of that number joined.
     """
-    picked = features.join(F.broadcast(sample), "match_id", "left_semi")
+    picked = features.join(sample, "match_id", "left_semi")
     asks = picked.select("match_id", "match_date", "surface", F.explode(F.array("player_id", "opponent_id")).alias("who")).distinct()
-    # only what precedes a player's last sampled event can matter
-    upto = asks.groupBy("who").agg(F.max("match_date").alias("upto"))
-    snaps = snapshots.withColumnRenamed("player_id", "who").join(upto, "who").where("snapshot_date < upto")
-    snaps = snaps.select("who", F.struct("snapshot_date", F.col("match_id").alias("mid"), "matches_10", *SNAPSHOT_VALUES).alias("snap"))
-    latest = asks.select("match_id", "match_date", "who").join(snaps, "who").where("snap.snapshot_date < match_date").groupBy("match_id", "who").agg(F.max("snap").alias("snap"))
+    snaps = snapshots.withColumnRenamed("player_id", "who").join(asks.select("who").distinct(), "who", "left_semi")
+    snaps = snaps.select("who", "snapshot_date", F.struct("snapshot_date", F.col("match_id").alias("mid"), "matches_10", *SNAPSHOT_VALUES).alias("snap"))
+    numbered = snaps.select("who", "snap", F.row_number().over(Window.partitionBy("who").orderBy("snapshot_date", "snap.mid")).alias("before"))
+    latest = positions_before(asks, snaps, ["who"], "match_date", "snapshot_date").join(numbered, ["who", "before"]).select("match_id", "who", "snap")
     fall = F.broadcast(defaults.select(F.struct(*SNAPSHOT_VALUES).alias("d"), "rate_default"))
     side = asks.join(latest, ["match_id", "who"], "left").crossJoin(fall)
     value = {c: F.coalesce(F.col(f"snap.{c}").cast("double"), F.col(f"d.{c}")) for c in SNAPSHOT_VALUES}
