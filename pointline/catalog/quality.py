@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import checks
+from ..operators import checks, writes
 from ..schemas import COUNT_STATS, DIFF_COLS, DIFF_SOURCES, FEATURE_COLS, SNAPSHOT_VALUES, SURFACES
 from .base import Tables
+from .ingest import shared_path
 from .sql import with_tables
 
 Q: dict = {}
@@ -62,6 +63,64 @@ def first_rejection(spark: SparkSession, sf_dir: str) -> DataFrame:
     return faulty_events(spark, sf_dir).select("match_id", checks.first_issue(checks.match_rules()).alias("reason")).where("reason IS NOT NULL")
 
 
+#: A first batch of two thirds of the faulty events, then all of them; surfaces are canonical before they are judged.
+_CANONICAL = f"SELECT * REPLACE (CASE WHEN surface IN {SURFACES} THEN surface ELSE 'hard' END AS surface) FROM ({_FAULTY})"
+_JUDGED = f"SELECT match_id, CAST(match_id AS BIGINT) % 3 AS part, {_rule_sql()} AS issues FROM ({_CANONICAL})"
+
+
+def inserted_batches(spark: SparkSession, sf_dir: str) -> tuple[str, list[dict[str, int]]]:
+    path, rows = shared_path(spark, "inserted"), faulty_events(spark, sf_dir)
+    first = rows.where(F.col("match_id").cast("long") % 3 != 0)
+    return path, [writes.validated_insert(part, checks.match_rules(), ["match_id"], path, n) for n, part in enumerate((first, rows))]
+
+
+@query(
+    with_tables(
+        "SELECT batch, count(*) AS n_input, count(*) FILTER (len(issues) = 0) AS n_valid, count(*) FILTER (len(issues) > 0) AS n_dropped, count(*) FILTER (len(issues) = 0 AND batch = 1 AND part <> 0) AS n_skipped, count(*) FILTER (len(issues) = 0 AND (batch = 0 OR part = 0)) AS n_inserted FROM j, (VALUES (0), (1)) b(batch) WHERE batch = 1 OR part <> 0 GROUP BY batch",
+        "match_events",
+        more={"j": _JUDGED},
+    )
+)
+def insert_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What two validated inserts took in, dropped, skipped and stored, observed as they wrote."""
+    names = ("n_input", "n_valid", "n_dropped", "n_skipped", "n_inserted")
+    counts = inserted_batches(spark, sf_dir)[1]
+    return spark.createDataFrame([(n, *[c[x] for x in names]) for n, c in enumerate(counts)], "batch int, " + ", ".join(f"{x} long" for x in names))
+
+
+@query(
+    with_tables(
+        "SELECT match_id, NULL AS batch, NULL AS issues FROM j WHERE len(issues) = 0 UNION ALL SELECT match_id, batch, array_to_string(issues, '; ') FROM j, (VALUES (0), (1)) b(batch) WHERE len(issues) > 0 AND (batch = 1 OR part <> 0)",
+        "match_events",
+        more={"j": _JUDGED},
+    )
+)
+def inserted_and_quarantined(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stored events, each once, and the dropped rows of each batch with their reasons."""
+    path = inserted_batches(spark, sf_dir)[0]
+    stored = writes.inserted_rows(spark, path).select("match_id", F.lit(None).cast("int").alias("batch"), F.lit(None).cast("string").alias("issues"))
+    return stored.union(writes.quarantined_rows(spark, path).select("match_id", "batch", F.array_join("issues", "; ").alias("issues")))
+
+
+@query(
+    with_tables(
+        "SELECT match_id, CASE WHEN k % 10 IN (2, 3) THEN concat('new ', surface) ELSE surface END AS surface, CASE WHEN k % 10 = 0 OR k % 10 = 2 THEN TIMESTAMP '2002-02-02' WHEN k % 10 = 3 THEN TIMESTAMP '2002-03-03' ELSE TIMESTAMP '2002-01-01' END AS ingested_at FROM (SELECT *, CAST(match_id AS BIGINT) AS k FROM match_events)",
+        "match_events",
+    )
+)
+def bucketed_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A table after inserts, an insert that overwrites nothing, and two that overwrite; only changed rows are stamped anew."""
+    path, k = shared_path(spark, "upserted"), F.col("match_id").cast("long")
+    e = Tables(spark, sf_dir).events.select("match_id", "surface")
+    new = e.withColumn("surface", F.concat(F.lit("new "), "surface"))
+    at = lambda day: F.to_timestamp_ntz(F.lit(day))
+    writes.upsert_buckets(path, e.where(k % 10 != 0), ["match_id"], at("2002-01-01"), buckets=16)
+    writes.upsert_buckets(path, e.where(k % 10 == 0).union(new.where(k % 10 == 5)), ["match_id"], at("2002-02-02"), overwrite=False, buckets=16)
+    writes.upsert_buckets(path, new.where(k % 10 == 2).union(e.where(k % 10 == 4)), ["match_id"], at("2002-02-02"), buckets=16)
+    writes.upsert_buckets(path, new.where(k % 10 == 3), ["match_id"], at("2002-03-03"), buckets=16)
+    return spark.read.parquet(path).select("match_id", "surface", "ingested_at")
+
+
 @query(with_tables(f"SELECT count(*) AS n_input, count(*) FILTER (WHERE len(issues) = 0) AS n_valid, count(*) FILTER (WHERE len(issues) > 0) AS n_dropped FROM (SELECT {_rule_sql()} AS issues FROM ({_FAULTY}))", "match_events"))
 def drop_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """B5."""

@@ -13,6 +13,7 @@ from ..sources import files
 from .base import Tables, rounded
 from .evaluate import _FOLDS
 from .ingest import shared_path
+from .serve import player_names, source_names
 from .sql import rounded as sql_rounded
 from .sql import with_tables
 
@@ -225,11 +226,8 @@ def out_of_fold_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def fuzzy_identity_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """suppliers' names by difflib's ratio of 0.8, which SQL hasn't; tested against brute force."""
-    names = Tables(spark, sf_dir).raw("supplier").selectExpr("s_suppkey AS c", "CAST(s_suppkey AS STRING) AS player_id", "concat(substr(md5(CAST(s_suppkey AS STRING)), 1, 7), ' ', substr(md5(CAST(s_suppkey AS STRING)), 8, 7)) AS name")
-    asks = names.selectExpr("concat('S', c) AS source_id", "CASE WHEN c % 2 = 0 THEN concat(substr(name, 1, 3), substr(name, 5)) ELSE concat(substr(name, 9), ' ', substr(name, 1, 6)) END AS name")
-    none = names.selectExpr("player_id", "CAST(0 AS LONG) AS matches", "CAST(NULL AS INT) AS best_rank")
-    return rounded(identity.match_names(asks, names.select("player_id", "name"), none))
+    """How sources write the players' names, by difflib's ratio of 0.8, which SQL hasn't; tested against brute force."""
+    return rounded(identity.match_names(source_names(spark, sf_dir), player_names(spark, sf_dir), identity.activity(Tables(spark, sf_dir).events)))
 
 
 @query(with_tables(sql_rounded(f"SELECT least(floor(a * 10), 9)::BIGINT AS bin, avg(a) AS mean_p, avg(y) AS rate, count(*) AS n FROM r GROUP BY 1", ["mean_p", "rate"]), "pm", "match_events", more={"r": _LOWER}))
