@@ -82,7 +82,7 @@ def inserted_batches(spark: SparkSession, sf_dir: str) -> tuple[str, list[dict[s
     )
 )
 def insert_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What two validated inserts took in, dropped, skipped and stored, observed as they wrote."""
+    """What two validated inserts took in, dropped, skipped and stored, by the files written."""
     names = ("n_input", "n_valid", "n_dropped", "n_skipped", "n_inserted")
     counts = inserted_batches(spark, sf_dir)[1]
     return spark.createDataFrame([(n, *[c[x] for x in names]) for n, c in enumerate(counts)], "batch int, " + ", ".join(f"{x} long" for x in names))
