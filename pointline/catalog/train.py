@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as fn
 from ..operators import identity, incremental, intervals
+from ..plans import boosting, models
 from ..plans import evaluation as ev
-from ..plans import models
+from ..schemas import FEATURE_COLS
 from ..sources import files
 from .base import Tables, rounded
 from .evaluate import _FOLDS
@@ -203,6 +204,25 @@ def family_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out
 
 
+@query()
+def boosted_families(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """K8: first-order boosted trees and second-order ones on histograms, both stopped early by the
+    validation part and compared by its log loss. Fits aren't SQL's; tests hold the second family against numpy."""
+    t = Tables(spark, sf_dir)
+    rows = t.stored(ev.chronological_split(t.features, "match_date").withColumn("is_val", F.col("split") == "val").where("split <> 'test'"))
+    first = models.trees({"maxIter": 5, "maxDepth": 3, "early": True}).fit(rows)
+    second = boosting.fit_boosted(rows, FEATURE_COLS, trees=8, depth=3, step=0.3, patience=3)
+    held = rows.where("is_val")
+    scored = {"first order": (first.stages[-1].getNumTrees, models.predict(first, held, "p")), "second order": (len(second.trees), held.withColumn("p", boosting.boosted_probability(second)))}
+    out = None
+    for family, (trees, part) in scored.items():
+        row = part.agg(F.count("*").alias("n"), F.avg(ev.loss(F.col("match_won"), F.col("p"))).alias("log_loss")).select(F.lit(family).alias("family"), F.lit(trees).alias("trees"), "n", "log_loss")
+        out = row if out is None else out.union(row)
+    out = t.stored(out)
+    least = F.broadcast(out.agg(F.min("log_loss").alias("least")))  # one row
+    return out.crossJoin(least).select("family", "trees", "n", "log_loss", (F.col("log_loss") == F.col("least")).alias("chosen"))
+
+
 @query(with_tables("SELECT trial, n, true AS finite, trial = 1 AS is_first FROM (SELECT unnest([1, 2, 3, 4]) AS trial), (SELECT count(*) AS n FROM s WHERE split = 'val')", "pm", more={"s": _SPLIT}))
 def search_trials(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A seeded sample of settings without repeats, each scored on every validation row, best first."""
