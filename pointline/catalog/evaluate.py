@@ -180,6 +180,58 @@ def drift_verdict(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(ev.drift_verdict(ev.stability_index(windows(spark, sf_dir), RATE_COLS), None, F.lit(0.0), F.lit(None).cast("double"), F.lit(100)))
 
 
+#: What happens to the current window: nothing, or one change for each trigger.
+SCENARIOS = ("nothing", "one feature", "all features", "prediction", "calibration", "ranking")
+#: Scores of the window's events, alike in Spark and DuckDB: labels by the id's parity, and probabilities that follow them.
+_SCORED = ("*", "CAST(match_id AS BIGINT) AS k")
+_LABELLED = ("*", "CAST(k % 2 AS INT) AS y", "(20 + 20 * (k % 2) + (k * 37 % 41)) / 100.0E0 AS p")
+
+
+def _changed(scenario: str) -> tuple[list[str], str]:
+    """Select list and filter of a scenario."""
+    now = "is_current"
+    shift = {"one feature": {"player1_ace_rate": 0.035}, "all features": dict.fromkeys(RATE_COLS, 0.2)}.get(scenario, {})
+    rates = [f"CASE WHEN {now} THEN {c} + {shift[c]}E0 ELSE {c} END AS {c}" if c in shift else c for c in RATE_COLS]
+    p = {"prediction": f"CASE WHEN {now} THEN 0.5E0 + p / 2 ELSE p END", "ranking": f"CASE WHEN {now} THEN (20 + 20 * (1 - y) + (k * 37 % 41)) / 100.0E0 ELSE p END"}.get(scenario, "p")
+    return [*rates, "y", f"{p} AS p", "win"], f"NOT ({now} AND y = 0 AND k % 5 IN (1, 2, 4))" if scenario == "calibration" else "true"
+
+
+def _signals_sql() -> str:
+    parts = []
+    for scenario in SCENARIOS:
+        columns, kept = _changed(scenario)
+        parts.append(f"SELECT '{scenario}' AS scenario, {', '.join(columns)} FROM d WHERE {kept}")
+    return f"""WITH d AS (SELECT *, win = 'current' AS is_current FROM (SELECT {', '.join(_LABELLED)} FROM (SELECT {', '.join(_SCORED)} FROM (SELECT match_id, win, {_rate_sql(1)}, {_rate_sql(2)} FROM ({_WINDOWS}))))),
+w AS ({' UNION ALL '.join(parts)}),
+l AS (SELECT scenario, win, unnest([{', '.join(repr(c) for c in [*RATE_COLS, 'p'])}]) AS col, unnest([{', '.join([*RATE_COLS, 'p'])}]) AS v FROM w),
+e AS (SELECT scenario, col, quantile_cont(v, [0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9]) AS edges FROM l WHERE win = 'reference' AND v IS NOT NULL GROUP BY ALL),
+b AS (SELECT scenario, col, win, len(list_filter(edges, lambda x: x < v)) AS bin FROM l JOIN e USING (scenario, col) WHERE v IS NOT NULL),
+n AS (SELECT e.scenario, e.col, g.bin, count(*) FILTER (b.win = 'current') AS c, count(*) FILTER (b.win = 'reference') AS r FROM e CROSS JOIN (SELECT unnest(range(10)) AS bin) g LEFT JOIN b ON b.scenario = e.scenario AND b.col = e.col AND b.bin = g.bin GROUP BY ALL),
+s AS (SELECT scenario, col, greatest(c / sum(c) OVER (PARTITION BY scenario, col), 0.0001) AS p, greatest(r / sum(r) OVER (PARTITION BY scenario, col), 0.0001) AS q FROM n),
+x AS (SELECT scenario, col, sum((p - q) * ln(p / q)) AS psi FROM s GROUP BY ALL),
+o AS (SELECT scenario, avg((psi >= 0.3)::INT) FILTER (col <> 'p') AS drift_share, max(psi) FILTER (col <> 'p') AS largest_psi, max(psi) FILTER (col = 'p') AS prediction_psi FROM x GROUP BY 1),
+a AS (SELECT scenario, win, (sum(m) FILTER (y = 1) - count(*) FILTER (y = 1) * (count(*) FILTER (y = 1) + 1) / 2) / (count(*) FILTER (y = 1) * count(*) FILTER (y = 0)) AS auc, avg(y) AS rate, count(*) AS n
+  FROM (SELECT *, rank() OVER (PARTITION BY scenario, win ORDER BY p) + (count(*) OVER (PARTITION BY scenario, win, p) - 1) / 2 AS m FROM w) GROUP BY ALL),
+t AS (SELECT o.*, abs(c.rate - r.rate) AS calibration_delta, z.auc - c.auc AS auc_drop, c.n AS n_current FROM o JOIN a c ON c.scenario = o.scenario AND c.win = 'current' JOIN a r ON r.scenario = o.scenario AND r.win = 'reference' JOIN a z ON z.scenario = 'nothing' AND z.win = 'reference')
+SELECT *, CASE WHEN drift_share >= 0.75 OR prediction_psi >= 0.3 OR calibration_delta > 0.1 OR (n_current >= 30 AND auc_drop > 0.1) THEN 'retrain' WHEN largest_psi >= 0.1 THEN 'investigate' ELSE 'healthy' END AS verdict FROM t"""
+
+
+@query(with_tables(sql_rounded(_signals_sql(), ["drift_share", "largest_psi", "prediction_psi", "calibration_delta", "auc_drop"]), "match_events"))
+def drift_triggers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """PSI of features and predictions, calibration delta and AUC drop as measured, where nothing
+    changes, one feature moves, or one of the four triggers fires."""
+    t = Tables(spark, sf_dir)
+    base = t.stored(windows(spark, sf_dir).withColumnRenamed("window", "win").selectExpr(*_SCORED).selectExpr(*_LABELLED).withColumn("is_current", F.col("win") == "current"))
+    pinned = ev.auc_table(base.where("NOT is_current"), "y", "p").first()[0]
+    out = None
+    for scenario in SCENARIOS:
+        columns, kept = _changed(scenario)
+        rows = base.where(kept).selectExpr(*columns).withColumnRenamed("win", "window")
+        one = ev.drift_signals(rows, RATE_COLS, "y", "p", F.lit(pinned)).select(F.lit(scenario).alias("scenario"), "*")
+        out = one if out is None else out.union(one)
+    return rounded(out)
+
+
 @query(with_tables("SELECT match_id, 'not complementary' AS issue FROM d GROUP BY 1 HAVING abs(sum(base) - 1) > 1e-6", "pm", more={"d": _PREDS}))
 def scored_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs of predictions that aren't complementary."""

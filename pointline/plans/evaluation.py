@@ -269,6 +269,12 @@ def stability_index(windows: DataFrame, columns: Sequence[str], bins: int = 10,
     return rows.groupBy("column").agg(F.sum((F.col("p") - F.col("q")) * F.ln(F.col("p") / F.col("q"))).alias("psi"))
 
 
+def verdict(drift_share: Column, largest_psi: Column, prediction_psi: Column, calibration_delta: Column, auc_drop: Column, n: Column) -> Column:
+    """healthy, investigate or retrain; a null AUC drop, or one of few rows, triggers nothing."""
+    retrain = (drift_share >= SHARE_LIMIT) | (prediction_psi >= PRED_PSI_LIMIT) | (calibration_delta > CALIBRATION_LIMIT) | ((n >= MIN_N_AUC) & F.coalesce(auc_drop > AUC_DROP, F.lit(False)))
+    return F.when(retrain, "retrain").when(largest_psi >= PSI_MODERATE, "investigate").otherwise("healthy")
+
+
 def drift_verdict(psi: DataFrame, prediction: str | None, calibration_delta: Column, auc_drop: Column, n: Column) -> DataFrame:
     """One row: drift share, prediction PSI and healthy, investigate or retrain.
 
@@ -276,8 +282,24 @@ def drift_verdict(psi: DataFrame, prediction: str | None, calibration_delta: Col
     """
     feature = F.lit(True) if prediction is None else F.col("column") != prediction
     one = psi.agg(F.avg(F.when(feature, (F.col("psi") >= PSI_SIGNIFICANT).cast("double"))).alias("drift_share"), F.max(F.when(feature, F.col("psi"))).alias("largest_psi"), F.coalesce(F.max(F.when(~feature, F.col("psi"))), F.lit(0.0)).alias("prediction_psi"))
-    retrain = (F.col("drift_share") >= SHARE_LIMIT) | (F.col("prediction_psi") >= PRED_PSI_LIMIT) | (calibration_delta > CALIBRATION_LIMIT) | ((n >= MIN_N_AUC) & F.coalesce(auc_drop > AUC_DROP, F.lit(False)))
-    return one.withColumn("verdict", F.when(retrain, "retrain").when(F.col("largest_psi") >= PSI_MODERATE, "investigate").otherwise("healthy"))
+    return one.withColumn("verdict", verdict(F.col("drift_share"), F.col("largest_psi"), F.col("prediction_psi"), calibration_delta, auc_drop, n))
+
+
+def drift_signals(scored: DataFrame, features: Sequence[str], y: str, p: str, pinned_auc: Column) -> DataFrame:
+    """One row of measured signals of both windows of scored events, and the verdict that they give.
+
+    The calibration delta is the difference of the label's rate between the windows, the AUC drop
+    that of the current window from ``pinned_auc``. Quantile bins are those of the reference window,
+    which drift_windows bounds.
+    """
+    current = F.col("window") == "current"
+    rates = scored.agg(F.count_if(current).alias("n_current"), F.abs(F.avg(F.when(current, F.col(y))) - F.avg(F.when(~current, F.col(y)))).alias("calibration_delta"))
+    drop = auc_table(scored.where(current), y, p).select((pinned_auc - F.col("roc_auc")).alias("auc_drop"))
+    none = F.lit(None).cast("double")
+    psi = drift_verdict(stability_index(scored, [*features, p]), p, none, none, F.lit(0)).drop("verdict")
+    one = psi.crossJoin(F.broadcast(rates)).crossJoin(F.broadcast(drop))  # one row each
+    columns = ("drift_share", "largest_psi", "prediction_psi", "calibration_delta", "auc_drop", "n_current")
+    return one.select(*columns, verdict(*map(F.col, columns)).alias("verdict"))
 
 
 def scored_violations(scored: DataFrame) -> DataFrame:
