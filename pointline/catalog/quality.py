@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import checks, writes
+from ..plans import contract
 from ..schemas import COUNT_STATS, DIFF_COLS, DIFF_SOURCES, FEATURE_COLS, SNAPSHOT_VALUES, SURFACES
 from .base import Tables
 from .ingest import shared_path
@@ -227,3 +228,66 @@ def reciprocity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def null_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Nulls of columns that should have none."""
     return checks.null_keys(Tables(spark, sf_dir).matches, ["match_id", "player_id", "player_ranking", "player_rank_points"])
+
+
+#: The published tables and their columns.
+_CONTRACT = contract.Contract(
+    columns={
+        "matches": [("match_id", "string"), ("player_id", "string"), ("opponent_id", "string"), ("match_won", "int"), ("best_of", "int"), ("age", "double")],
+        "profiles": [("player_id", "string"), ("display_name", "string")],
+    },
+    keys={"profiles": ["player_id"]},
+    pairs="matches",
+    finite=["age"],
+    domains={"best_of": (1, 3, 5)},
+)
+_K = "CAST(match_id AS BIGINT)"
+#: What is wrong with each version, and how often its rules are broken, by SQL.
+_VERSIONS = {
+    "sound": {},
+    "missing table": {"table set": "1"},
+    "swapped columns": {"column order": "1"},
+    "text labels": {"column type": "1"},
+    "no profiles": {"empty table": "1"},
+    "repeated profile": {"unique key": "(SELECT count(*) FROM player_profiles WHERE c % 40 = 0)"},
+    "lost side": {"two rows": f"(SELECT count(DISTINCT match_id) FROM pm WHERE {_K} % 53 = 0)"},
+    "repeated side": {rule: f"(SELECT count(DISTINCT match_id) FROM pm WHERE {_K} % 71 = 0)" for rule in ("directional key", "reciprocity")},
+    "wrong opponent": {"reciprocity": f"(SELECT count(DISTINCT match_id) FROM pm WHERE {_K} % 61 = 0)"},
+    "two winners": {"labels": f"(SELECT count(DISTINCT match_id) FROM pm WHERE {_K} % 89 = 0)"},
+    "no age": {"finite cells": f"(SELECT count(*) FROM pm WHERE {_K} % 97 = 0)"},
+    "best of four": {"domain": f"(SELECT count(*) FROM pm WHERE {_K} % 127 = 0)"},
+}
+
+
+@query(with_tables("SELECT * FROM (" + " UNION ALL ".join(f"SELECT '{v}' AS version, '{r}' AS rule, CAST({n} AS BIGINT) AS n" for v, rules in _VERSIONS.items() for r, n in (rules or {"published": "1"}).items()) + ") WHERE n > 0", "pm", "player_profiles"))
+def refused_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """M9: a sound version is published; of the others, each with a fault of its own, none is, and the broken rules are counted."""
+    t, root, k = Tables(spark, sf_dir), shared_path(spark, "versions"), F.col("match_id").cast("long")
+    order = ["match_id", "player_id", "opponent_id", "match_won", "best_of", "age"]
+    rows = t.matches.select("match_id", "player_id", "opponent_id", F.col("match_won").cast("int").alias("match_won"), F.when(k % 2 == 0, 5).otherwise(3).alias("best_of"), (k % 20 + 18.5).alias("age"))
+    rows, people = t.stored(rows.select(*order)), t.profiles.select("player_id", "display_name")
+    one = (k % 61 == 0) & (F.col("player_id") < F.col("opponent_id"))
+    put = lambda c, when, value: rows.withColumn(c, F.when(when, value).otherwise(F.col(c)))
+    changed = {
+        "swapped columns": rows.select("player_id", "match_id", *order[2:]),
+        "text labels": rows.withColumn("match_won", F.col("match_won").cast("string")),
+        "lost side": rows.where(~((k % 53 == 0) & (F.col("player_id") < F.col("opponent_id")))),
+        "repeated side": put("player_id", k % 71 == 0, F.least("player_id", "opponent_id")),
+        "wrong opponent": put("opponent_id", one, F.lit("nobody")),
+        "two winners": put("match_won", k % 89 == 0, F.lit(1)),
+        "no age": put("age", k % 97 == 0, F.lit(None)),
+        "best of four": put("best_of", k % 127 == 0, F.lit(4)),
+    }
+    out = []
+    for version in _VERSIONS:
+        tables = {"matches": changed.get(version, rows), "profiles": people}
+        if version == "missing table":
+            del tables["profiles"]
+        if version == "no profiles":
+            tables["profiles"] = people.limit(0)
+        if version == "repeated profile":
+            tables["profiles"] = people.union(t.profiles.where("c % 40 = 0").select(*people.columns))
+        faults = contract.publish_contract(tables, root, version, _CONTRACT)
+        out += [(version, rule, n) for rule, n in faults.items()]
+    published = spark.read.parquet(f"{root}/pointers").select("version", F.lit("published").alias("rule"), F.lit(1).cast("long").alias("n"))
+    return published.union(spark.createDataFrame(out, "version string, rule string, n long"))
