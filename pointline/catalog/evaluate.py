@@ -118,12 +118,6 @@ def forward_folds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ev.assign_folds(Tables(spark, sf_dir).matches, "match_id", "match_date", 5)
 
 
-@query(with_tables("SELECT surface, round(avg(match_won), 6) AS win_rate, count(*) AS n FROM pm WHERE player_id < opponent_id GROUP BY 1", "pm"))
-def accuracy_by_surface(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """How often the smaller id wins, by surface."""
-    return Tables(spark, sf_dir).matches.where("player_id < opponent_id").groupBy("surface").agg(F.round(F.avg("match_won"), 6).alias("win_rate"), F.count("*").alias("n"))
-
-
 #: Two directional predictions of each event from its rows' own numbers.
 _PREDS = "SELECT match_id, player_id, opponent_id, match_won, ((match_id::BIGINT * 31 + substr(player_id, 2)::BIGINT * 17) % 97 + 1) / 99.0::DOUBLE AS base FROM pm"
 
@@ -133,6 +127,14 @@ def directional_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Tables(spark, sf_dir).matches.select("match_id", "player_id", "opponent_id", "match_won", ((number % 97 + 1) / F.lit(99.0)).alias("base"))
 
 
+@query(with_tables("SELECT surface, round(avg(((base >= 0.5)::INT = d.match_won)::INT), 6) AS accuracy, count(*) AS n FROM d JOIN pm USING (match_id, player_id) GROUP BY 1", "pm", more={"d": _PREDS}))
+def accuracy_by_surface(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How often the predicted side wins, by surface."""
+    rows = directional_predictions(spark, sf_dir).join(Tables(spark, sf_dir).matches.select("match_id", "player_id", "surface"), ["match_id", "player_id"])
+    right = ((F.col("base") >= 0.5).cast("int") == F.col("match_won")).cast("int")
+    return rows.groupBy("surface").agg(F.round(F.avg(right), 6).alias("accuracy"), F.count("*").alias("n"))
+
+
 @query(with_tables(sql_rounded(f"WITH d AS ({_PREDS}) SELECT a.match_id, a.player_id, a.opponent_id, a.match_won, a.base AS base_ab, b.base AS base_ba, (ln(a.base / (1 - a.base)) - ln(b.base / (1 - b.base))) / 2 AS base_evidence FROM d a JOIN d b ON a.match_id = b.match_id AND a.player_id = b.opponent_id WHERE a.player_id < a.opponent_id", ["base_ab", "base_ba", "base_evidence"]), "pm"))
 def evidence_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """C20, K12."""

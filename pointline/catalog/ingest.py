@@ -77,10 +77,11 @@ def profile_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = Tables(spark, sf_dir).profiles
     text = lambda c: F.col(c).cast("string")
     born = F.date_format(F.make_date(1960 + F.col("c") % 40, 1 + F.col("c") % 12, 1 + F.col("c") % 28), "yyyyMMdd")
-    row = p.select(F.lower("player_id").alias("id"), F.col("display_name").alias("player"), F.lit("x").alias("atpname"), born.alias("birthdate"), F.lit("0").alias("weight"), text("height").alias("height"), F.coalesce(text("turned_pro"), F.lit("0")).alias("turnedpro"), F.lit("").alias("birthplace"), F.lit("").alias("coaches"), F.col("handedness").alias("hand"), "backhand", F.lit("esp").alias("ioc"), F.lit(1).alias("o"))
-    old = row.withColumn("height", F.lit("1")).withColumn("o", F.lit(0))
-    old.union(row).coalesce(1).sortWithinPartitions("o").drop("o").write.option("header", True).csv(path)
-    return files.read_profiles(spark, path).select("player_id", "display_name", "birthdate", "height", "turned_pro", "handedness", "backhand")
+    row = p.select(F.lower("player_id").alias("id"), F.col("display_name").alias("player"), F.lit("x").alias("atpname"), born.alias("birthdate"), F.lit("0").alias("weight"), text("height").alias("height"), F.coalesce(text("turned_pro"), F.lit("0")).alias("turnedpro"), F.lit("").alias("birthplace"), F.lit("").alias("coaches"), F.col("handedness").alias("hand"), "backhand", F.lit("esp").alias("ioc"))
+    # what stands in the later file counts
+    row.withColumn("height", F.lit("1")).write.option("header", True).csv(f"{path}/1")
+    row.write.option("header", True).csv(f"{path}/2")
+    return files.read_profiles(spark, f"{path}/*").select("player_id", "display_name", "birthdate", "height", "turned_pro", "handedness", "backhand")
 
 
 @query(with_tables("SELECT source_id, issue FROM (SELECT 'S' || c AS source_id, CASE WHEN c % 9 = 0 THEN 'blank cell' END AS issue FROM player_profiles UNION ALL SELECT 'S' || c, 'unknown target' FROM player_profiles WHERE c % 9 = 0 OR c % 10 = 1 UNION ALL SELECT 'S1', 'repeated source' UNION ALL SELECT 'S1', 'unknown target') WHERE issue IS NOT NULL", "player_profiles"))

@@ -25,15 +25,29 @@ def query(sql: str | None = None):
     return register
 
 
-_DELTAS = ["first_serve_in_pct", "return_points_won_pct", "first_serve_return_points_won_pct"]
+#: All comparisons of a profile with the tour, and what stands beside them.
+_DELTAS = [*reads.COMPARISONS, *reads.COMPLEMENTS]
+_SURFACE_VALUES = [f"{s}_{c}" for s in ("hard", "clay", "grass") for c in ("win_rate", "matches")]
+_OWN = ["dominance", "career_win_rate"]
+_AGAINST = ", ".join([f"l.{a} - d.{b} AS {a}_delta" for a, b in reads.COMPARISONS.items()] + [f"l.{a} - (1 - d.{b}) AS {a}_delta" for a, b in reads.COMPLEMENTS.items()])
 
 
-@query(with_tables(sql_rounded("SELECT p.player_id, p.display_name, p.handedness, l.match_count, l.current_rank, l.first_serve_in_pct - d.tour_first_serve_pct AS first_serve_in_pct, l.return_points_won_pct - d.tour_return_points_won_pct AS return_points_won_pct, l.first_serve_return_points_won_pct - (1 - d.tour_first_serve_win_pct) AS first_serve_return_points_won_pct FROM player_profiles p LEFT JOIN lp l USING (player_id) CROSS JOIN ta d", _DELTAS), "lp", "ta"))
+@query(
+    with_tables(
+        sql_rounded(
+            f"SELECT p.player_id, p.display_name, p.handedness, p.backhand, p.height, p.turned_pro, l.match_count, l.current_rank, {', '.join(f'l.{c}' for c in [*_DELTAS, *_OWN, *_SURFACE_VALUES])}, {_AGAINST}, l.win_rate_10, l.recent_snapshot_date, l.latest_rank_points, l.earliest_rank_points, l.rank_points_delta FROM player_profiles p LEFT JOIN lp l USING (player_id) CROSS JOIN ta d",
+            [*_DELTAS, *_OWN, *[c for c in _SURFACE_VALUES if c.endswith("rate")], *[f"{c}_delta" for c in _DELTAS], "win_rate_10"],
+        ),
+        "lp",
+        "ta",
+    )
+)
 def profile_page(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Metadata, lifetime values and their differences from the tour."""
+    """Metadata, lifetime values, their 14 differences from the tour, surfaces, recent form and points."""
     t = Tables(spark, sf_dir)
     page = reads.player_profiles(t.profiles, t.lifetime, t.defaults)
-    return rounded(page.select("player_id", "display_name", "handedness", "match_count", "current_rank", *[F.col(f"against_tour.{c}").alias(c) for c in _DELTAS]))
+    deltas = [F.col(f"against_tour.{c}").alias(f"{c}_delta") for c in _DELTAS]
+    return rounded(page.select("player_id", "display_name", "handedness", "backhand", "height", "turned_pro", "match_count", "current_rank", "lifetime.*", "surfaces.*", *deltas, "recent.*", "points.*"))
 
 
 @query(with_tables("SELECT player_id, ranking_date, rank, points FROM rankings", "rankings"))

@@ -183,17 +183,18 @@ def fit_temperature(rows: DataFrame, y: str, p: str, bounds: tuple[float, float]
 def walk_forward(rows: DataFrame, y: str, p: str, fold: str, **fit) -> DataFrame:
     """(fold, temperature, y, raw, scaled): each fold but the first scaled by the fit on earlier ones.
 
-    Band 0 has no predictions and is left out. Raises on fold numbers that aren't whole, on folds
-    with one class only, and on fewer than two folds. ``fit`` goes to fit_temperature.
+    Band 0 has no predictions and is left out. Raises on fold numbers that aren't whole, on fewer
+    than two folds, and where a fold that is scored, so any but the first, has one class only.
+    ``fit`` goes to fit_temperature.
     """
     rows = rows.where(F.col(fold).isNull() | (F.col(fold) > 0))
     seen = rows.groupBy(fold).agg(F.countDistinct(y).alias("classes")).collect()  # one row per fold
     if any(r[0] is None or r[0] != int(r[0]) for r in seen):
         raise ValueError("folds must be whole numbers")
     if len(seen) < 2:
-        raise ValueError("walk-forward calibration requires at least two folds")
-    if any(r.classes < 2 for r in seen):
-        raise ValueError("each fold must hold both classes")
+        raise ValueError("one fold leaves nothing to walk forward to")
+    if any(r.classes < 2 for r in sorted(seen)[1:]):
+        raise ValueError("a fold to be scored holds one class only")
     folds, pooled = sorted(r[0] for r in seen), None
     for f in folds[1:]:
         t = fit_temperature(rows.where(F.col(fold) < f), y, p, **fit)

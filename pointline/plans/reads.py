@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.scalars import benchmark_delta, rank_label
 from ..operators.asof import as_of_join
 
-#: A lifetime value and the benchmark it is compared with.
+#: A lifetime value and the benchmark it is compared with.
 COMPARISONS = {
     "first_serve_in_pct": "tour_first_serve_pct", "aces_per_first_serve": "tour_ace_rate", "first_serve_points_won_pct": "tour_first_serve_win_pct",
     "second_serve_points_won_pct": "tour_second_serve_win_pct", "overall_serve_points_won_pct": "tour_serve_win_pct", "double_faults_per_serve_point": "tour_df_rate",

@@ -27,7 +27,7 @@ MATCH_EVENTS = T.StructType(
     + [T.StructField("ingested_at", T.TimestampType())]
 )
 
-#: Snapshot values that a missing prior state is filled from the defaults.
+#: Snapshot values that a missing prior state is filled from the defaults.
 SNAPSHOT_VALUES = (
     "latest_player_ranking", "latest_player_rank_points", "latest_player_age", "weighted_form_10", "win_rate_10",
     "ace_rate_10", "first_serve_pct_10", "break_points_saved_pct_10", "first_serve_win_pct_10",
@@ -43,12 +43,13 @@ DIFF_COLS = (
     "return_points_won_pct_diff", "dominance_diff", "df_rate_diff", "aces_per_svc_game_diff", "rank_trend_diff",
     "avg_rank_faced_diff", "streak_diff", "surface_form_diff", "days_since_last_match_diff",
 )
-#: What each difference is taken of; the last is the log of the rest.
+#: What each difference is taken of; the last is the log of the rest.
 DIFF_SOURCES = (
     "ranking", "rank_points", "age", "win_rate_10", "ace_rate_10", "first_serve_pct_10", "break_points_saved_pct_10",
     "first_serve_win_pct_10", "second_serve_win_pct_10", "serve_win_pct_10", "return_points_won_pct_10", "dominance",
     "df_rate_10", "aces_per_svc_game_10", "rank_trend_10", "avg_rank_faced_10", "streak", "surface_form", "log_rest",
 )
+#: Per-side, head-to-head and context features, and what is kept beside the features.
 SIDE_COLS = ("weighted_form_10", "matches_10", "is_left_handed", "years_pro")
 H2H_COLS = ("h2h_exposure", "h2h_advantage", "h2h_surface_advantage")
 CONTEXT_COLS = ("is_clay", "is_grass", "is_hard", "is_indoor", "best_of", "tournament_level", "round_encoded")
@@ -61,6 +62,11 @@ META_COLS = ("match_id", "match_date", "player_id", "opponent_id", "tournament",
 #: What an empty pool falls back to.
 POOL_CONSTANTS = {
     "latest_player_ranking": 100.0, "latest_player_rank_points": 500.0, "streak": 0.0, "avg_player_rank_10": 100.0,
-    "avg_rank_faced_10": 100.0, "latest_player_age": 26.0,
-} | {c: 0.0 for c in SNAPSHOT_VALUES if c.endswith(("_rate_10", "_pct_10", "game_10", "form_10")) or c == "dominance"}
+    "avg_rank_faced_10": 100.0, "latest_player_age": 26.0, "weighted_form_10": 0.0, "win_rate_10": 0.0,
+    "ace_rate_10": 0.0, "first_serve_pct_10": 0.0, "break_points_saved_pct_10": 0.0, "first_serve_win_pct_10": 0.0,
+    "second_serve_win_pct_10": 0.0, "serve_win_pct_10": 0.0, "return_points_won_pct_10": 0.0, "dominance": 0.0,
+    "df_rate_10": 0.0, "aces_per_svc_game_10": 0.0, "clay_win_rate_10": 0.0, "grass_win_rate_10": 0.0,
+    "hard_win_rate_10": 0.0,
+}
+#: What is a median in a pool that isn't empty.
 POOL_MEDIANS = ("latest_player_ranking", "latest_player_rank_points", "streak", "avg_player_rank_10", "avg_rank_faced_10")
