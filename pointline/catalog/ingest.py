@@ -84,6 +84,50 @@ def profile_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files.read_profiles(spark, f"{path}/*").select("player_id", "display_name", "birthdate", "height", "turned_pro", "handedness", "backhand")
 
 
+@query(with_tables("SELECT 'S' || c AS source_id, CASE c % 4 WHEN 0 THEN display_name ELSE trim(concat(CASE WHEN c % 3 <> 0 THEN substr(display_name, 1, 8) ELSE '' END, ' ', substr(display_name, 10))) END AS name, CASE WHEN c % 5 = 0 THEN 'UNK' ELSE 'FRA' END AS country FROM player_profiles WHERE c % 11 <> 0", "player_profiles"))
+def source_player_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names and countries of a source's player files, with blank ids and cells, further columns, and a later file that corrects a quarter of the rows."""
+    path, k = shared_path(spark, "source-players"), F.col("c")
+    p = Tables(spark, sf_dir).profiles
+    source = F.when(k % 11 == 0, F.lit("  ")).otherwise(F.concat(F.lit(" S"), k))
+    country = F.when(k % 5 == 0, F.lit("")).otherwise(F.lit(" fra "))
+    first = p.select(source.alias("player_id"), F.when(k % 3 != 0, F.substring("display_name", 1, 8)).alias("name_first"), F.concat(F.substring("display_name", 10, 50), F.lit(" ")).alias("name_last"), F.lit("R").alias("hand"), country.alias("ioc"))
+    later = p.where(k % 4 == 0).select(source.alias("player_id"), F.lit(None).cast("string").alias("name_first"), F.col("display_name").alias("name_last"), F.lit("L").alias("hand"), country.alias("ioc"))
+    for n, rows in enumerate((first, later)):
+        rows.write.option("header", True).option("ignoreTrailingWhiteSpace", False).option("ignoreLeadingWhiteSpace", False).csv(f"{path}/{n}")
+    return files.read_source_names(spark, f"{path}/*")
+
+
+@query(with_tables("SELECT match_id, nullif(player1_ranking, 7) AS player1_ranking, player2_ranking, CASE WHEN k % 43 = 0 THEN NULL WHEN k % 37 = 0 OR k % 41 = 0 THEN 'hard' ELSE surface END AS surface FROM (SELECT *, CAST(match_id AS BIGINT) AS k FROM match_events)", "match_events"))
+def backfilled_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ranks of 0 become missing and unknown surfaces hard, twice over, in events that hold both."""
+    k = F.col("match_id").cast("long")
+    e = Tables(spark, sf_dir).events.withColumn("player1_ranking", F.when(F.col("player1_ranking") == 7, 0).otherwise(F.col("player1_ranking")))
+    e = e.withColumn("surface", F.when(k % 43 == 0, F.lit(None)).when(k % 37 == 0, "0").when(k % 41 == 0, "nan").otherwise(F.col("surface")))
+    return incremental.backfilled(incremental.backfilled(e)).select("match_id", "player1_ranking", "player2_ranking", "surface")
+
+
+@query(with_tables("SELECT 'silver' AS pipeline, max(match_date)::TIMESTAMP AS watermark, count(*) AS built FROM match_events WHERE batch < 9 UNION ALL SELECT 'silver', max(match_date)::TIMESTAMP, count(*) FROM match_events", "match_events"))
+def advanced_watermarks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A watermark advances after each build that ends, with what it saw, and not after one that fails."""
+    state, built = shared_path(spark, "watermarks"), shared_path(spark, "built")
+    e = Tables(spark, sf_dir).events.withColumn("ingested_at", F.col("match_date").cast("timestamp"))
+
+    def build(rows: DataFrame, n: int, fails: bool = False) -> None:
+        rows.agg(F.max("ingested_at").alias("watermark"), F.count("*").alias("built")).write.parquet(f"{built}/run={n}")
+        if fails:
+            raise RuntimeError("a build that fails")
+
+    for n, (rows, fails) in enumerate([(e.where("batch < 9"), False), (e.limit(0), True), (e, False)]):
+        try:
+            incremental.advance_watermark(rows, state, "silver", lambda rows=rows, n=n, fails=fails: build(rows, n, fails))
+        except RuntimeError:
+            pass  # as it must: nothing is appended
+    kept = spark.read.parquet(state).groupBy("pipeline", "watermark").agg(F.count("*").alias("times"))
+    runs = spark.read.parquet(built).where("run <> 1").select("watermark", "built")
+    return runs.join(kept, "watermark").select("pipeline", F.col("watermark").cast("timestamp_ntz").alias("watermark"), "built")
+
+
 @query(with_tables("SELECT source_id, issue FROM (SELECT 'S' || c AS source_id, CASE WHEN c % 9 = 0 THEN 'blank cell' END AS issue FROM player_profiles UNION ALL SELECT 'S' || c, 'unknown target' FROM player_profiles WHERE c % 9 = 0 OR c % 10 = 1 UNION ALL SELECT 'S1', 'repeated source' UNION ALL SELECT 'S1', 'unknown target') WHERE issue IS NOT NULL", "player_profiles"))
 def identity_map_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A5: faults planted in a reviewed map."""

@@ -223,6 +223,32 @@ def boosted_families(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.crossJoin(least).select("family", "trees", "n", "log_loss", (F.col("log_loss") == F.col("least")).alias("chosen"))
 
 
+_BAYES = f"""SELECT match_id, player_id, round(1 / (1 + exp(max(score) FILTER (c = 0) - max(score) FILTER (c = 1))), 4) + 0.0::DOUBLE AS p FROM (
+  SELECT z.match_id, z.player_id, g.c, any_value(prior) + sum(-0.5::DOUBLE * (ln(2 * pi() * sg) + (z.v - mu) * (z.v - mu) / sg)) AS score
+  FROM scaled z JOIN g USING (i) JOIN priors ON priors.c = g.c WHERE z.match_date > DATE '2001-01-01' GROUP BY z.match_id, z.player_id, g.c) GROUP BY match_id, player_id"""
+
+
+@query(
+    with_tables(
+        _BAYES,
+        "mf",
+        more={
+            "cells": f"SELECT match_id, player_id, match_date, match_won, unnest(range({len(FEATURE_COLS)})) AS i, unnest([{', '.join(f'{c}::DOUBLE' for c in FEATURE_COLS)}]) AS v FROM mf",
+            "scaled": "SELECT match_id, player_id, match_date, match_won, i, CASE WHEN s > 0 THEN (v - m) / s ELSE 0 END AS v FROM cells JOIN (SELECT i, avg(v) AS m, stddev_samp(v) AS s FROM cells WHERE match_date <= DATE '2001-01-01' GROUP BY i) USING (i)",
+            "g": "SELECT match_won AS c, i, avg(v) AS mu, var_pop(v) + (SELECT 1e-9 * max(q) FROM (SELECT var_pop(v) AS q FROM scaled WHERE match_date <= DATE '2001-01-01' GROUP BY i)) AS sg FROM scaled WHERE match_date <= DATE '2001-01-01' GROUP BY ALL",
+            "priors": "SELECT match_won AS c, ln(count(*)) AS prior FROM mf WHERE match_date <= DATE '2001-01-01' GROUP BY 1",
+        },
+    )
+)
+def bayes_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Naive Bayes on scaled features of early events scores each later row; SQL fits the same model."""
+    t = Tables(spark, sf_dir)
+    rows = t.stored(t.features.select("match_id", "player_id", "opponent_id", "match_date", "match_won", *FEATURE_COLS))
+    fit = models.linear({"family": "bayes"}).fit(rows.where("match_date <= '2001-01-01'"))
+    scored = models.predict(fit, rows.where("match_date > '2001-01-01'"), "p")
+    return rounded(scored.select("match_id", "player_id", "p"), 4)
+
+
 @query(with_tables("SELECT trial, n, true AS finite, trial = 1 AS is_first FROM (SELECT unnest([1, 2, 3, 4]) AS trial), (SELECT count(*) AS n FROM s WHERE split = 'val')", "pm", more={"s": _SPLIT}))
 def search_trials(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A seeded sample of settings without repeats, each scored on every validation row, best first."""

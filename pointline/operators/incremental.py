@@ -7,6 +7,7 @@ from collections.abc import Callable, Mapping, Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..schemas import SURFACES
 from .ordered import shared_folder
 
 def keep_latest(rows: DataFrame, key: Sequence[str], order: Sequence[Column]) -> DataFrame:
@@ -179,6 +180,13 @@ def run_window(start: Column, end: Column, watermark: Column, today: Column) ->
     return F.when(first.isNotNull() & (first <= last), F.struct(first.alias("first"), last.alias("last")))
 
 
+def backfilled(rows: DataFrame) -> DataFrame:
+    """Events written before ranks could be missing and surfaces were canonical: rank 0 is null, any other
+    surface hard; a null surface stays. Doing it again changes nothing."""
+    surface = F.when(~F.col("surface").isin(*SURFACES), F.lit("hard")).otherwise(F.col("surface"))
+    return rows.withColumns({"surface": surface} | {c: F.nullif(F.col(c), F.lit(0)) for c in ("player1_ranking", "player2_ranking")})
+
+
 def enrich(stored: DataFrame, found: DataFrame, key: str, column: str, unknown: str = "UNK") -> DataFrame:
     """Fill ``column`` where it is null, blank or unknown; known values stay."""
     new = found.select(key, F.col(column).alias("__new"))

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.scalars import best_of, canonical_indoor, canonical_surface, clean_score, event_id, positive_rank, safe_float, safe_int
+from ..functions.scalars import best_of, canonical_country, canonical_indoor, canonical_surface, clean_score, event_id, positive_rank, safe_float, safe_int
 
 #: Statistics of a raw match file, as they follow w_ and l_.
 RAW_STATS = {
@@ -120,6 +120,26 @@ def read_profiles(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
+#: Columns of a source's player file that are read; it may have others.
+SOURCE_NAMES = ("player_id", "name_first", "name_last", "ioc")
+
+
+def read_source_names(spark: SparkSession, path: str) -> DataFrame:
+    """source_id, name and country of a ranking source's player files, the last row of each id in file order.
+
+    Files have a header with at least SOURCE_NAMES, which is checked. Ids are trimmed, rows without
+    one are left out; a name is its parts, trimmed, with one space between; unknown countries are UNK.
+    """
+    rows = spark.read.option("header", True).csv(path)
+    missing = [c for c in SOURCE_NAMES if c not in rows.columns]
+    if missing:
+        raise ValueError(f"the player file lacks {', '.join(missing)}")
+    part = lambda c: F.trim(F.coalesce(F.col(c), F.lit("")))
+    rows = rows.select(part("player_id").alias("source_id"), F.trim(F.concat_ws(" ", part("name_first"), part("name_last"))).alias("name"), canonical_country(F.col("ioc")).alias("country"), F.col("_metadata.file_path").alias("__file"), F.monotonically_increasing_id().alias("__seq"))
+    last = F.row_number().over(Window.partitionBy("source_id").orderBy(F.desc("__file"), F.desc("__seq")))
+    return rows.where("source_id <> ''").withColumn("__rn", last).where("__rn = 1").select("source_id", "name", "country")
+
+
 def map_issues(rows: DataFrame, canonical: DataFrame) -> DataFrame:
     """(source_id, issue) of a reviewed identity map: blank cells, repeated sources, unknown targets."""
     blank = rows.where(F.coalesce(F.trim("source_id"), F.lit("")).eqNullSafe("") | F.coalesce(F.trim("player_id"), F.lit("")).eqNullSafe("")).select("source_id", F.lit("blank cell").alias("issue"))
