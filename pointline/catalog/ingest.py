@@ -60,6 +60,40 @@ def raw_match_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files.to_match_events(files.read_matches(spark, path)).select(*_COLS, "best_of")
 
 
+def _cell(x: str) -> str:
+    return f"CASE WHEN {x} <> 0 THEN CASE WHEN {x} = floor({x}) THEN ({x})::BIGINT::VARCHAR ELSE printf('%.3f', ({x})::DOUBLE) END END"
+
+
+#: What pages would say of an event beside the stand-in's columns. Spark and DuckDB read the same text.
+_PAGE = (
+    "*", "CAST(substr(match_id, 6, 6) AS BIGINT) AS n", "CASE WHEN n % 5 = 0 THEN '3' END AS winner_seed", "CASE WHEN n % 7 = 0 THEN 'WC' END AS winner_entry",
+    "CASE WHEN n % 3 = 0 THEN '12' END AS loser_seed", "CASE WHEN n % 11 = 0 THEN 'Q' ELSE '' END AS loser_entry",
+    "CAST(CASE WHEN n % 6 = 0 THEN 0 ELSE 32 END AS INT) AS draw_size", "CAST(CASE WHEN n % 10 = 0 THEN NULL ELSE 60 + n % 241 / CAST(2 AS DOUBLE) END AS DOUBLE) AS minutes",
+    "concat('page ', player1_id) AS player1_name", "concat('page ', player2_id) AS player2_name",
+)
+_KNOWN = "SELECT player_id, display_name, handedness, height, CASE WHEN c % 5 = 0 THEN 'UNK' ELSE concat('N', nation) END AS ioc FROM player_profiles WHERE c % 4 <> 0"
+
+
+def _raw_side(i: int, side: str, s: str) -> str:
+    stats = ", ".join(f"player{i}_{x}::VARCHAR AS \"{s}_{c}\"" for c, x in files.RAW_STATS.items())
+    return f"player{i}_id AS {side}_id, {side}_seed, nullif({side}_entry, '') AS {side}_entry, coalesce({s}.display_name, player{i}_name) AS {side}_name, {s}.handedness AS {side}_hand, {s}.height::VARCHAR AS {side}_ht, nullif({s}.ioc, 'UNK') AS {side}_ioc, {', '.join(f'{_cell(f'player{i}_{c}')} AS {side}_{n}' for c, n in (('age', 'age'), ('ranking', 'rank'), ('rank_points', 'rank_points')))}, {stats}"
+
+
+@query(
+    with_tables(
+        f"SELECT substr(match_id, 1, 11) AS tourney_id, upper(left(tournament, 1)) || substr(tournament, 2) AS tourney_name, upper(left(surface, 1)) || substr(surface, 2) AS surface, {_cell('draw_size')} AS draw_size, CASE tournament {' '.join(f"WHEN '{n}' THEN '{c}'" for c, n in files.LEVELS.items())} END AS tourney_level, CASE is_indoor WHEN 1 THEN 'I' WHEN 0 THEN 'O' END AS indoor, strftime(match_date, '%Y%m%d') AS tourney_date, '7' AS match_num, score, best_of::VARCHAR AS best_of, upper(round) AS round, {_cell('minutes')} AS minutes, {_raw_side(1, 'winner', 'w')}, {_raw_side(2, 'loser', 'l')} FROM (SELECT {', '.join(_PAGE)} FROM ({_KEYED})) e LEFT JOIN known w ON w.player_id = player1_id LEFT JOIN known l ON l.player_id = player2_id",
+        "match_events", "player_profiles",
+        more={"known": _KNOWN},
+    )
+)
+def raw_mirror_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All columns of the raw files as text, read back, with profiles of three players of four and what pages say."""
+    path = shared_path(spark, "raw-mirror")
+    known = Tables(spark, sf_dir).profiles.where("c % 4 <> 0").selectExpr("player_id", "display_name", "handedness", "height", "CASE WHEN c % 5 = 0 THEN 'UNK' ELSE concat('N', nation) END AS ioc")
+    files.to_raw_rows(keyed_events(spark, sf_dir).selectExpr(*_PAGE), known).write.option("header", True).csv(path)
+    return files.read_strings(spark, path, files.RAW_COLUMNS)
+
+
 @query(with_tables("SELECT strptime(CASE WHEN week % 50 = 0 THEN NULL ELSE strftime(ranking_date, '%Y%m%d') END, '%Y%m%d')::DATE AS ranking_date, rank, player_id, points, CASE WHEN week % 50 = 0 THEN 'ranking_date' END AS reject_reason FROM (SELECT *, ((ranking_date - DATE '1995-01-02') / 7)::INT AS week FROM rankings) WHERE rank <= 150", "rankings"))
 def ranking_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A3: strict ranking rows with reasons; every fiftieth week has a malformed date."""

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as fn
 from ..operators import identity, incremental, intervals
+from ..operators.ordered import read_ordered, write_ordered
 from ..plans import boosting, models
 from ..plans import evaluation as ev
 from ..schemas import FEATURE_COLS
@@ -129,6 +130,39 @@ def walk_forward_temperatures(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(pooled.groupBy("fold", "temperature").agg(F.count("*").alias("n"), loss("raw").alias("raw_log_loss"), loss("scaled").alias("scaled_log_loss")))
 
 
+#: A third stand-in model, as sure as it is right: no temperature betters it.
+_MODELS_3 = (*_MODELS, f"CAST(0.5 AS DOUBLE) + (match_won - CAST(0.5 AS DOUBLE)) * (CASE WHEN {_N} % 5 < 4 THEN 1 ELSE -1 END) * CAST(0.6 AS DOUBLE) AS c")
+_LONG = f"SELECT model, q AS a, match_won AS y, fold FROM (SELECT match_id, player_id, opponent_id, match_won, unnest(['a', 'b', 'c']) AS model, unnest([a, b, c]) AS q FROM (SELECT {', '.join(_MODELS_3)} FROM pm)) JOIN ({_FOLDS}) f USING (match_id) WHERE player_id < opponent_id AND fold > 0"
+_ACCEPTED = "scaled_log_loss < raw_log_loss AND scaled_brier < raw_brier + 0.001::DOUBLE"
+
+
+@query(
+    with_tables(
+        sql_rounded(
+            f"""SELECT model, t AS fitted_temperature, CASE WHEN {_ACCEPTED} THEN t ELSE 1 END AS temperature, {_ACCEPTED} AS accepted, raw_log_loss, scaled_log_loss, raw_brier, scaled_brier
+FROM (SELECT model, avg({_log_loss('a')}) AS raw_log_loss, avg({_log_loss('q')}) AS scaled_log_loss, avg((y - a) * (y - a)) AS raw_brier, avg((y - q) * (y - q)) AS scaled_brier
+  FROM (SELECT r.*, {_SCALED} AS q FROM r JOIN best USING (model, fold)) GROUP BY 1) JOIN whole USING (model)""",
+            ["fitted_temperature", "temperature", "raw_log_loss", "scaled_log_loss", "raw_brier", "scaled_brier"],
+        ),
+        "pm", "match_events",
+        more={
+            "r": _LONG, "g": _GRID, "losses": f"SELECT model, fold, t, sum({_log_loss('q')}) AS loss, count(*) AS n FROM (SELECT model, fold, y, t, {_SCALED} AS q FROM r, g) GROUP BY 1, 2, 3",
+            "best": "SELECT model, fold, arg_min(t, loss) AS t FROM (SELECT model, f.fold, t, sum(loss) / sum(n) AS loss FROM (SELECT DISTINCT fold FROM r WHERE fold > 1) f JOIN losses l ON l.fold < f.fold GROUP BY 1, 2, 3) GROUP BY 1, 2",
+            "whole": "SELECT model, arg_min(t, loss) AS t FROM (SELECT model, t, sum(loss) / sum(n) AS loss FROM losses GROUP BY 1, 2) GROUP BY 1",
+        },
+    )
+)
+def temperature_acceptance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether each of three models takes its fitted temperature, by pooled log loss and the Brier guard."""
+    t = Tables(spark, sf_dir)
+    rows = t.matches.selectExpr(*_MODELS_3).where("player_id < opponent_id").withColumn("y", F.col("match_won"))
+    rows = t.stored(rows.join(folds(spark, sf_dir).select("match_id", "fold"), "match_id").where("fold > 0"))
+    names = ("fitted_temperature", "temperature", "accepted", "raw_log_loss", "scaled_log_loss", "raw_brier", "scaled_brier")
+    picked = [(m, ev.select_temperature(rows, "y", m, "fold", rounds=1)) for m in ("a", "b", "c")]
+    out = spark.createDataFrame([(m, *[got[n] for n in names]) for m, got in picked], "model string, " + ", ".join(f"{n} {'boolean' if n == 'accepted' else 'double'}" for n in names))
+    return rounded(out)
+
+
 _AUC = "(sum(rk) FILTER (WHERE y = 1) - (count(*) FILTER (WHERE y = 1)) * (count(*) FILTER (WHERE y = 1) + 1) / 2.0::DOUBLE) / nullif(count(*) FILTER (WHERE y = 1) * count(*) FILTER (WHERE y = 0), 0)"
 
 
@@ -270,6 +304,30 @@ def out_of_fold_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("match_id", "player_id", "fold", F.coalesce(F.col("p").between(0, 1), F.lit(False)).alias("in_range"))
 
 
+@query(
+    with_tables(
+        """SELECT match_id, player_id, any_value(fold) AS fold, round(1 / (1 + exp(max(score) FILTER (c = 0) - max(score) FILTER (c = 1))), 4) + 0.0::DOUBLE AS p FROM (
+  SELECT z.match_id, z.player_id, z.fold, g.c, any_value(prior) + sum(-0.5::DOUBLE * (ln(2 * pi() * sg) + (z.v - mu) * (z.v - mu) / sg)) AS score
+  FROM scaled z JOIN g ON g.k = z.k AND g.i = z.i JOIN priors q ON q.c = g.c AND q.k = g.k WHERE z.fold = z.k GROUP BY z.match_id, z.player_id, z.fold, g.c) GROUP BY match_id, player_id""",
+        "mf", "match_events",
+        more={
+            "f": _FOLDS,
+            "cells": f"SELECT match_id, player_id, fold, match_won, unnest(range({len(FEATURE_COLS)})) AS i, unnest([{', '.join(f'{c}::DOUBLE' for c in FEATURE_COLS)}]) AS v FROM mf JOIN f USING (match_id)",
+            "seen": "SELECT k, cells.* FROM cells JOIN (SELECT DISTINCT fold AS k FROM f WHERE fold > 0) ON fold <= k",
+            "scaled": "SELECT match_id, player_id, fold, match_won, k, i, CASE WHEN s > 0 THEN (v - m) / s ELSE 0 END AS v FROM seen JOIN (SELECT k, i, avg(v) AS m, stddev_samp(v) AS s FROM seen WHERE fold < k GROUP BY 1, 2) USING (k, i)",
+            "g": "SELECT match_won AS c, x.k, i, avg(v) AS mu, var_pop(v) + any_value(e) AS sg FROM scaled x JOIN (SELECT k, 1e-9 * max(q) AS e FROM (SELECT k, i, var_pop(v) AS q FROM scaled WHERE fold < k GROUP BY 1, 2) GROUP BY 1) y ON y.k = x.k WHERE fold < x.k GROUP BY 1, 2, 3",
+            "priors": "SELECT match_won AS c, k, ln(count(*)) AS prior FROM scaled WHERE fold < k AND i = 0 GROUP BY 1, 2",
+        },
+    )
+)
+def out_of_fold_bayes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each fold scored by naive Bayes on features scaled and fitted on the earlier bands alone; SQL fits the same models."""
+    t = Tables(spark, sf_dir)
+    rows = t.features.select("match_id", "player_id", "opponent_id", "match_won", *FEATURE_COLS)
+    scored = models.out_of_fold(rows, folds(spark, sf_dir), "linear", {"family": "bayes"}, "p")
+    return rounded(scored.select("match_id", "player_id", "fold", "p"), 4)
+
+
 @query()
 def fuzzy_identity_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How sources write the players' names, by difflib's ratio of 0.8, which SQL hasn't; tested against brute force."""
@@ -294,6 +352,22 @@ def eligible_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files.eligible(Tables(spark, sf_dir).events).select("match_id", "tournament")
 
 
+@query(with_tables("SELECT match_id, match_date, winner_id FROM match_events WHERE CAST(match_id AS BIGINT) IN (SELECT l_orderkey FROM lineitem WHERE l_returnflag = 'R' AND l_quantity > 40)", "match_events"))
+def selected_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events of a list of ids, some given more than once and some null: those of orders with large returned items."""
+    t = Tables(spark, sf_dir)
+    ids = t.raw("lineitem").where("l_returnflag = 'R' AND l_quantity > 40").select(F.lpad(F.col("l_orderkey").cast("string"), 10, "0").alias("match_id"))
+    return files.selected(t.events, ids.union(spark.range(1).select(F.lit(None).cast("string")))).select("match_id", "match_date", "winner_id")
+
+
+@query(with_tables("SELECT match_id, player_id, match_won, row_number() OVER (ORDER BY match_date, match_id, player_id) AS position FROM pm", "pm"))
+def ordered_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """directional rows written in their model's order; positions are those of the stored files."""
+    path = shared_path(spark, "ordered")
+    write_ordered(Tables(spark, sf_dir).matches.select("match_date", "match_id", "player_id", "match_won"), path, [F.col("match_date"), F.col("match_id"), F.col("player_id")])
+    return read_ordered(spark, path).drop("match_date")
+
+
 _RUN = ("o_orderkey AS k", "CASE WHEN o_orderkey % 3 = 0 THEN CAST(o_orderdate AS DATE) END AS s", "CASE WHEN o_orderkey % 5 < 2 THEN DATE '1997-06-01' END AS e", "CASE WHEN o_orderkey % 7 > 0 THEN DATE '1996-01-01' END AS w")
 
 

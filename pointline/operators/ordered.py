@@ -46,6 +46,27 @@ def running_totals(rows: DataFrame, order: Sequence[Column], totals: Mapping[str
     return run.select(*[F.col(f"`{c}`") for c in rows.columns], *out)
 
 
+def write_ordered(rows: DataFrame, path: str, order: Sequence[Column]) -> None:
+    """Write the rows so that the files, in the order of their names, hold them in ``order``: a range sort."""
+    rows.orderBy(*order).write.parquet(path)
+
+
+def read_ordered(spark: SparkSession, path: str) -> DataFrame:
+    """The rows of write_ordered with their position (from 1), counted over the files as they are stored.
+
+    A file's rows are numbered where they are read; one row per file carries what lies before it.
+    Empty tables give no rows.
+    """
+    stored = spark.read.parquet(path)
+    name = F.col("_metadata.file_name")
+    rows = stored.select(*[F.col(f"`{c}`") for c in stored.columns], F.regexp_extract(name, "^part-([0-9]+)", 1).cast("long").alias("__task"), name.alias("__file"), F.col("_metadata.row_index").alias("__row"))
+    files = rows.groupBy("__task", "__file").agg(F.count("*").alias("__n"))
+    before = Window.orderBy("__task", "__file").rowsBetween(Window.unboundedPreceding, -1)
+    starts = files.select("__file", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__start"))
+    placed = rows.join(F.broadcast(starts), "__file")  # one row per file
+    return placed.select(*[F.col(f"`{c}`") for c in stored.columns], (F.col("__start") + F.col("__row") + 1).alias("position"))
+
+
 def exact_medians(cells: DataFrame, by: str, value: str) -> DataFrame:
     """(by, median) of each group's values; the mean of the middle two where they are even in number.
 

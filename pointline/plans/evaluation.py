@@ -155,9 +155,8 @@ def average_precision(rows: DataFrame, y: str, p: str) -> DataFrame:
 
 def temperature_losses(rows: DataFrame, y: str, p: str, grid: Sequence[float], by: Sequence[str] = ()) -> DataFrame:
     """Mean log loss of each temperature of a grid, in one scan."""
-    sums = [F.avg(loss(F.col(y), temperature_scaled(F.col(p), F.lit(float(t))))).alias(f"t{i}") for i, t in enumerate(grid)]
-    wide = rows.groupBy(*by).agg(*sums)
-    return wide.select(*by, F.explode(F.array(*[F.struct(F.lit(float(t)).alias("temperature"), F.col(f"t{i}").alias("log_loss")) for i, t in enumerate(grid)])).alias("x")).select(*by, "x.*")
+    each = rows.select(*by, F.col(y).alias("__y"), F.col(p).alias("__p"), F.explode(F.array(*[F.lit(float(t)) for t in grid])).alias("temperature"))
+    return each.groupBy(*by, "temperature").agg(F.avg(loss(F.col("__y"), temperature_scaled(F.col("__p"), F.col("temperature")))).alias("log_loss"))
 
 
 def fit_temperature(rows: DataFrame, y: str, p: str, bounds: tuple[float, float] = (0.05, 20.0), rounds: int = 4, points: int = 24) -> float:

@@ -12,7 +12,7 @@ from ..functions.scalars import best_of, canonical_country, canonical_indoor, ca
 
 #: Statistics of a raw match file, as they follow w_ and l_.
 RAW_STATS = {
-    "ace": "aces", "df": "double_faults", "1stIn": "first_serves_made", "svpt": "total_serve_points", "1stWon": "first_serve_points_won",
+    "ace": "aces", "df": "double_faults", "svpt": "total_serve_points", "1stIn": "first_serves_made", "1stWon": "first_serve_points_won",
     "2ndWon": "second_serve_points_won", "SvGms": "service_games", "bpSaved": "break_points_saved", "bpFaced": "break_points_faced",
 }
 RAW_REQUIRED = (
@@ -20,6 +20,14 @@ RAW_REQUIRED = (
     *[f"{s}_{c}" for s in ("winner", "loser") for c in ("id", "rank", "rank_points", "age")],
     *[f"{s}_{c}" for s in ("w", "l") for c in RAW_STATS],
 )
+#: What a raw match file says of a side, as it follows winner_ and loser_.
+RAW_SIDE = ("id", "seed", "entry", "name", "hand", "ht", "ioc", "age", "rank", "rank_points")
+#: The columns of a raw match file, in order.
+RAW_COLUMNS = (
+    "tourney_id", "tourney_name", "surface", "draw_size", "tourney_level", "indoor", "tourney_date", "match_num",
+    *[f"{s}_{c}" for s in ("winner", "loser") for c in RAW_SIDE], "score", "best_of", "round", "minutes",
+    *[f"{s}_{c}" for s in ("w", "l") for c in RAW_STATS],
+)
 #: Raw level letters.
 LEVELS = {"G": "grand_slam", "M": "masters", "500": "atp_500", "250": "atp_250", "D": "davis_cup", "F": "atp_finals", "O": "olympics", "A": "professional"}
 RANKING_HEADER = ("ranking_date", "rank", "player", "points")
@@ -36,8 +44,15 @@ def read_strings(spark: SparkSession, path: str | Sequence[str], header: Sequenc
 
 def read_matches(spark: SparkSession, path: str, exclude: str = "challenger") -> DataFrame:
     """Raw match rows of all files but the excluded ones; rows without both ids are left out,
-    missing statistics are 0."""
-    rows = read_strings(spark, path, RAW_REQUIRED, "*.csv").where(~F.lower("_metadata.file_name").contains(exclude))
+    missing statistics are 0.
+
+    All files have one header with at least RAW_REQUIRED, in any order; other columns aren't read.
+    """
+    rows = spark.read.option("header", True).option("enforceSchema", False).option("mode", "FAILFAST").option("ignoreLeadingWhiteSpace", True).option("ignoreTrailingWhiteSpace", True).option("pathGlobFilter", "*.csv").csv(path)
+    missing = [c for c in RAW_REQUIRED if c not in rows.columns]
+    if missing:
+        raise ValueError(f"the match file lacks {', '.join(missing)}")
+    rows = rows.where(~F.lower("_metadata.file_name").contains(exclude)).select(*RAW_REQUIRED)
     stats = [f"{s}_{c}" for s in ("w", "l") for c in RAW_STATS]
     return rows.where("winner_id IS NOT NULL AND loser_id IS NOT NULL").withColumns({c: safe_int(F.col(c)) for c in stats})
 
@@ -58,19 +73,46 @@ def to_match_events(raw: DataFrame) -> DataFrame:
     )
 
 
-def to_raw_rows(events: DataFrame) -> DataFrame:
-    """The inverse of to_match_events: the key split into tournament and sequence, unknown cells blank."""
-    text = lambda c: F.col(c).cast("string")
+def number_cell(c: Column) -> Column:
+    """A number as a raw cell: whole ones without decimals, others with three; nulls, zeros and NaN are blank."""
+    x = c.try_cast("double")
+    return F.when(x.isNull() | F.isnan(x) | (x == 0), F.lit(None)).when(x == F.floor(x), F.floor(x).cast("string")).otherwise(F.format_string("%.3f", x))
+
+
+def to_raw_rows(events: DataFrame, profiles: DataFrame | None = None) -> DataFrame:
+    """The inverse of to_match_events, under RAW_COLUMNS: the key split into tournament and sequence,
+    cells that are unknown blank (null).
+
+    Seeds, entries, draw size, minutes and the names that a page gave (player1_name, player2_name)
+    come from the events where these have such columns. ``profiles``, with one row for each upper-case
+    player_id, gives display names, hands, heights and countries. An event whose id has no sequence
+    gives a blank row.
+    """
+    word = lambda c: F.nullif(F.trim(F.col(c).cast("string")), F.lit(""))
+    own = lambda c: word(c) if c in events.columns else F.lit(None).cast("string")
     code = F.lit(None).cast("string")
     for letter, name in LEVELS.items():
         code = F.when(F.col("tournament") == name, letter).otherwise(code)
-    side = lambda i, s, n: [text(f"player{i}_id").alias(f"{n}_id"), text(f"player{i}_ranking").alias(f"{n}_rank"), F.nullif(text(f"player{i}_rank_points"), F.lit("0")).alias(f"{n}_rank_points"), F.when(F.col(f"player{i}_age") > 0, text(f"player{i}_age")).alias(f"{n}_age"), *[text(f"player{i}_{x}").alias(f"{s}_{c}") for c, x in RAW_STATS.items()]]
-    rows = events.select(
-        F.regexp_extract("match_id", r"^(.*)-[0-9]+$", 1).alias("tourney_id"), F.col("tournament_name").alias("tourney_name"), code.alias("tourney_level"), F.date_format("match_date", "yyyyMMdd").alias("tourney_date"),
-        F.regexp_extract("match_id", r"-0*([0-9]+)$", 1).alias("match_num"), F.initcap("surface").alias("surface"), F.when(F.col("is_indoor") == 1, "I").when(F.col("is_indoor") == 0, "O").alias("indoor"), text("best_of").alias("best_of"),
-        F.upper("round").alias("round"), text("score").alias("score"), *side(1, "w", "winner"), *side(2, "l", "loser"),
-    )
-    return rows.select(*RAW_REQUIRED)
+    rows, cells = events, {}
+    for i, side, s in ((1, "winner", "w"), (2, "loser", "l")):
+        known = dict.fromkeys(("display_name", "handedness", "height", "ioc"), F.lit(None).cast("string"))
+        if profiles is not None:
+            names = [F.col(c).cast("string").alias(f"__{s}_{c}") for c in known]
+            rows = rows.join(profiles.select(F.col("player_id").alias(f"__{s}_id"), *names), F.upper(f"player{i}_id") == F.col(f"__{s}_id"), "left")
+            known = {c: word(f"__{s}_{c}") for c in known}
+        cells |= {
+            f"{side}_id": word(f"player{i}_id"), f"{side}_seed": own(f"{side}_seed"), f"{side}_entry": own(f"{side}_entry"), f"{side}_name": F.coalesce(known["display_name"], own(f"player{i}_name")),
+            f"{side}_hand": known["handedness"], f"{side}_ht": number_cell(known["height"]), f"{side}_ioc": F.nullif(known["ioc"], F.lit("UNK")),
+            f"{side}_age": number_cell(F.col(f"player{i}_age")), f"{side}_rank": number_cell(F.col(f"player{i}_ranking")), f"{side}_rank_points": number_cell(F.col(f"player{i}_rank_points")),
+            **{f"{s}_{c}": F.coalesce(F.col(f"player{i}_{x}"), F.lit(0)).cast("string") for c, x in RAW_STATS.items()},
+        }
+    cells |= {
+        "tourney_id": F.regexp_extract("match_id", r"^(.*)-[0-9]+$", 1), "tourney_name": word("tournament_name"), "surface": F.initcap(word("surface")), "draw_size": number_cell(own("draw_size")), "tourney_level": code,
+        "indoor": F.when(F.col("is_indoor") == 1, "I").when(F.col("is_indoor") == 0, "O"), "tourney_date": F.date_format("match_date", "yyyyMMdd"), "match_num": F.regexp_extract("match_id", r"-0*([0-9]+)$", 1),
+        "score": word("score"), "best_of": number_cell(F.col("best_of")), "round": F.upper(word("round")), "minutes": number_cell(own("minutes")),
+    }
+    keyed = F.coalesce(F.col("match_id").rlike("^.*-[0-9]+$"), F.lit(False))
+    return rows.select(*[F.when(keyed, cells[c]).alias(c) for c in RAW_COLUMNS])
 
 
 #: Tournament levels that are taken in.
@@ -82,6 +124,11 @@ def eligible(events: DataFrame) -> DataFrame:
     return events.where(F.col("tournament").isin(*ELIGIBLE))
 
 
+def selected(events: DataFrame, ids: DataFrame, key: str = "match_id") -> DataFrame:
+    """Events whose id is among ``ids``, once each however often it is given there; null ids select nothing."""
+    return events.join(ids.select(key), key, "left_semi")
+
+
 def append_new(path: str, rows: DataFrame, stored: DataFrame | None, key: Sequence[str], partition: Column, order: Sequence[str]) -> int:
     """Append rows of keys that ``stored`` lacks, once each, under a partition column; how many."""
     once = rows.dropDuplicates(list(key))
