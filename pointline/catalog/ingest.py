@@ -184,19 +184,19 @@ def upsert_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return incremental.action_summary(upsert_actions(spark, sf_dir))
 
 
-@query(with_tables("SELECT match_id, CASE WHEN batch >= 5 THEN 'new' ELSE surface END AS surface FROM match_events WHERE batch < 8", "match_events"))
+@query(with_tables("SELECT match_id, CASE WHEN batch >= 5 THEN 'new' ELSE surface END AS surface FROM match_events", "match_events"))
 def keyed_overwrite(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Overwrite by key."""
     e = Tables(spark, sf_dir).events.select("match_id", "surface", "batch")
-    new = e.where("batch >= 5 AND batch < 8").withColumn("surface", F.lit("new"))
+    new = e.where("batch >= 5").withColumn("surface", F.lit("new"))
     return incremental.overwrite(e.where("batch < 7"), new, ["match_id"]).select("match_id", "surface")
 
 
-@query(with_tables("SELECT match_id, surface FROM match_events WHERE batch < 8", "match_events"))
+@query(with_tables("SELECT match_id, surface FROM match_events", "match_events"))
 def insert_if_absent(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A8, A14, C11."""
     e = Tables(spark, sf_dir).events.select("match_id", "surface", "batch")
-    new = e.where("batch >= 5 AND batch < 8").withColumn("surface", F.when(F.col("batch") < 7, "old").otherwise(F.col("surface")))
+    new = e.where("batch >= 5").withColumn("surface", F.when(F.col("batch") < 7, "old").otherwise(F.col("surface")))
     return incremental.insert_absent(e.where("batch < 7"), new, ["match_id"]).select("match_id", "surface")
 
 
@@ -294,30 +294,34 @@ def date_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select("match_id", start.alias("start_date"), end.alias("end_date"))
 
 
+#: Consecutive event numbers that may share a page, so that pages stay small however many events a year has.
+PAGE = 1_000
+
+
 def archive_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A page per year of tournament cards, one for each event of the year's first days."""
-    e = Tables(spark, sf_dir).events.where("day(match_date) = 1").select("match_id", "match_date", "tournament")
+    """Pages of tournament cards, one for each event of a year; a page holds at most PAGE cards."""
+    e = Tables(spark, sf_dir).events.select("match_id", "match_date", "tournament")
     card = F.concat(F.lit('<li class="tournament row"><img src="/img/categorystamps_'), F.regexp_replace("tournament", "_", ""), F.lit('.png"><a href="/en/tournaments/'), "tournament", F.lit("/"), "match_id", F.lit('/overview"><span class="name">Open &amp; '), "tournament", F.lit('</span></a><span class="Date">'), F.date_format("match_date", "d MMMM, yyyy"), F.lit("</span></li>"))
-    return e.groupBy(F.year("match_date").alias("year")).agg(F.concat(F.lit("<html><ul>"), F.array_join(F.array_sort(F.collect_list(card)), "\n"), F.lit("</ul></html>")).alias("html"))
+    return e.groupBy(F.year("match_date").alias("year"), F.floor(F.col("match_id").cast("long") / PAGE).alias("page")).agg(F.concat(F.lit("<html><ul>"), F.array_join(F.array_sort(F.collect_list(card)), "\n"), F.lit("</ul></html>")).alias("html"))
 
 
-@query(with_tables("SELECT year(match_date)::INT AS year, match_id AS tournament_id, tournament AS slug, 'Open & ' || tournament AS name, replace(tournament, '_', '') AS tier, match_date AS start_date, match_date AS end_date FROM match_events WHERE day(match_date) = 1", "match_events"))
+@query(with_tables("SELECT year(match_date)::INT AS year, match_id AS tournament_id, tournament AS slug, 'Open & ' || tournament AS name, replace(tournament, '_', '') AS tier, match_date AS start_date, match_date AS end_date FROM match_events", "match_events"))
 def archive_page_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tournaments parsed from pages."""
     return pages.archive_tournaments(archive_pages(spark, sf_dir)).drop("position")
 
 
-@query(with_tables("SELECT match_date, round, player1_id AS winner_id, player2_id AS loser_id, '6-3 6-2' AS score FROM match_events WHERE day(match_date) <= 2", "match_events"))
+@query(with_tables("SELECT match_date, round, player1_id AS winner_id, player2_id AS loser_id, '6-3 6-2' AS score FROM match_events", "match_events"))
 def result_page_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Matches under their day headers parsed from pages, half of them loser first."""
-    e = Tables(spark, sf_dir).events.where("day(match_date) <= 2")
+    e = Tables(spark, sf_dir).events
     even = F.col("match_id").cast("long") % 2 == 0
     link = lambda c, won: F.concat(F.lit('<div class="player'), F.when(won, " winner").otherwise(""), F.lit('"><a href="/en/players/x-y/'), F.lower(c), F.lit('/overview">Name</a></div>'))
     games = lambda a, b: F.lit(f'<div class="scores"><span>{a}</span><span>{b}</span></div>')
     first = F.concat(link(F.col("player1_id"), F.lit(True)), games(6, 6), link(F.col("player2_id"), F.lit(False)), games(3, 2))
     second = F.concat(link(F.col("player2_id"), F.lit(False)), games(3, 2), link(F.col("player1_id"), F.lit(True)), games(6, 6))
     match = F.concat(F.lit('<div class="match"><span class="round">'), F.upper("round"), F.lit("</span>"), F.when(even, first).otherwise(second), F.lit("</div>"))
-    day = e.groupBy(F.trunc("match_date", "month").alias("page_id"), "match_date").agg(F.concat(F.lit('<h4 class="tournament-day"> '), F.first("match_date").cast("string"), F.lit("</h4>"), F.array_join(F.collect_list(match), "")).alias("part"))
+    day = e.groupBy(F.struct(F.trunc("match_date", "month"), F.floor(F.col("match_id").cast("long") / PAGE)).cast("string").alias("page_id"), "match_date").agg(F.concat(F.lit('<h4 class="tournament-day"> '), F.first("match_date").cast("string"), F.lit("</h4>"), F.array_join(F.collect_list(match), "")).alias("part"))
     page = day.groupBy("page_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("match_date", "part"))), lambda x: x["part"]), "").alias("html"))
     return pages.result_matches(page).select("match_date", "round", "winner_id", "loser_id", "score")
 

@@ -296,6 +296,41 @@ def search_trials(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table.crossJoin(least).select("trial", "n", fn.is_finite(F.col("log_loss")).alias("finite"), (F.col("log_loss") == F.col("least")).alias("is_first"))
 
 
+#: Settings of a search that SQL can repeat: naive Bayes on parts of the features.
+_PARTS = {"first five": FEATURE_COLS[:5], "next ten": FEATURE_COLS[5:15], "last twenty": FEATURE_COLS[-20:], "every third": FEATURE_COLS[::3]}
+
+
+@query(
+    with_tables(
+        sql_rounded(
+            f"""SELECT setting, count(*) AS n, avg({_log_loss('p', 'match_won')}) AS log_loss, row_number() OVER (ORDER BY avg({_log_loss('p', 'match_won')})) = 1 AS chosen FROM (
+  SELECT setting, match_id, player_id, any_value(match_won) AS match_won, greatest(least(1 / (1 + exp(max(score) FILTER (c = 0) - max(score) FILTER (c = 1))), 1 - 1e-12::DOUBLE), 1e-12::DOUBLE) AS p FROM (
+    SELECT o.setting, z.match_id, z.player_id, any_value(z.match_won) AS match_won, g.c, any_value(prior) + sum(-0.5::DOUBLE * (ln(2 * pi() * sg) + (z.v - mu) * (z.v - mu) / sg)) AS score
+    FROM scaled z JOIN g USING (i) JOIN o USING (i) JOIN priors ON priors.c = g.c WHERE z.split = 'val' GROUP BY o.setting, z.match_id, z.player_id, g.c) GROUP BY 1, 2, 3) GROUP BY 1""",
+            ["log_loss"], 4,
+        ),
+        "pm", "mf",
+        more={
+            "s": _SPLIT,
+            "o": "SELECT unnest(" + repr([name for name, part in _PARTS.items() for _ in part]) + ") AS setting, unnest(" + repr([FEATURE_COLS.index(c) for part in _PARTS.values() for c in part]) + ") AS i",
+            "cells": f"SELECT match_id, player_id, split, match_won, unnest(range({len(FEATURE_COLS)})) AS i, unnest([{', '.join(f'{c}::DOUBLE' for c in FEATURE_COLS)}]) AS v FROM mf JOIN s USING (match_id, player_id)",
+            "scaled": "SELECT match_id, player_id, split, match_won, i, CASE WHEN sd > 0 THEN (v - m) / sd ELSE 0 END AS v FROM cells JOIN (SELECT i, avg(v) AS m, stddev_samp(v) AS sd FROM cells WHERE split = 'train' GROUP BY i) USING (i)",
+            "g": "SELECT match_won AS c, i, avg(v) AS mu, var_pop(v) + (SELECT 1e-9 * max(q) FROM (SELECT var_pop(v) AS q FROM scaled WHERE split = 'train' GROUP BY i)) AS sg FROM scaled WHERE split = 'train' GROUP BY ALL",
+            "priors": "SELECT match_won AS c, ln(count(*)) AS prior FROM cells WHERE split = 'train' AND i = 0 GROUP BY 1",
+        },
+    )
+)
+def search_losses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every setting that a seeded search tries, with its validation loss and whether it is chosen; SQL fits them all."""
+    t = Tables(spark, sf_dir)
+    rows = t.stored(ev.chronological_split(t.features, "match_date"))
+    got = models.trials("linear", {"family": ["bayes"], "columns": list(_PARTS.values())}, 40, rows.where("split = 'train'"), rows.where("split = 'val'"))
+    least = min(m["log_loss"] for _, m in got)
+    names = {tuple(part): name for name, part in _PARTS.items()}
+    table = [(names[tuple(params["columns"])], m["n"], m["log_loss"], m["log_loss"] == least) for params, m in got]
+    return rounded(spark.createDataFrame(table, "setting string, n long, log_loss double, chosen boolean"), 4)
+
+
 @query(with_tables("SELECT match_id, player_id, fold, true AS in_range FROM pm JOIN f USING (match_id) WHERE fold > 0", "pm", "match_events", more={"f": _FOLDS}))
 def out_of_fold_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every row of folds 1 to 5, scored by a fit on the bands before its own."""
