@@ -173,14 +173,21 @@ def measure(token: str) -> tuple[int, int, int, float, int, int, bool] | None:
 
 @lru_cache(65536)
 def binomial_tail(n: int, k: int, p: float) -> float:
-    """Natural log of P(Binomial(n, p) >= k)."""
+    """Natural log of P(Binomial(n, p) >= k), at any n: terms fall away from the mean, and those under 1e-18 of the sum are left out."""
     if k <= 0:
         return 0.0
-    if p <= 0:
+    if p <= 0 or k > n:
         return -math.inf
-    terms = [math.lgamma(n + 1) - math.lgamma(i + 1) - math.lgamma(n - i + 1) + i * math.log(p) + (n - i) * math.log1p(-p) for i in range(k, min(n, k + 400) + 1)]
-    top = max(terms)
-    return min(0.0, top + math.log(sum(math.exp(t - top) for t in terms)))
+    above = k > n * p  # else the other tail is summed, downwards
+    i, odds = k if above else k - 1, p / (1 - p)
+    first = math.lgamma(n + 1) - math.lgamma(i + 1) - math.lgamma(n - i + 1) + i * math.log(p) + (n - i) * math.log1p(-p)
+    term = total = 1.0
+    while term > 1e-18 * total:
+        term *= (n - i) / (i + 1) * odds if above else i / ((n - i + 1) * odds)
+        i += 1 if above else -1
+        total += term
+    tail = min(first + math.log(total), -1e-15)
+    return tail if above else math.log1p(-math.exp(tail))
 
 
 def log_normal_tail(z: float) -> float:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import random
+from fractions import Fraction
 
 import numpy as np
 import pytest
@@ -111,3 +112,25 @@ def test_spans_of_a_corpus(spark):
         spans = [tuple(map(int, s.split(":")[1:])) for s in r.spans.split(",") if s.startswith("random")]
         token = planted.get(10 if r.doc_id is None else r.doc_id)
         assert [text[a:b] for a, b in spans] == ([token] if token else []), r
+
+
+@pytest.mark.parametrize("n, p", [(1, 0.5), (7, 0.2), (40, 0.9), (300, 0.37), (900, 0.62)])
+def test_binomial_tail_is_the_sum(n, p):
+    for k in range(n + 1):
+        exact = sum(math.comb(n, i) * Fraction(p) ** i * (1 - Fraction(p)) ** (n - i) for i in range(k, n + 1)) if n < 50 else None
+        got = S.binomial_tail(n, k, p)
+        if exact is not None:
+            assert got == pytest.approx(math.log(exact), rel=1e-9, abs=1e-12)
+        # both tails of a long token make one
+        elif 0 < k:
+            assert math.exp(got) + math.exp(S.binomial_tail(n, n - k + 1, 1 - p)) == pytest.approx(1, rel=1e-9)
+
+
+@pytest.mark.parametrize("n", [25_000, 200_000, 5_000_000])
+def test_binomial_tail_of_very_long_tokens(n):
+    i = np.arange(n)
+    logs = np.r_[0, np.cumsum(np.log((n - i) / (i + 1)))] + np.arange(n + 1) * math.log(0.8) + np.arange(n, -1, -1) * math.log(0.2)
+    terms = np.exp(logs)
+    for z in (-4, -2, -0.5, 0.5, 2, 4):
+        k = round(n * 0.8 + z * math.sqrt(n * 0.16))
+        assert S.binomial_tail(n, k, 0.8) == pytest.approx(math.log1p(-terms[:k].sum()) if z < 0 else math.log(terms[k:].sum()), rel=1e-6)
