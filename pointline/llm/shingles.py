@@ -1,17 +1,21 @@
-"""Near-duplicate texts by the exact Jaccard similarity of their word shingles.
-
-Of two sets whose Jaccard similarity is 0.8 or more, the first fifth (and one) of either, in any
-order common to all sets, has a shingle of the other's: these shingles are the keys, and no similar
-pair is without a common one. Shingles frequent in a sample of texts come last in the order, so hot
-passages are rarely keys. Sets that share a key are first compared with the smallest of the key,
-which brings groups of near copies down to classes in linear work; then all other pairs of a key that
-are still in different classes are compared. A histogram of a set's hashes bounds the similarity from
-above; every link is verified on the whole sets.
+"""Near-duplicate texts by SimHash, and by exact keys for what it leaves.
+
+Every text's set of word shingles has a fingerprint; fingerprints that Golay codewords find within 4
+bits are compared on whole sets, and sets that are alike to 0.8 (Jaccard) are linked. Fingerprints of
+such sets may differ in more bits, so an exact search for the rest follows: two sets that similar
+differ in at most a quarter of the smaller one's size, so of more parts of the range of hashes
+than that one holds the same shingles in both. A key is the content of a part, some four shingles; a
+passage that texts share seldom fills a part, so it makes few keys common. Sets that share
+a key, of different classes so far, are first compared with one set of the key at a time, which brings groups of
+near copies down to classes in linear work; then all pairs of a key that are still in different
+classes are. A histogram of a set's hashes bounds the similarity from above; every link is verified
+on the whole sets.
 """
 
 from __future__ import annotations
 
 import math
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,13 +25,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .batches import map_text, stable, written
+from .batches import map_text, stable, steps, written
 from .graph import connected_components
-
-#: Texts whose shingles are counted to find frequent ones, about; the count from which one is frequent.
-SAMPLE, FREQUENT = 4_000, 5
-#: Longest sampled text and most frequent shingles broadcast; both touch only the order of the keys.
-SAMPLE_CHARS, MOST_FREQUENT = 100_000, 200_000
+from .simhash import near_links, print_of
+
+#: Keys of so many sets or more are compared with one set of theirs in further turns, so many at most.
+FREQUENT, TURNS = 5, 8
+#: Smallest sizes of the classes that sets with the same number of parts are in; a class reaches a quarter further.
+LOWS = [1]
+while LOWS[-1] < 1 << 40:
+    LOWS.append(LOWS[-1] * 5 // 4 + 1)
 #: Places of the histogram of a set.
 PLACES = 256
 #: Sets of one key compared in one group, at most, and rows of a group aimed at.
@@ -51,14 +58,41 @@ def shingle_set(text: str | None, words: int = 5, seed: int = 42) -> np.ndarray:
     return np.unique(np.array(hashes, dtype=np.uint64).view(np.int64))
 
 
-def keys_of(own: np.ndarray, frequent: np.ndarray) -> np.ndarray:
-    """The shingles that a set at 0.8 or more has one of among its own keys; ``frequent`` is sorted."""
-    count = len(own) - (4 * len(own) + 4) // 5 + 1 if len(own) else 0
-    if not len(frequent):
-        return own[:count]
-    at = np.minimum(np.searchsorted(frequent, own), len(frequent) - 1)
-    late = frequent[at] == own
-    return np.r_[own[~late][:count], own[late][: max(0, count - int((~late).sum()))]]
+def mixed_bits(x: np.ndarray) -> np.ndarray:
+    """Another number for every number; products wrap."""
+    x = (x ^ (x >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
+    return x ^ (x >> np.uint64(29))
+
+
+def keys_of(own: np.ndarray) -> np.ndarray:
+    """Keys of a sorted set, of which sets that are alike to 0.8 have one in common.
+
+    Two such sets differ in n // 4 shingles at most, n being the size of the smaller. For the sets of a class
+    the range of hashes is cut in more parts than that; a set has a key for each part that it fills,
+    of its own class and, if it may be the larger of a pair, of the class below. Each difference
+    spoils one part, so a set that fills more parts than there are differences shares one with every similar set. Sets
+    that fill fewer have their first shingles as keys besides, a fifth of all and one in the
+    order of the hashes, by which they find one another.
+    """
+    n = len(own)
+    if n < 4:
+        return np.zeros(0, np.int64)  # alike to 0.8 are only equal ones
+    unsigned = own.view(np.uint64) ^ np.uint64(1 << 63)
+    high, content = unsigned >> np.uint64(32), mixed_bits(unsigned)
+    level = bisect_right(LOWS, n) - 1
+    out, thin = [], False
+    for k in (level, level - 1):
+        most = LOWS[k + 1] - 1
+        if k < level and 4 * n > 5 * most:
+            break
+        parts = most // 4 + 2 + most // 60
+        part = (high * np.uint64(parts)) >> np.uint64(32)
+        first = np.flatnonzero(np.r_[True, part[1:] != part[:-1]])
+        out.append(np.add.reduceat(content, first) + mixed_bits(part[first] + np.uint64(k << 40)))
+        thin |= len(first) <= min(n, most) // 4
+    if thin:
+        out.append(mixed_bits(content[: n - (4 * n + 4) // 5 + 1]))
+    return np.concatenate(out).view(np.int64)
 
 
 def packed(sets: list[np.ndarray]) -> pa.ListArray:
@@ -71,28 +105,33 @@ def histogram(own: np.ndarray) -> bytes:
 
 
 def shared_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows (key, sig) sorted by both: (key, sig, lead) of every key with two rows or more; lead is its first sig."""
-    key_now, lead_now, told = None, None, False
+    """Of rows (key, sig) sorted by both, which may repeat: (key, sig) of every key with two sets or more."""
+    last, told = None, False
 
-    def rows(key, sig, lead):
-        return pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), pa.array(sig, pa.int64()), pa.array(lead, pa.int64())], names=["key", "sig", "lead"])
+    def rows(key, sig):
+        return pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), pa.array(sig, pa.int64())], names=["key", "sig"])
 
     for batch in batches:
         key, sig = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-        if key_now is not None and len(key) and key[0] == key_now:
-            n = int(np.searchsorted(key, key_now, side="right"))
+        new = np.r_[True, (key[1:] != key[:-1]) | (sig[1:] != sig[:-1])] if len(key) else np.zeros(0, bool)
+        if last is not None and len(key):
+            new[0] = (key[0], sig[0]) != last
+        key, sig = key[new], sig[new]
+        if last is not None and len(key) and key[0] == last[0]:
+            n = int(np.searchsorted(key, last[0], side="right"))
             if not told:
-                yield rows([key_now], [lead_now], [lead_now])
+                yield rows([last[0]], [last[1]])
                 told = True
-            yield rows(key[:n], sig[:n], np.full(n, lead_now))
+            yield rows(key[:n], sig[:n])
+            last = key[n - 1], sig[n - 1]
             key, sig = key[n:], sig[n:]
         if not len(key):
             continue
         first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
         size = np.diff(np.r_[first, len(key)])
-        lead, many = np.repeat(sig[first], size), np.repeat(size > 1, size)
-        yield rows(key[many], sig[many], lead[many])
-        key_now, lead_now, told = key[-1], lead[-1], bool(size[-1] > 1)
+        many = np.repeat(size > 1, size)
+        yield rows(key[many], sig[many])
+        last, told = (key[-1], sig[-1]), bool(size[-1] > 1)
 
 
 def near_pairs(left: tuple, right: tuple | None) -> tuple[np.ndarray, np.ndarray]:
@@ -146,20 +185,6 @@ def allowed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(ok))
 
 
-def frequent_shingles(texts: DataFrame, words: int) -> np.ndarray:
-    """Shingles of FREQUENT sampled different texts or more; whichever they are, the keys stay complete."""
-    rows = texts.count()
-    part = texts.where(F.pmod(F.xxhash64(F.lit(7), "text"), F.lit(max(1, rows // SAMPLE))) == 0).where(F.length("text") <= SAMPLE_CHARS).dropDuplicates(["text"])
-
-    def shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for text in batch.column(0).to_pylist():
-                yield pa.RecordBatch.from_arrays([pa.array(shingle_set(text, words))], names=["key"])
-
-    counts = part.select("text").mapInArrow(shingles, "key long").groupBy("key").count().where(F.col("count") >= FREQUENT)
-    return np.sort(np.array([r[0] for r in counts.orderBy(F.desc("count"), "key").limit(MOST_FREQUENT).collect()], dtype=np.int64))
-
-
 def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5) -> DataFrame:
     """(id, text_hash, class) of every row: texts linked by a Jaccard similarity of 0.8 or more share a class.
 
@@ -169,46 +194,88 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     out by a cap or by chance. text_hash is xxhash64 of the text.
     """
     texts = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").alias("text")).withColumn("text_hash", F.xxhash64("text"))
-    frequent = docs.sparkSession.sparkContext.broadcast(frequent_shingles(texts, words))  # at most MOST_FREQUENT * 8 bytes
+
+    def signature(own: np.ndarray) -> int:
+        return xxhash.xxh64_intdigest(own.tobytes(), 1)
 
     def make():
         def work(batch: list) -> list:
             sets = [shingle_set(t, words) for t in batch]
-            sigs = np.array([xxhash.xxh64_intdigest(s.tobytes(), 1) for s in sets], dtype=np.uint64).view(np.int64)
-            keys = [keys_of(s, frequent.value) for s in sets]
-            return [pa.array(sigs), pa.array(list(map(len, sets)), pa.int64()), packed(keys), pa.array([histogram(s) for s in sets], pa.binary())]
+            sigs = np.array([signature(s) for s in sets], dtype=np.uint64).view(np.int64)
+            prints = [print_of(s.view(np.uint64)) if len(s) else 0 for s in sets]
+            return [pa.array(sigs), pa.array(list(map(len, sets)), pa.int64()), pa.array(prints, pa.int64()), pa.array([histogram(s) for s in sets], pa.binary())]
 
         return work
 
-    fields = [T.StructField("sig", T.LongType()), T.StructField("size", T.LongType()), T.StructField("keys", T.ArrayType(T.LongType())), T.StructField("hist", T.BinaryType())]
+    def make_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()  # copies are told once in a task, and are left out by shared_keys beyond that
+        for batch in batches:
+            part = batch.column(0).to_pylist()
+            for a, b in steps(part):
+                sigs, keys = [], []
+                for text in part[a:b]:
+                    own = shingle_set(text, words)
+                    sig = signature(own)
+                    if sig not in seen:
+                        seen.add(sig)
+                        sigs.append(sig)
+                        keys.append(keys_of(own))
+                if keys:
+                    sig = np.repeat(np.array(sigs, dtype=np.uint64).view(np.int64), list(map(len, keys)))
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(sig)], names=["key", "sig"])
+
+    fields = [T.StructField("sig", T.LongType()), T.StructField("size", T.LongType()), T.StructField("print", T.LongType()), T.StructField("hist", T.BinaryType())]
     rows = written(map_text(texts, ["id", "text_hash"], "text", make, fields), "shingles")
-    sets = written(rows.select("sig", "text_hash", "size", "hist").dropDuplicates(["sig"]), "sets")
-    keyed = rows.select("sig", "keys").dropDuplicates(["sig"]).select(F.explode("keys").alias("key"), "sig").repartition("key").sortWithinPartitions("key", "sig")
-    shared = stable(keyed.mapInArrow(shared_keys, "key long, sig long, lead long"))
+    sets = written(rows.select("sig", "text_hash", "size", "print", "hist").dropDuplicates(["sig"]), "sets")
+    keyed = texts.select("text").mapInArrow(make_keys, "key long, sig long").repartition("key").sortWithinPartitions("key", "sig")
+    shared = stable(keyed.mapInArrow(shared_keys, "key long, sig long"))
     if not shared.limit(1).count():
         return rows.select("id", "text_hash", F.col("sig").alias("class"))
 
+    side = lambda name: sets.select(F.col("sig").alias(name), F.col("size").alias(f"size_{name}"), F.col("hist").alias(f"hist_{name}"))
+    named = lambda df: connected_components(df).select(F.col("node").alias("sig"), F.col("component").alias("class"))
+
+    def near(pairs: DataFrame) -> DataFrame:
+        """Those of ``pairs`` whose sizes and histograms allow 0.8."""
+        pairs = pairs.join(side("a"), "a").join(side("b"), "b").where("5 * least(size_a, size_b) >= 4 * greatest(size_a, size_b)")
+        return stable(pairs.select("a", "b", "size_a", "size_b", "hist_a", "hist_b").mapInArrow(allowed, "a long, b long"))
+
     def links(pairs: DataFrame) -> DataFrame:
         """Those of ``pairs`` that are similar; whole sets are made again from one text of each, and moved for these pairs only."""
         live = pairs.select(F.explode(F.array("a", "b")).alias("sig")).distinct()
         live = written(live.join(sets.select("sig", "text_hash"), "sig"), "live")
         own = texts.select("text_hash", "text").join(F.broadcast(live) if live.count() <= BROADCAST_SETS else live, "text_hash").groupBy("sig").agg(F.first("text").alias("text"))
         whole = written(map_text(own, ["sig"], "text", lambda: lambda batch: [packed([shingle_set(t, words) for t in batch])], [T.StructField("whole", T.ArrayType(T.LongType()))]), "whole-sets")
-        side = lambda name: whole.select(F.col("sig").alias(name), F.col("whole").alias(f"set_{name}"))
+        own = lambda name: whole.select(F.col("sig").alias(name), F.col("whole").alias(f"set_{name}"))
         # compared row by row in the JVM: two whole sets a row are too much for batches of a fixed number of rows
         similar = "9 * size(array_intersect(set_a, set_b)) >= 4 * (size(set_a) + size(set_b))"
-        return written(pairs.join(side("a"), "a").join(side("b"), "b").where(similar).select("a", "b"), "links")
-
-    pairs = shared.where("sig <> lead").select(F.col("lead").alias("a"), F.col("sig").alias("b")).distinct()
-    side = lambda name: sets.select(F.col("sig").alias(name), F.col("size").alias(f"size_{name}"), F.col("hist").alias(f"hist_{name}"))
-    pairs = pairs.join(side("a"), "a").join(side("b"), "b").where("5 * least(size_a, size_b) >= 4 * greatest(size_a, size_b)")
-    found = links(stable(pairs.select("a", "b", "size_a", "size_b", "hist_a", "hist_b").mapInArrow(allowed, "a long, b long")))
-    named = lambda df: connected_components(df).select(F.col("node").alias("sig"), F.col("component").alias("class"))
+        return written(pairs.join(own("a"), "a").join(own("b"), "b").where(similar).select("a", "b"), "links")
+
+    # the classes of the fingerprints: each set is compared with the first of its own
+    prints = stable(sets.where("size >= 4").select("sig", "print"))
+    groups = connected_components(near_links(prints.select("print").distinct()))
+    alike = prints.join(groups.withColumnRenamed("node", "print"), "print", "left").withColumn("group", F.coalesce("component", "print"))
+    lead = alike.groupBy("group").agg(F.min("sig").alias("a"))
+    found = links(near(alike.join(lead, "group").where("sig <> a").select("a", F.col("sig").alias("b"))))
     classes = named(found)
-    # all have met the first of each key; what is left are pairs of the others
-    member = shared.where("sig <> lead").select("key", "sig").join(classes, "sig", "left").withColumn("class", F.coalesce("class", "sig"))
-    member = stable(member.select("key", "sig", "class"))
-    # keys with more than one class
+    # the rest, by the keys: those with one class have nothing more to tell
+    left = shared
+    for turn in range(TURNS):
+        member = stable(left.join(classes, "sig", "left").select("key", "sig", F.coalesce("class", "sig").alias("class")))
+        lead = F.min_by(F.struct("sig", "class"), F.xxhash64("sig", F.lit(turn))).alias("lead")
+        mixed = stable(member.groupBy("key").agg(F.count("*").alias("n"), F.min("class").alias("low"), F.max("class").alias("high"), lead).where("low < high").select("key", "n", "lead"))
+        # one pair for a set in a turn
+        asked = mixed.where(F.col("n") >= FREQUENT) if turn else mixed
+        pairs = member.join(asked, "key").where("class <> lead.class").groupBy("sig").agg(F.min("lead.sig").alias("a"))
+        pairs = near(pairs.select("a", F.col("sig").alias("b")))
+        new = links(pairs) if pairs.limit(1).count() else pairs
+        left = member.join(mixed.select("key"), "key", "left_semi").select("key", "sig")
+        if not new.limit(1).count():
+            break
+        found = found.union(new)
+        classes = named(found)
+    # all pairs of what is left
+    member = stable(left.join(classes, "sig", "left").select("key", "sig", F.coalesce("class", "sig").alias("class")))
     mixed = member.groupBy("key").agg(F.count("*").alias("n"), F.min("class").alias("low"), F.max("class").alias("high")).where("low < high")
     mixed = stable(mixed.select("key", F.ceil(F.col("n") / F.lit(BLOCK)).cast("int").alias("n"), (F.col("n") * F.ceil(F.col("n") / F.lit(BLOCK))).alias("copies")))
     copies = mixed.agg(F.sum("copies")).first()[0]

@@ -43,10 +43,14 @@ def fingerprint(text: str | None, words: int = 4, seed: int = 42) -> int:
         starts = np.r_[0, ends[:-1] + 1]
         digest = xxhash.xxh64_intdigest
         hashes = [digest(whole[a:b], seed) for a, b in zip(starts.tolist(), ends[words - 1 :].tolist(), strict=False)]
+    return print_of(np.array(hashes, dtype="<u8"))
+
+
+def print_of(hashes: np.ndarray) -> int:
+    """A fingerprint bit is 1 if set in over half of the (unsigned) hashes."""
     count = np.zeros(64, dtype=np.int64)
     for at in range(0, len(hashes), 1 << 16):
-        part = np.array(hashes[at : at + (1 << 16)], dtype="<u8")
-        count += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+        count += np.unpackbits(hashes[at : at + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
     bits = np.packbits(count * 2 > len(hashes), bitorder="little")
     return int(bits.view("<i8")[0])
 
