@@ -2,8 +2,8 @@
 
 A page is cut into text lines at its block elements. Within each host, pages are ordered by URL
 path, and each is compared with its neighbours: lines that the longest common subsequence aligns
-with most of them are the site's frame and are deleted. Markup goes first, for what differencing
-can't see: what an article element encloses is content even where neighbours repeat it, as copied
+with most of them are the site's frame and are deleted. All lines of all pages take part. Markup is the check on what
+differencing can't see: what an article element encloses is content even where neighbours repeat it, as copied
 articles and quoted passages are, and menus, adverts or comments are frame even where they differ
 from page to page, inside an article too. Blocks of an article whose name may say its topic as well
 as its place (a disclaimer, an alert) are left to differencing.
@@ -16,7 +16,6 @@ import re
 from bisect import bisect_left
 from collections import Counter
 from collections.abc import Callable, Iterator
-from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -292,19 +291,17 @@ def page_blocks(page: str) -> list[tuple[str, int]]:
     return blocks
 
 
-def line_hashes(own: list[tuple[str, int]]) -> tuple[list[int], list[bool], int]:
-    """Hashes of a page's lines outside the article or left to neighbours, which these decide on, and a hash of the article."""
+def line_hashes(own: list[tuple[str, int]]) -> tuple[list[int], list[bool]]:
+    """Hashes of all lines of a page, article or not, and which of them go if neighbours share them.
+
+    Lines of an article have hashes of their own, so they align with lines of articles only.
+    """
     body = any(zone >= 2 for _, zone in own)
-    article = xxhash.xxh64()
     lines, asked = [], []
     for line, zone in own:
-        coded = line.encode(errors="surrogatepass")
-        if zone == 2:
-            article.update(coded + b"\n")
-        else:
-            lines.append(xxhash.xxh64_intdigest(coded) - (1 << 63))
-            asked.append(zone == (3 if body else 1))
-    return lines, asked if any(asked) else [], article.intdigest() - (1 << 63)
+        lines.append(xxhash.xxh64_intdigest(line.encode(errors="surrogatepass"), zone == 2) - (1 << 63))
+        asked.append(zone == (3 if body else 1))
+    return lines, asked
 
 
 def columns(rows: list[tuple], n: int) -> list[list]:
@@ -407,12 +404,12 @@ def extract_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url"
 
     def frame_lines() -> Callable:
         def work(texts: list) -> list:
-            return columns([line_hashes(page_blocks(t) if t else []) for t in texts], 3)
+            return columns([line_hashes(page_blocks(t) if t else []) for t in texts], 2)
 
         return work
 
-    fields = [T.StructField("__lines", T.ArrayType(T.LongType())), T.StructField("__open", T.ArrayType(T.BooleanType())), T.StructField("__article", T.LongType())]
-    hashed = map_text(rows, ["__host", "__path"], "__html", frame_lines, fields).withColumn("__key", F.xxhash64("__lines", "__open", "__article"))
+    fields = [T.StructField("__lines", T.ArrayType(T.LongType())), T.StructField("__open", T.ArrayType(T.BooleanType()))]
+    hashed = map_text(rows, ["__host", "__path"], "__html", frame_lines, fields).withColumn("__key", F.xxhash64("__lines", "__open"))
     alike = hashed.groupBy("__host", "__key").agg(F.min("__path").alias("__path"), F.first("__lines").alias("__lines"), F.first("__open").alias("__open"))
     alike = written(alike, "page-lines")
     # numbered in the order of host, path and content
@@ -429,9 +426,7 @@ def extract_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url"
     # every place gets one row from each turn
     given = sent.groupBy("__at").agg(F.collect_list(F.struct("__other_host", "__other")).alias("__near"))
     near = F.transform(F.filter(F.coalesce("__near", F.array()), lambda x: x["__other_host"] == F.col("__host")), lambda x: x["__other"])
-    # markup has settled all lines of the rest
-    asking = numbered.where(F.exists("__open", lambda x: x))
-    ready = asking.join(given, "__at", "left").select("__host", "__key", "__lines", "__open", near.alias("__near"))
+    ready = numbered.join(given, "__at", "left").select("__host", "__key", "__lines", "__open", near.alias("__near"))
     schema = T.StructType([ready.schema["__host"], ready.schema["__key"], T.StructField("__gone", T.ArrayType(T.IntegerType()))])
 
     def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -439,7 +434,8 @@ def extract_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url"
             keep, gone = [], []
             for i, (mine, open_, others) in enumerate(zip(*(batch.column(k).to_pylist() for k in (2, 3, 4)), strict=True)):
                 votes = Counter(k for other in others for k in aligned(mine, other))
-                shared = sorted(k for k, n in votes.items() if open_[k] and 2 * n > len(others))
+                # what markup has settled stays as it is: text of the article, or frame that differs from page to page
+                shared = sorted(k for k, n in votes.items() if 2 * n > len(others) and open_[k])
                 if shared:
                     keep.append(i)
                     gone.append(shared)
@@ -455,16 +451,15 @@ def extract_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url"
             for t in pages_:
                 own = page_blocks(t) if t else []
                 body = any(zone >= 2 for _, zone in own)
-                places = accumulate(zone != 2 for _, zone in own)
                 # of a page with an article only the article is left here, of others what isn't frame
-                left = [(line, -1 if zone == 2 else k - 1) for (line, zone), k in zip(own, places, strict=True) if zone >= (2 if body else 1)]
+                left = [(line, k) for k, (line, zone) in enumerate(own) if zone >= (2 if body else 1)]
                 out.append((*line_hashes(own), [line for line, _ in left], [k for _, k in left]))
-            return columns(out, 5)
+            return columns(out, 4)
 
         return work
 
     fields = [*fields, T.StructField("__texts", T.ArrayType(T.StringType())), T.StructField("__spots", T.ArrayType(T.IntegerType()))]
-    parsed = map_text(rows, ["__id", "__url", "__host"], "__html", texts, fields).withColumn("__key", F.xxhash64("__lines", "__open", "__article"))
+    parsed = map_text(rows, ["__id", "__url", "__host"], "__html", texts, fields).withColumn("__key", F.xxhash64("__lines", "__open"))
     joined = parsed.join(found, (F.col("__host") == F.col("__host2")) & (F.col("__key") == F.col("__key2")), "left")
     stays = F.filter("__texts", lambda _, i: ~F.coalesce(F.array_contains("__gone", F.get("__spots", i)), F.lit(False)))
     out = joined.select(F.col("__id").alias(id_col), F.col("__url").alias(url_col), F.array_join(stays, "\n").alias("text"))
