@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .batches import map_text, without
+from .batches import kept, map_text, without
 
 #: Labelled rows learned from, at most.
 SAMPLE = 4_000
@@ -192,9 +192,6 @@ class WordScores:
         return 1 / (1 + np.exp(-np.clip(odds + self.bias, -700, 700)))
 
 
-_scores: dict[bytes, WordScores] = {}
-
-
 def fit_quality(
     docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample: int = SAMPLE, dim: int = 16, buckets: int = 1 << 17, repeat: int = REPEAT
 ) -> SubwordModel:
@@ -241,10 +238,8 @@ def score_quality(docs: DataFrame, model: SubwordModel, text_col: str = "text",
     def make():
         values = share.value
         key = hashlib.sha256(values[0].tobytes() + repr(values[1:]).encode()).digest()
-        if key not in _scores:
-            _scores.clear()
-            _scores[key] = WordScores(values)
-        return lambda texts: [_scores[key].score(texts)]
+        scores = kept(("scores", key), lambda: WordScores(values))
+        return lambda texts: [scores.score(texts)]
 
     keep = without(docs, [score_col]).columns
     return map_text(docs, keep, text_col, make, [T.StructField(score_col, T.DoubleType())])

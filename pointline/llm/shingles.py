@@ -25,12 +25,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .batches import map_text, stable, steps, written
+from .batches import forget, map_text, stable, steps, written
 from .graph import connected_components
 from .simhash import near_links, print_of
 
 #: Keys of so many sets or more are compared with one set of theirs in further turns, so many at most.
 FREQUENT, TURNS = 5, 8
+#: Turns end when one leaves more than this share of the pairs that the keys had before it: what it links isn't what makes keys long.
+LEFT = 0.75
 #: Smallest sizes of the classes that sets with the same number of parts are in; a class reaches a quarter further.
 LOWS = [1]
 while LOWS[-1] < 1 << 40:
@@ -199,6 +201,8 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         return xxhash.xxh64_intdigest(own.tobytes(), 1)
 
     def make():
+        forget()
+
         def work(batch: list) -> list:
             sets = [shingle_set(t, words) for t in batch]
             sigs = np.array([signature(s) for s in sets], dtype=np.uint64).view(np.int64)
@@ -208,6 +212,7 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         return work
 
     def make_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         seen: set[int] = set()  # copies are told once in a task, and are left out by shared_keys beyond that
         for batch in batches:
             part = batch.column(0).to_pylist()
@@ -259,28 +264,29 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     found = links(near(alike.join(lead, "group").where("sig <> a").select("a", F.col("sig").alias("b"))))
     classes = named(found)
     # the rest, by the keys: those with one class have nothing more to tell
-    left = shared
-    for turn in range(TURNS):
+    left, before = shared, math.inf
+    for turn in range(TURNS + 1):
         member = stable(left.join(classes, "sig", "left").select("key", "sig", F.coalesce("class", "sig").alias("class")))
         lead = F.min_by(F.struct("sig", "class"), F.xxhash64("sig", F.lit(turn))).alias("lead")
-        mixed = stable(member.groupBy("key").agg(F.count("*").alias("n"), F.min("class").alias("low"), F.max("class").alias("high"), lead).where("low < high").select("key", "n", "lead"))
+        mixed = member.groupBy("key").agg(F.count("*").alias("n"), F.min("class").alias("low"), F.max("class").alias("high"), lead).where("low < high")
+        mixed = stable(mixed.select("key", "n", F.ceil(F.col("n") / F.lit(BLOCK)).cast("int").alias("blocks"), "lead"))
+        met, copies = mixed.agg(F.sum(F.col("n").cast("double") * F.col("n")), F.sum(F.col("n") * F.col("blocks"))).first()
+        if turn == TURNS or not copies or met > LEFT * before:
+            break
+        before = met
         # one pair for a set in a turn
         asked = mixed.where(F.col("n") >= FREQUENT) if turn else mixed
         pairs = member.join(asked, "key").where("class <> lead.class").groupBy("sig").agg(F.min("lead.sig").alias("a"))
         pairs = near(pairs.select("a", F.col("sig").alias("b")))
         new = links(pairs) if pairs.limit(1).count() else pairs
-        left = member.join(mixed.select("key"), "key", "left_semi").select("key", "sig")
         if not new.limit(1).count():
             break
+        left = member.join(mixed.select("key"), "key", "left_semi").select("key", "sig")
         found = found.union(new)
         classes = named(found)
     # all pairs of what is left
-    member = stable(left.join(classes, "sig", "left").select("key", "sig", F.coalesce("class", "sig").alias("class")))
-    mixed = member.groupBy("key").agg(F.count("*").alias("n"), F.min("class").alias("low"), F.max("class").alias("high")).where("low < high")
-    mixed = stable(mixed.select("key", F.ceil(F.col("n") / F.lit(BLOCK)).cast("int").alias("n"), (F.col("n") * F.ceil(F.col("n") / F.lit(BLOCK))).alias("copies")))
-    copies = mixed.agg(F.sum("copies")).first()[0]
     if copies:
-        dealt = member.join(mixed.select("key", "n"), "key").join(sets.select("sig", "size", "hist"), "sig")
+        dealt = member.join(mixed.select("key", F.col("blocks").alias("n")), "key").join(sets.select("sig", "size", "hist"), "sig")
         dealt = dealt.withColumn("own", F.pmod(F.xxhash64("sig"), F.col("n")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
         dealt = dealt.withColumn("x", F.least("own", "other")).withColumn("unit", F.xxhash64("key", "x", F.greatest("own", "other")))
         dealt = dealt.withColumn("bucket", F.pmod("unit", F.lit(max(1, math.ceil(copies / GROUP)))))
