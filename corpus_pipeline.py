@@ -18,6 +18,9 @@ LEAST_SCORE = 0.3
 #: Lines of more words go where they recur in two texts, shorter ones from five on.
 LONG_WORDS = 50
 
+#: Bytes of texts that Spark hands to a Python worker at once; a longer text goes alone.
+BATCH_BYTES = "8m"
+
 #: SQL can't express the learned scores, fingerprints and merges; tests compare the stages with brute force.
 ORACLE_SQL = None
 
@@ -31,6 +34,11 @@ def shielded(docs: DataFrame) -> DataFrame:
     return docs.toDF(*[c if c in NEEDED else f"__own_{k}" for k, c in enumerate(docs.columns)])
 
 
+def batched(spark: SparkSession) -> None:
+    """Bound the Arrow batches of the session; Spark's 64 MB stand in the JVM and in the worker, for each core."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+
+
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier doesn't reject; it learns from the labelled ones among ``docs``.
 
@@ -39,6 +47,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     classes nothing tells documents apart, and all stay or go by the share of label 1. Further columns
     pass through, whatever they are called.
     """
+    batched(spark)
     own = shielded(docs)
     model = fit_quality(own, table(spark, sf_dir, "labels"))
     return score_quality(own, model, score_col="__score").where(F.col("__score") >= LEAST_SCORE).select(*own.columns).toDF(*docs.columns)
@@ -51,6 +60,7 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Null and empty texts pass through; rows with a null id count as one document; repeated rows are
     treated alike. No rows give no rows. Further columns pass through, whatever they are called.
     """
+    batched(spark)
     own = shielded(docs)
     classes = jaccard_classes(own).select("text_hash", "class").distinct()
     several = classes.groupBy("class").count().where("count > 1").select("class")
@@ -66,6 +76,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Null texts and texts without words are one class; rows that repeat an id and text come down to
     one. No rows give no rows. Further columns are those of the row that stays, whatever they are called.
     """
+    batched(spark)
     plain = shielded(docs)
     rows = jaccard_classes(plain).groupBy("class", "id", "text_hash").agg(F.count("*").alias("n"))
     rows = written(rows.withColumn("rank", F.struct(F.col("id").isNull(), "id", "text_hash")), "near-duplicates")
@@ -96,6 +107,7 @@ def bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Null texts count as empty and have no ids; null ids and repeated rows pass through; further
     columns aren't carried. No rows give no rows.
     """
+    batched(spark)
     return encode_documents(shielded(docs), vocabulary(), with_ids=True)
 
 

@@ -60,3 +60,17 @@ def test_turns_end_when_they_lessen_nothing(spark, monkeypatch):
     monkeypatch.setattr(shingles, "LEFT", float("inf"))
     assert sorted(r.doc_id for r in corpus_pipeline.near_dedup(spark, docs, "").collect()) == ended
     assert few <= 4 and len(turns) - few >= few
+
+
+def test_stages_hand_workers_bounded_batches(spark):
+    docs = spark.range(600).selectExpr("id AS doc_id", "repeat('word ', 20000) AS text", "'en' AS lang", "'s' AS source", "100000L AS n_chars").coalesce(1)
+    corpus_pipeline.bpe(spark, docs, "")
+
+    def sizes(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            yield pa.record_batch({"bytes": [batch.nbytes]})
+
+    found = [r[0] for r in docs.select("text").mapInArrow(sizes, "bytes long").collect()]
+    assert sum(found) >= 60_000_000 and max(found) < 12_000_000
