@@ -5,11 +5,11 @@ bits are compared on whole sets, and sets that are alike to 0.8 (Jaccard) are li
 such sets may differ in more bits, so an exact search for the rest follows: two sets that similar
 differ in at most a quarter of the smaller one's size, so of more parts of the range of hashes
 than that one holds the same shingles in both. A key is the content of a part, some four shingles; a
-passage that texts share seldom fills a part, so it makes few keys common. Sets that share
-a key, of different classes so far, are first compared with one set of the key at a time, which brings groups of
-near copies down to classes in linear work; then all pairs of a key that are still in different
-classes are. A histogram of a set's hashes bounds the similarity from above; every link is verified
-on the whole sets.
+passage that texts share seldom fills a part, so it makes few keys common. Keys of the same sets are
+one. A histogram of a set's hashes bounds the similarity from above. Of the sets of a key, of different
+classes so far, that it allows to be similar, each is first verified with one at a time, the first in an order
+drawn anew, which brings groups of near copies down to classes in linear work; then all pairs that
+are still in different classes are, as those of short keys are at once. Every link is verified on the whole sets.
 """
 
 from __future__ import annotations
@@ -29,10 +29,10 @@ from .batches import forget, map_text, stable, steps, written
 from .graph import connected_components
 from .simhash import near_links, print_of
 
-#: Keys of so many sets or more are compared with one set of theirs in further turns, so many at most.
-FREQUENT, TURNS = 5, 8
-#: Turns end when one leaves more than this share of the pairs that the keys had before it: what it links isn't what makes keys long.
-LEFT = 0.75
+#: In keys of so many sets or more a set is verified with one other at a time, in so many turns at most.
+FREQUENT, TURNS = 5, 6
+#: Turns end when one leaves more than this share of the pairs that it verifies without a link: then most of the rest aren't similar.
+LEFT = 0.8
 #: Smallest sizes of the classes that sets with the same number of parts are in; a class reaches a quarter further.
 LOWS = [1]
 while LOWS[-1] < 1 << 40:
@@ -157,15 +157,25 @@ def near_pairs(left: tuple, right: tuple | None) -> tuple[np.ndarray, np.ndarray
     return (np.concatenate(i_all), np.concatenate(j_all)) if i_all else (np.zeros(0, np.int64), np.zeros(0, np.int64))
 
 
-def compare_units(table: pa.Table) -> pa.Table:
-    """Pairs (a < b) that the units of a bucket leave to be verified."""
+def first_partners(a: np.ndarray, b: np.ndarray, turn: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of pairs a-b one for each set: that with the partner that comes first in the order of the turn, the same for all sets."""
+    own, other = np.r_[a, b], np.r_[b, a]
+    place = mixed_bits(mixed_bits(other.view(np.uint64) + np.uint64(turn)))
+    order = np.lexsort((place, own))
+    own, other = own[order], other[order]
+    first = np.r_[True, own[1:] != own[:-1]] if len(own) else np.zeros(0, bool)
+    return own[first], other[first]
+
+
+def compare_units(table: pa.Table, turn: int | None = None, frequent: int = FREQUENT) -> pa.Table:
+    """Pairs (a < b) that the units of a bucket leave to be verified; with a turn, of units of ``frequent`` sets or more, one for each set."""
     unit = table.column("unit").to_numpy()
     order = np.argsort(unit, kind="stable")
     unit = unit[order]
     col = {c: table.column(c).to_numpy()[order] for c in ("sig", "class", "size", "own", "x")}
     hist = np.frombuffer(b"".join(table.column("hist").to_pylist()), dtype=np.uint8).reshape(-1, PLACES)[order].astype(np.int16)
     starts = np.flatnonzero(np.r_[True, unit[1:] != unit[:-1]])
-    found_a, found_b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    found_a, found_b, many = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, bool)]
     for s, e in zip(starts, np.r_[starts[1:], len(unit)], strict=True):
         at = np.arange(s, e)
         mine = col["own"][at] == col["x"][at]
@@ -174,7 +184,12 @@ def compare_units(table: pa.Table) -> pa.Table:
         i, j = near_pairs(take(left), take(right) if len(right) else None)
         found_a.append(col["sig"][left[i]])
         found_b.append(col["sig"][(right if len(right) else left)[j]])
+        many.append(np.full(len(i), e - s >= frequent))
     a, b = np.concatenate(found_a), np.concatenate(found_b)
+    if turn is not None:
+        many = np.concatenate(many)
+        one_a, one_b = first_partners(a[many], b[many], turn)
+        a, b = np.r_[a[~many], one_a], np.r_[b[~many], one_b]
     pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1), axis=0)
     return pa.table({"a": pairs[:, 0], "b": pairs[:, 1]})
 
@@ -256,6 +271,16 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         similar = "9 * size(array_intersect(set_a, set_b)) >= 4 * (size(set_a) + size(set_b))"
         return written(pairs.join(own("a"), "a").join(own("b"), "b").where(similar).select("a", "b"), "links")
 
+    def candidates(member: DataFrame, copies: int, turn: int | None) -> DataFrame:
+        """Pairs of sets of a key, in different classes, that may be similar; with a turn all of short keys, one for each set of others."""
+        dealt = member.join(sets.select("sig", "size", "hist"), "sig")
+        dealt = dealt.withColumn("own", F.pmod(F.xxhash64("sig"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        dealt = dealt.withColumn("x", F.least("own", "other")).withColumn("unit", F.xxhash64("key", "x", F.greatest("own", "other")))
+        dealt = dealt.withColumn("bucket", F.pmod("unit", F.lit(max(1, math.ceil(copies / GROUP)))))
+        rows = dealt.select("bucket", "unit", "sig", "class", "size", "own", "x", "hist").groupBy("bucket")
+        frequent = FREQUENT  # as it is here, for the workers
+        return rows.applyInArrow(lambda table: compare_units(table, turn, frequent), "a long, b long")
+
     # the classes of the fingerprints: each set is compared with the first of its own
     prints = stable(sets.where("size >= 4").select("sig", "print"))
     groups = connected_components(near_links(prints.select("print").distinct()))
@@ -263,35 +288,29 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     lead = alike.groupBy("group").agg(F.min("sig").alias("a"))
     found = links(near(alike.join(lead, "group").where("sig <> a").select("a", F.col("sig").alias("b"))))
     classes = named(found)
-    # the rest, by the keys: those with one class have nothing more to tell
-    left, before = shared, math.inf
+    # the rest, by the keys: those with one class have nothing more to tell, those of the same sets tell the same
+    left, last = shared, False
     for turn in range(TURNS + 1):
+        last = last or turn == TURNS
         member = stable(left.join(classes, "sig", "left").select("key", "sig", F.coalesce("class", "sig").alias("class")))
-        lead = F.min_by(F.struct("sig", "class"), F.xxhash64("sig", F.lit(turn))).alias("lead")
-        mixed = member.groupBy("key").agg(F.count("*").alias("n"), F.min("class").alias("low"), F.max("class").alias("high"), lead).where("low < high")
-        mixed = stable(mixed.select("key", "n", F.ceil(F.col("n") / F.lit(BLOCK)).cast("int").alias("blocks"), "lead"))
-        met, copies = mixed.agg(F.sum(F.col("n").cast("double") * F.col("n")), F.sum(F.col("n") * F.col("blocks"))).first()
-        if turn == TURNS or not copies or met > LEFT * before:
+        told = [F.count("*").alias("n"), F.min("class").alias("low"), F.max("class").alias("high"), *[F.bit_xor(F.xxhash64("sig", F.lit(k))).alias(f"x{k}") for k in (1, 2)]]
+        mixed = member.groupBy("key").agg(*told).where("low < high").groupBy("n", "low", "high", "x1", "x2").agg(F.min("key").alias("key"))
+        mixed = stable(mixed.select("key", F.ceil(F.col("n") / F.lit(BLOCK)).cast("int").alias("blocks"), "n"))
+        copies = mixed.agg(F.sum(F.col("n") * F.col("blocks"))).first()[0]
+        if not copies:
             break
-        before = met
-        # one pair for a set in a turn
-        asked = mixed.where(F.col("n") >= FREQUENT) if turn else mixed
-        pairs = member.join(asked, "key").where("class <> lead.class").groupBy("sig").agg(F.min("lead.sig").alias("a"))
-        pairs = near(pairs.select("a", F.col("sig").alias("b")))
-        new = links(pairs) if pairs.limit(1).count() else pairs
-        if not new.limit(1).count():
+        member = member.join(mixed, "key")
+        pairs = stable(candidates(member, copies, None if last else turn).distinct())
+        tried = pairs.count()
+        if not tried:
             break
-        left = member.join(mixed.select("key"), "key", "left_semi").select("key", "sig")
+        new = links(pairs)
         found = found.union(new)
         classes = named(found)
-    # all pairs of what is left
-    if copies:
-        dealt = member.join(mixed.select("key", F.col("blocks").alias("n")), "key").join(sets.select("sig", "size", "hist"), "sig")
-        dealt = dealt.withColumn("own", F.pmod(F.xxhash64("sig"), F.col("n")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
-        dealt = dealt.withColumn("x", F.least("own", "other")).withColumn("unit", F.xxhash64("key", "x", F.greatest("own", "other")))
-        dealt = dealt.withColumn("bucket", F.pmod("unit", F.lit(max(1, math.ceil(copies / GROUP)))))
-        pairs = dealt.select("bucket", "unit", "sig", "class", "size", "own", "x", "hist").groupBy("bucket").applyInArrow(compare_units, "a long, b long")
-        found = found.union(links(stable(pairs.distinct())))
-        classes = named(found)
+        if last:
+            break
+        last = tried - new.count() > LEFT * tried
+        # short keys are done; a set that may be similar to none of its keys' has no pair here, and never will: classes only grow
+        left = member.where(F.col("n") >= FREQUENT).select("key", "sig").join(pairs.select(F.explode(F.array("a", "b")).alias("sig")).distinct(), "sig", "left_semi")
     out = rows.select("id", "text_hash", "sig").join(classes, "sig", "left")
     return out.select("id", "text_hash", F.coalesce("class", "sig").alias("class"))
