@@ -20,3 +20,7 @@ def broadcast_generators(df) -> list[str]:
 
 def test_import_broadcasts_no_rankings(spark, sf):
     assert broadcast_generators(more.ranking_import(spark, sf)) == []
+
+
+def test_unmapped_sources_broadcast_no_rankings(spark, sf):
+    assert broadcast_generators(more.unmapped_sources(spark, sf)) == []
