@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pointline.catalog import more
+from pointline.catalog import ingest, more
 
 
 def broadcast_generators(df) -> list[str]:
@@ -24,3 +24,7 @@ def test_import_broadcasts_no_rankings(spark, sf):
 
 def test_unmapped_sources_broadcast_no_rankings(spark, sf):
     assert broadcast_generators(more.unmapped_sources(spark, sf)) == []
+
+
+def test_missing_weeks_broadcast_no_rankings(spark, sf):
+    assert broadcast_generators(ingest.missing_weeks(spark, sf)) == []
