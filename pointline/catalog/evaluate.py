@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.scalars import antisymmetric_evidence, logit, sigmoid, temperature_scaled
+from ..operators.ordered import exact_quantile
 from ..plans import evaluation as ev
 from .base import Tables, rounded
 from .sql import rounded as sql_rounded
@@ -252,9 +253,9 @@ def recency_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
 def event_halves(spark: SparkSession, sf_dir: str) -> DataFrame:
     """K24 on the event stream: counts of both time halves by type."""
     e = Tables(spark, sf_dir).raw("events")
-    micro = F.unix_micros(F.col("ts").cast("timestamp"))
-    half = F.broadcast(e.agg(F.percentile_approx(micro, 0.5, 1_000_000).alias("__half")))
-    rows = e.withColumn("__t", micro).crossJoin(half)
+    e = e.withColumn("__t", F.unix_micros(F.col("ts").cast("timestamp")))
+    half = F.broadcast(exact_quantile(e, "__t", 0.5).withColumnRenamed("quantile", "__half"))  # one row
+    rows = e.crossJoin(half)
     return rows.groupBy("event_type").agg(F.count_if(F.col("__t") < F.col("__half")).alias("n_early"), F.count_if(F.col("__t") >= F.col("__half")).alias("n_late"))
 
 
