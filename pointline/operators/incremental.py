@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..schemas import SURFACES
-from .ordered import shared_folder
+from .ordered import shuffles_dropped, stored
 
 def keep_latest(rows: DataFrame, key: Sequence[str], order: Sequence[Column]) -> DataFrame:
     """One row per key: the first in ``order``, which must be total."""
@@ -137,10 +137,10 @@ def write_buckets(df: DataFrame, path: str, entity: str, buckets: int = 64) -> N
 
 def replace_buckets(df: DataFrame, path: str, entity: str, buckets: int, touched: Sequence[int]) -> None:
     """Replace the hash buckets ``touched`` by the rows of ``df``; those that it has no rows of become empty."""
-    shared_folder(df.sparkSession)
-    kept = df.checkpoint()
+    kept = stored(df)
     there = {r[0] for r in kept.select(F.pmod(F.xxhash64(entity), F.lit(buckets)).cast("int")).distinct().collect()}  # at most ``buckets`` numbers
-    write_buckets(kept, path, entity, buckets)
+    with shuffles_dropped(df.sparkSession):
+        write_buckets(kept, path, entity, buckets)
     for bucket in sorted(set(touched) - there):
         kept.limit(0).write.mode("overwrite").parquet(f"{path}/bucket={bucket}")
 

@@ -11,7 +11,7 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
 from ..operators.incremental import keep_latest, replace_buckets
-from ..operators.ordered import shared_folder
+from ..operators.ordered import shuffles_dropped, stored
 
 
 def stream_events(spark: SparkSession, path: str, schema: StructType, stamp: str = "ingested_at", late: str = "7 days", key: str = "match_id", files: int = 8) -> DataFrame:
@@ -34,7 +34,8 @@ def folders(spark: SparkSession, path: str, by: str, numbers: Sequence[int]) ->
 
 def one_batch(df: DataFrame, path: str, by: str) -> None:
     """Write the batch's part of a log, replacing what an earlier attempt at the same batch wrote there."""
-    df.repartition(by).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(by, "epoch").parquet(path)
+    with shuffles_dropped(df.sparkSession):
+        df.repartition(by).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(by, "epoch").parquet(path)
 
 
 def earlier_players(spark: SparkSession, batch: DataFrame, path: str, epoch: int, buckets: int) -> DataFrame:
@@ -72,13 +73,12 @@ def maintain(stream: DataFrame, events_path: str, table_path: str, build: Callab
 
     def apply(batch: DataFrame, number: int) -> None:
         spark, epoch = batch.sparkSession, first_epoch + number
-        shared_folder(spark)
-        batch = batch.withColumn("epoch", F.lit(epoch)).checkpoint()
+        batch = stored(batch.withColumn("epoch", F.lit(epoch)))
         if batch.isEmpty():
             return
         sides = batch.select("match_id", F.explode(F.array("player1_id", "player2_id")).alias("player_id"))
         known = sides.union(earlier_players(spark, batch, versions, epoch, buckets)).distinct()
-        filed = known.select("match_id", bucket_of("player_id", buckets).alias("bucket")).distinct().checkpoint()
+        filed = stored(known.select("match_id", bucket_of("player_id", buckets).alias("bucket")).distinct())
         touched = sorted(r[0] for r in filed.select("bucket").distinct().collect())  # at most ``buckets`` numbers
         one_batch(batch.join(filed, "match_id"), log, "bucket")
         one_batch(sides.distinct().withColumn("match_bucket", bucket_of("match_id", buckets)).withColumn("epoch", F.lit(epoch)), versions, "match_bucket")
